@@ -8,9 +8,10 @@
    ones (the prefix filter). Sets of more than 2 * ``SAMPLE`` n-grams use those whose
    hash is 0 modulo a power of two that leaves SAMPLE to 2 * SAMPLE of them, with
    a threshold lower by ``MARGIN`` for the error; smaller ones use all.
-3. Sets are partitioned into groups: those with the same least n-gram hash, split
-   at ``GROUP`` members. The matrix has, for each n-gram, the groups whose union of
-   prefixes holds it. A set's overlap with a group's union bounds its overlap
+3. Sets are partitioned into groups: each takes the key of its prefix that most
+   sets have, so that near copies meet in few groups, split at ``GROUP_GRAMS``
+   n-grams together. The matrix has, for each key, the groups whose union of
+   prefixes holds it; keys that one set has alone are left out. A set's overlap with a group's union bounds its overlap
    with any member; groups where the bound is too low are never opened.
 4. Qualifying groups are opened: the members' and the queries' texts come
    together, and every pair's similarity is computed from the whole sets.
@@ -41,7 +42,8 @@ from lumenq.llm import textvec
 from lumenq.llm.shared import table, written
 
 N, THRESHOLD, SAMPLE, MARGIN, MATCHES = 2, 0.65, 64, 0.05, 2
-GROUP, QUERIES = 512, 2048
+#: N-grams that the members, and the queries, of one opened group have together at most (8 bytes each); one set may have more.
+GROUP_GRAMS, QUERY_GRAMS = 3_000_000, 3_000_000
 #: The sketch has 2 ** SKETCH_BITS counters (4 MB), whatever the corpus.
 SKETCH_BITS, BLOCK_BITS = 20, 16
 PAIRS = "doc_a long, doc_b long, jaccard double"
@@ -60,12 +62,13 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
 def _survey(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        names = ["doc_id", "sid", "block", "counts"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "sid", "n", "block", "counts"]
         for b in batches:
-            sids, held, size = [], [], 0
+            sids, sizes, held, size = [], [], [], 0
             for g in textvec.row_grams(b.column("text"), n):
                 sids.append(set_id(g) if len(g) else None)
+                sizes.append(len(g))
                 held.append(g)
                 size += len(g)
                 if size > 1_000_000:
@@ -74,11 +77,11 @@ def _survey(n: int):
             if held:
                 counts += np.bincount(_buckets(np.concatenate(held)), minlength=len(counts))
             k = len(sids)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.binary())], names=names)
         if counts.any():
             blocks = counts.astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
             k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([None] * k, types[0]), pa.array([None] * k, types[1]), pa.array(range(k), types[2]), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], types[3])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([None] * k, types[0]), pa.array([None] * k, types[1]), pa.array([None] * k, types[2]), pa.array(range(k), types[3]), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], types[4])], names=names)
 
     return run
 
@@ -117,23 +120,51 @@ def _prefixes(n: int, threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(shared.value, np.uint32)
         for b in batches:
-            sids, firsts, offs, keys = [], [], [0], []
+            sids, offs, keys = [], [0], []
             for g in textvec.row_grams(b.column("text"), n):
                 k = prefix_keys(g, order, threshold)
                 sids.append(set_id(g) if len(g) else None)
-                firsts.append(int(g[0].view(np.int64)) if len(g) else None)
                 keys.append(k)
                 offs.append(offs[-1] + len(k))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.array(offs, np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array(firsts, pa.int64()), lists], names=["doc_id", "sid", "first", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), lists], names=["doc_id", "sid", "keys"])
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """Rows sorted by the first column, as arrays that never part rows which agree in it."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = np.stack([b.column(c).to_numpy() for c in columns], axis=1)
+        if not len(rows):
+            continue
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # rows of the last key wait for the next batch
+        if last:
+            yield np.concatenate([*held, rows[:last]])
+            held = []
+        elif held and held[0][0, 0] != rows[0, 0]:
+            yield np.concatenate(held)
+            held = []
+        held.append(rows[last:])
+    if held:
+        yield np.concatenate(held)
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, df) of the keys that two sets or more have, from (key, doc) sorted by both."""
+    for rows in _runs(batches, ("key", "doc")):
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]  # repeated rows count once
+        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        sizes = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        df = np.repeat(sizes, sizes)
+        rows, df = rows[df > 1], df[df > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(df)], names=["key", "doc", "df"])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, doc, grp) sorted by key: (doc, grp) for each key of doc that the group's union has from another set, groups up to the doc's own."""
-    held: list[np.ndarray] = []
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.empty(len(rows), dtype=bool)
@@ -168,20 +199,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(grps))], names=["doc", "grp"])
 
-    for b in batches:
-        rows = np.stack([b.column(c).to_numpy() for c in ("key", "doc", "grp")], axis=1)
-        if not len(rows):
-            continue
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # rows of the last key wait for the next batch
-        if last:
-            yield from emit(np.concatenate([*held, rows[:last]]))
-            held = []
-        held.append(rows[last:])
-        if len(held) > 1 and held[0][0, 0] != held[-1][0, 0]:
-            yield from emit(np.concatenate(held[:-1]))
-            held = held[-1:]
-    if held:
-        yield from emit(np.concatenate(held))
+    for rows in _runs(batches, ("key", "doc", "grp")):
+        yield from emit(rows)
 
 
 def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allowed, threshold: float) -> list[tuple[int, int, float]]:
@@ -239,29 +258,33 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     """Pairs of different sets (doc_a < doc_b, the least doc_id of each set; jaccard), and all sets (doc_id, docs: the sorted doc_ids)."""
     spark = docs.sparkSession
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(base.mapInArrow(_survey(n), "doc_id long, sid binary, block int, counts binary"), "survey")
+    survey = written(base.mapInArrow(_survey(n), "doc_id long, sid binary, n int, block int, counts binary"), "survey")
     blocks = survey.where("block is not null").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").orderBy("block").collect()
     sketch = {r.block: bytes(r.counts) for r in blocks}
     empty = bytes(4 << BLOCK_BITS)
     order = spark.sparkContext.broadcast(b"".join(sketch.get(k, empty) for k in range(1 << (SKETCH_BITS - BLOCK_BITS))))
-    sets = written(survey.where("sid is not null").groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("docs")).select("sid", F.col("docs")[0].alias("doc_id"), "docs"), "sets")
+    sets = written(survey.where("sid is not null").groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"), F.max("n").alias("n")).select("sid", F.col("docs")[0].alias("doc_id"), "docs", "n"), "sets")
+
+    made = base.mapInArrow(_prefixes(n, threshold, order), "doc_id long, sid binary, keys array<long>").where("sid is not null")
+    mine = made.join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi")
+    entries = mine.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    met = written(entries.repartition(F.col("key")).sortWithinPartitions("key", "doc").mapInArrow(_shared_keys, "key long, doc long, df long"), "keys")
 
-    made = base.mapInArrow(_prefixes(n, threshold, order), "doc_id long, sid binary, first long, keys array<long>").where("sid is not null")
-    mine = made.join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi").dropDuplicates(["doc_id", "sid"])
-    of_first = mine.groupBy("first").count().where(F.col("count") > GROUP)
-    grouped = mine.join(of_first, "first", "left").withColumn("grp", F.when(F.col("count").isNull(), F.xxhash64("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / GROUP)))))
-    placed = written(grouped.select("doc_id", "sid", "grp", "keys"), "groups")
+    best = met.groupBy("doc").agg(F.max(F.struct("df", "key"))["key"].alias("best"))
+    named = best.join(sets.select(F.col("doc_id").alias("doc"), "sid", "n"), "doc")
+    large = named.groupBy("best").agg(F.ceil(F.sum("n") / GROUP_GRAMS).alias("split")).where("split > 1")
+    placed = written(named.join(large, "best", "left").select("doc", "sid", "n", F.when(F.col("split").isNull(), F.xxhash64("best")).otherwise(F.xxhash64("best", F.pmod(F.xxhash64("doc"), "split"))).alias("grp")), "groups")
 
-    entries = placed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "grp")
-    met = entries.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "doc long, grp long")
-    asking = written(met.groupBy("doc", "grp").count().where(F.col("count") >= MATCHES).select("grp", "doc"), "asking")
+    matrix = met.select("key", "doc").join(placed.select("doc", "grp"), "doc").select("key", "doc", "grp")
+    hits = matrix.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "doc long, grp long")
+    asking = written(hits.groupBy("doc", "grp").count().where(F.col("count") >= MATCHES).join(placed.select("doc", "n"), "doc").select("grp", "doc", "n"), "asking")
 
-    parts = asking.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    inside = placed.select("grp", F.col("doc_id").alias("doc")).join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "doc", F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    parts = asking.groupBy("grp").agg(F.ceil(F.sum("n") / QUERY_GRAMS).cast("int").alias("parts"))
+    inside = placed.select("grp", "doc").join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "doc", F.lit(True).alias("member"), F.lit(False).alias("asks"))
     outside = asking.join(parts, "grp").select("grp", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc", F.lit(False).alias("member"), F.lit(True).alias("asks"))
     roles = inside.unionByName(outside).groupBy("grp", "part", "doc").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
     # each document's roles go to its text at once, so that the text is moved once by doc and once to its groups
-    wanted = roles.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(placed.select(F.col("doc_id").alias("doc"), "sid"), "doc")
+    wanted = roles.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(placed.select("doc", "sid"), "doc")
     opened = base.withColumnRenamed("doc_id", "doc").join(wanted, "doc").withColumn("r", F.explode("roles")).select("r.grp", "r.part", "doc", "sid", "r.member", "r.asks", "text")
     pairs = opened.groupBy("grp", "part").applyInArrow(_open(n, threshold), PAIRS)
     return written(pairs, "pairs"), sets
