@@ -9,12 +9,16 @@
    hash is 0 modulo a power of two that leaves SAMPLE to 2 * SAMPLE of them, with
    a threshold lower by ``MARGIN`` for the error; smaller ones use all.
 3. Sets are partitioned into groups: each takes the key of its prefix that most
-   sets have, so that near copies meet in few groups, split at ``GROUP_GRAMS``
+   sets have, then moves to the most popular group whose bound it reaches, so that
+   near copies meet in one group, or few where that is split at ``GROUP_GRAMS``
    n-grams together. The matrix has, for each key, the groups whose union of
    prefixes holds it; keys that one set has alone are left out. A set's overlap with a group's union bounds its overlap
    with any member; groups where the bound is too low are never opened.
-4. Qualifying groups are opened: the members' and the queries' texts come
-   together, and every pair's similarity is computed from the whole sets.
+4. Qualifying groups are opened: first the members' and the queries' samples come
+   together (all n-grams of small sets, so that this decides them but for
+   collisions), and pairs whose sampled similarity is lower than the threshold by
+   more than ``SCREEN`` go; then the texts of those that are left, and every pair's
+   similarity is computed from the whole sets.
 
 Every document is a query; no number of partners or candidates is cut off.
 Reported similarities are exact up to collisions of 64-bit hashes; pairs can be
@@ -39,9 +43,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm import textvec
-from lumenq.llm.shared import table, written
+from lumenq.llm.shared import among, table, written
 
-N, THRESHOLD, SAMPLE, MARGIN, MATCHES = 2, 0.65, 64, 0.05, 2
+N, THRESHOLD, SAMPLE, MARGIN, MATCHES, SCREEN = 2, 0.65, 64, 0.05, 2, 0.15
 #: N-grams that the members, and the queries, of one opened group have together at most (8 bytes each); one set may have more.
 GROUP_GRAMS, QUERY_GRAMS = 3_000_000, 3_000_000
 #: The sketch has 2 ** SKETCH_BITS counters (4 MB), whatever the corpus.
@@ -91,6 +95,17 @@ def _sum_blocks(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(key[0])], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
 
+def power(size: float) -> int:
+    """The universe of a set of that size: n-grams whose hash is 0 modulo this power of two."""
+    return max(0, int(np.floor(np.log2(max(size, 1) / SAMPLE))))
+
+
+def sample_of(grams: np.ndarray) -> bytes:
+    """The low halves of the hashes of the set's n-grams in its own universe."""
+    p = power(len(grams))
+    return (grams[(grams & _U((1 << p) - 1)) == 0] if p else grams).astype(np.uint32).tobytes()
+
+
 def prefix_keys(grams: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
     """The keys that stand for a set in the matrix: its prefix in each universe where it may meet another set.
 
@@ -101,9 +116,6 @@ def prefix_keys(grams: np.ndarray, order: np.ndarray, threshold: float) -> np.nd
     if size < 2:
         return np.zeros(0, _U)  # what resembles a set of one gram is that set
 
-    def power(x: float) -> int:
-        return max(0, int(np.floor(np.log2(max(x, 1) / SAMPLE))))
-
     low, high = power(size), power(size / threshold + 1e-9)
     for p in range(low, high + 1):
         own = grams[(grams & _U((1 << p) - 1)) == 0] if p else grams
@@ -120,15 +132,16 @@ def _prefixes(n: int, threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(shared.value, np.uint32)
         for b in batches:
-            sids, offs, keys = [], [0], []
+            sids, offs, keys, samples = [], [0], [], []
             for g in textvec.row_grams(b.column("text"), n):
                 k = prefix_keys(g, order, threshold)
                 sids.append(set_id(g) if len(g) else None)
                 keys.append(k)
+                samples.append(sample_of(g))
                 offs.append(offs[-1] + len(k))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.array(offs, np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), lists], names=["doc_id", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array(samples, pa.binary()), lists], names=["doc_id", "sid", "sample", "keys"])
 
     return run
 
@@ -203,6 +216,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(rows)
 
 
+def _asking(met: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(grp, doc) of the groups up to a set's own, by number, that share MATCHES keys with it from other sets."""
+    matrix = met.select("key", "doc").join(grouped.select("doc", "grp"), "doc").select("key", "doc", "grp")
+    hits = matrix.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "doc long, grp long")
+    return hits.groupBy("doc", "grp").count().where(F.col("count") >= MATCHES).select("grp", "doc")
+
+
 def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allowed, threshold: float) -> list[tuple[int, int, float]]:
     """(query, member, similarity) of all allowed pairs of positions that reach the threshold."""
     if not members or not queries:
@@ -234,6 +254,29 @@ def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allo
     return out
 
 
+def _screen(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        docs, member, asks, sizes = (group.column(c).to_pylist() for c in ("doc", "member", "asks", "n"))
+        raw = [np.frombuffer(x, np.uint32) for x in group.column("sample").to_pylist()]
+        powers = [power(n) for n in sizes]
+        found = []
+
+        def allowed(q: int, m: int) -> bool:
+            return docs[m] != docs[q] and (not member[q] or docs[m] < docs[q]) and max(powers[q], powers[m]) == p and min(sizes[q], sizes[m]) >= threshold * max(sizes[q], sizes[m]) - 1e-9
+
+        for p in sorted(set(powers)):
+            # a sample is also that of every higher universe, cut to it
+            here = [i for i in range(len(docs)) if powers[i] <= p]
+            sets = {i: np.unique(raw[i][(raw[i] & np.uint32((1 << p) - 1)) == 0]) for i in here}
+            found += similar(sets, [i for i in here if asks[i]], [i for i in here if member[i]], allowed, threshold - (SCREEN if p else 1e-3))
+        k = len(found)
+        first = group.slice(0, 1)
+        grp, part = first.column("grp")[0].as_py(), first.column("part")[0].as_py()
+        return pa.table({"grp": pa.array([grp] * k, pa.int64()), "part": pa.array([part] * k, pa.int32()), "q": pa.array([docs[q] for q, *_ in found], pa.int64()), "m": pa.array([docs[m] for _, m, _ in found], pa.int64()), "inside": pa.array([member[q] for q, *_ in found], pa.bool_())})
+
+    return run
+
+
 def _open(n: int, threshold: float):
     def run(group: pa.Table) -> pa.Table:
         docs = group.column("doc").to_pylist()
@@ -265,29 +308,33 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     order = spark.sparkContext.broadcast(b"".join(sketch.get(k, empty) for k in range(1 << (SKETCH_BITS - BLOCK_BITS))))
     sets = written(survey.where("sid is not null").groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"), F.max("n").alias("n")).select("sid", F.col("docs")[0].alias("doc_id"), "docs", "n"), "sets")
 
-    made = base.mapInArrow(_prefixes(n, threshold, order), "doc_id long, sid binary, keys array<long>").where("sid is not null")
-    mine = made.join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi")
+    made = base.mapInArrow(_prefixes(n, threshold, order), "doc_id long, sid binary, sample binary, keys array<long>").where("sid is not null")
+    mine = written(made.join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi").select("doc_id", "sample", "keys"), "prefixes")
     entries = mine.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     met = written(entries.repartition(F.col("key")).sortWithinPartitions("key", "doc").mapInArrow(_shared_keys, "key long, doc long, df long"), "keys")
 
-    best = met.groupBy("doc").agg(F.max(F.struct("df", "key"))["key"].alias("best"))
-    named = best.join(sets.select(F.col("doc_id").alias("doc"), "sid", "n"), "doc")
-    large = named.groupBy("best").agg(F.ceil(F.sum("n") / GROUP_GRAMS).alias("split")).where("split > 1")
-    placed = written(named.join(large, "best", "left").select("doc", "sid", "n", F.when(F.col("split").isNull(), F.xxhash64("best")).otherwise(F.xxhash64("best", F.pmod(F.xxhash64("doc"), "split"))).alias("grp")), "groups")
-
-    matrix = met.select("key", "doc").join(placed.select("doc", "grp"), "doc").select("key", "doc", "grp")
-    hits = matrix.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "doc long, grp long")
-    asking = written(hits.groupBy("doc", "grp").count().where(F.col("count") >= MATCHES).join(placed.select("doc", "n"), "doc").select("grp", "doc", "n"), "asking")
+    # a group's number falls with the sets that have its key, so a lower one is more popular
+    best = met.groupBy("doc").agg(F.max(F.struct("df", "key")).alias("b")).select("doc", (-(F.col("b.df") * (1 << 32) + F.pmod(F.col("b.key"), F.lit(1 << 32)))).alias("grp"))
+    first = written(best, "first")
+    moved = _asking(met, first).groupBy("doc").agg(F.min("grp").alias("to"))
+    named = first.join(moved, "doc", "left").select("doc", F.coalesce("to", "grp").alias("lead")).join(sets.select(F.col("doc_id").alias("doc"), "sid", "n"), "doc")
+    large = named.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_GRAMS).alias("split")).where("split > 1")
+    placed = written(named.join(large, "lead", "left").select("doc", "sid", "n", F.when(F.col("split").isNull(), F.xxhash64("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "split"))).alias("grp")), "groups")
+    asking = written(_asking(met, placed).join(placed.select("doc", "n"), "doc").select("grp", "doc", "n"), "asking")
 
     parts = asking.groupBy("grp").agg(F.ceil(F.sum("n") / QUERY_GRAMS).cast("int").alias("parts"))
     inside = placed.select("grp", "doc").join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "doc", F.lit(True).alias("member"), F.lit(False).alias("asks"))
     outside = asking.join(parts, "grp").select("grp", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc", F.lit(False).alias("member"), F.lit(True).alias("asks"))
     roles = inside.unionByName(outside).groupBy("grp", "part", "doc").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
+    samples = mine.select(F.col("doc_id").alias("doc"), "sample").dropDuplicates(["doc"]).join(placed.select("doc", "n"), "doc")
+    pairs = roles.join(samples, "doc").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, q long, m long, inside boolean")
+    pairs = written(pairs, "screened")
+    left = pairs.select("grp", "part", F.col("q").alias("doc"), F.col("inside").alias("member"), F.lit(True).alias("asks")).unionByName(pairs.select("grp", "part", F.col("m").alias("doc"), F.lit(True).alias("member"), F.lit(False).alias("asks")))
+    left = left.groupBy("grp", "part", "doc").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
     # each document's roles go to its text at once, so that the text is moved once by doc and once to its groups
-    wanted = roles.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(placed.select("doc", "sid"), "doc")
-    opened = base.withColumnRenamed("doc_id", "doc").join(wanted, "doc").withColumn("r", F.explode("roles")).select("r.grp", "r.part", "doc", "sid", "r.member", "r.asks", "text")
-    pairs = opened.groupBy("grp", "part").applyInArrow(_open(n, threshold), PAIRS)
-    return written(pairs, "pairs"), sets
+    wanted = written(left.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(placed.select("doc", "sid"), "doc"), "wanted")
+    opened = among(base.withColumnRenamed("doc_id", "doc"), wanted, "doc").join(wanted, "doc").withColumn("r", F.explode("roles")).select("r.grp", "r.part", "doc", "sid", "r.member", "r.asks", "text")
+    return written(opened.groupBy("grp", "part").applyInArrow(_open(n, threshold), PAIRS), "pairs"), sets
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

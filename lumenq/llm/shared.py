@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_DIR = "file:///tmp/lumenq-checkpoint"
 
@@ -32,6 +33,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to which a set of keys is broadcast to filter by (16 bytes each).
+BROADCAST_KEYS = 8_000_000
+
+
+def among(df: DataFrame, keys: DataFrame, column: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows whose ``column`` is among ``keys``: by a broadcast of the keys if they are few enough, so that no other row is moved, else by a shuffle."""
+    own = keys.select(column).distinct()
+    return df.join(F.broadcast(own) if own.count() <= limit else own, column, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, column: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows whose ``column`` isn't among ``keys``, nulls included; as ``among``."""
+    own = keys.select(column).distinct()
+    return df.join(F.broadcast(own) if own.count() <= limit else own, column, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
