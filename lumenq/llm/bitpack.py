@@ -105,7 +105,7 @@ def pack_texts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, n_vocab: int |
         bits = width(n_vocab or coder.n_vocab)
         for b in batches:
             offs, _ = textvec.utf8(b.column("text"))
-            for i, j in textvec.pieces(offs, 16 << 20):
+            for i, j in textvec.pieces(offs, bpe.STEP_BYTES):
                 part = b.slice(i, j - i)
                 there = part.column("text").is_valid().to_pylist()
                 o, ids = coder.batch(part.column("text"))

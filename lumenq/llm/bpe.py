@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm import textvec
-from lumenq.llm.shared import table, written
+from lumenq.llm.shared import among, table, without, written
 
 VOCABULARY = os.environ.get("LUMENQ_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,6 +52,8 @@ class Coder:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.n_vocab = max(ranks.values()) + 1
+        #: What ids have between tasks: two bytes where the vocabulary fits.
+        self.narrow = "<u2" if self.n_vocab <= 1 << 16 else "<u4"
         self.pieces: list[bytes] = [b""] * self.n_vocab
         for k, v in ranks.items():
             self.pieces[v] = k
@@ -274,50 +276,61 @@ def _encode_shared(path: str):
                     hs.append(x["h"])
                     texts.append(raw[x["start"] : x["start"] + x["size"]].decode())
             o, ids = coder.batch(pa.array(texts, pa.large_string()))
-            small = ids.astype("<i4")
+            small = ids.astype(coder.narrow)
             yield pa.RecordBatch.from_pydict({"h": pa.array(hs, pa.binary()), "ids": pa.array([small[o[k] : o[k + 1]].tobytes() for k in range(len(hs))], pa.binary())})
 
     return run
 
 
+#: Bytes of text that a worker encodes at once.
+STEP_BYTES = 4 << 20
+
+
+def _assembled(coder: Coder, b: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
+    offs, data = textvec.utf8(b.column("text"))
+    valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
+    spans = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
+    raws, own_text, counts, known_of = [], [], [], []
+    if any(spans):
+        # the parts that no shared chunk covers, of all rows, are encoded in one go
+        for i, got in enumerate(spans):
+            raw = data[offs[i] : offs[i + 1]].tobytes()
+            known = sorted(((x["start"], x["start"] + x["size"], np.frombuffer(x["ids"], coder.narrow).astype(np.int32)) for x in got or []), key=lambda x: x[0])
+            at, n = 0, 0
+            for s, e in [*((s, e) for s, e, _ in known), (len(raw), len(raw))]:
+                if s > at:
+                    own_text.append(raw[at:s].decode())
+                    n += 1
+                at = e
+            raws.append(raw)
+            known_of.append(known)
+            counts.append(n)
+        o, ids = coder.batch(pa.array(own_text, pa.large_string()))
+        out, k = [], 0
+        for raw, known, n in zip(raws, known_of, counts, strict=True):
+            own = [ids[o[x] : o[x + 1]] for x in range(k, k + n)]
+            k += n
+            out.append(assemble(coder, raw, known, own) if known else own[0] if own else ids[:0])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+        flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
+    else:
+        ends, flat = coder.batch(b.column("text"))
+    back = coder.decode(flat)
+    bytes_at = np.concatenate([[0], np.cumsum(coder.lengths[flat])])[ends]
+    whole = data.tobytes()
+    same = [back[bytes_at[i] : bytes_at[i + 1]] == whole[offs[i] : offs[i + 1]] if valid[i] else None for i in range(b.num_rows)]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~valid))
+    made = [lists, pa.array(np.where(valid, np.diff(ends), 0), pa.int32()), pa.array(same, pa.bool_())]
+    return pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *made], names=[*columns, "token_ids", "n_tokens", "decodes_back"])
+
+
 def _assemble_rows(path: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
         for b in batches:
-            offs, data = textvec.utf8(b.column("text"))
-            valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
-            spans = b.column("spans").to_pylist()
-            # the parts that no shared chunk covers, of all rows, are encoded in one go
-            own_text, counts, known_of = [], [], []
-            for i, got in enumerate(spans):
-                raw = data[offs[i] : offs[i + 1]].tobytes()
-                known = sorted((x["start"], x["start"] + x["size"], np.frombuffer(x["ids"], "<i4")) for x in got or [] if x["ids"] is not None) if got else []
-                at, n = 0, 0
-                for s, e in [*((s, e) for s, e, _ in known), (len(raw), len(raw))]:
-                    if s > at:
-                        own_text.append(raw[at:s].decode())
-                        n += 1
-                    at = e
-                known_of.append(known)
-                counts.append(n)
-            o, ids = coder.batch(pa.array(own_text, pa.large_string()))
-            out, k = [], 0
-            for i, known in enumerate(known_of):
-                own = [ids[o[x] : o[x + 1]] for x in range(k, k + counts[i])]
-                k += counts[i]
-                if not known:
-                    out.append(own[0] if own else ids[:0])
-                else:
-                    out.append(assemble(coder, data[offs[i] : offs[i + 1]].tobytes(), known, own))
-            sizes = np.array([len(x) for x in out], dtype=np.int64)
-            flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            back = coder.decode(flat)
-            bytes_at = np.concatenate([[0], np.cumsum(coder.lengths[flat])])[ends]
-            same = [back[bytes_at[i] : bytes_at[i + 1]] == data[offs[i] : offs[i + 1]].tobytes() if valid[i] else None for i in range(len(out))]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~valid) if len(out) else None)
-            cols = [b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(np.where(valid, sizes, 0), pa.int32()), pa.array(same, pa.bool_())], names=[*columns, "token_ids", "n_tokens", "decodes_back"])
+            offs, _ = textvec.utf8(b.column("text"))
+            for i, j in textvec.pieces(offs, STEP_BYTES):
+                yield _assembled(coder, b.slice(i, j - i), columns)
 
     return run
 
@@ -339,11 +352,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
         "shared",
     )
     owners = shared.groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "h")).alias("spans"))
-    texts = base.select("row_key", "text").join(owners, "row_key").dropDuplicates(["row_key"])
+    # only texts that own a shared chunk are moved here, and only those that have one below
+    texts = among(base.select("row_key", "text"), owners, "row_key").join(owners, "row_key").dropDuplicates(["row_key"])
     coded = written(texts.mapInArrow(_encode_shared(vocabulary), "h binary, ids binary"), "coded").dropDuplicates(["h"])
-    uses = found.dropDuplicates(["row_key", "start"]).join(coded, "h").groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("spans"))
+    uses = written(found.dropDuplicates(["row_key", "start"]).join(shared.select("h"), "h", "left_semi"), "uses")
+    spans = uses.join(coded, "h").groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("spans"))
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("decodes_back", T.BooleanType())])
-    return base.join(uses, "row_key", "left").mapInArrow(_assemble_rows(vocabulary, columns), schema)
+    alone = without(base, uses, "row_key").mapInArrow(_assemble_rows(vocabulary, columns), schema)
+    joined = among(base, uses, "row_key").join(spans, "row_key").mapInArrow(_assemble_rows(vocabulary, columns), schema)
+    return alone.unionByName(joined)
 
 
 def _encode_plain(path: str, columns: list[str]):
@@ -351,7 +368,7 @@ def _encode_plain(path: str, columns: list[str]):
         coder = Coder.of(path)
         for b in batches:
             offs, _ = textvec.utf8(b.column("text"))
-            for i, j in textvec.pieces(offs, 16 << 20):
+            for i, j in textvec.pieces(offs, STEP_BYTES):
                 part = b.slice(i, j - i)
                 text = part.column("text")
                 o, ids = coder.batch(text)
