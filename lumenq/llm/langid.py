@@ -92,11 +92,11 @@ class Model:
 
     def margins(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each row's margin for each bit, and its number of letters."""
-        offs, data, letters = _squeezed(arr)
-        n, bits = len(offs) - 1, self.codes.shape[1]
-        out = np.zeros((n, bits), np.float32)
+        offs, _ = textvec.utf8(arr)
+        n, bits = len(arr), self.codes.shape[1]
+        out, letters = np.zeros((n, bits), np.float32), np.zeros(n, np.int64)
         for i, j in textvec.pieces(offs, 1 << 18):
-            o, d = offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
+            o, d, letters[i:j] = _squeezed(arr.slice(i, j - i))
             if not len(d):
                 continue
             total = np.zeros((len(d), self.weights.shape[2]), np.float32)
