@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm import jaccard, langid, packing, pii
-from lumenq.llm.shared import table, written
+from lumenq.llm.shared import table, without, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of similar ones: that of the least doc_id, once. Rows with a null doc_id stay."""
     found = jaccard.groups(docs)
     gone = found.where("doc_id <> keeper").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, gone, "doc_id").select(*docs.columns)
     twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
