@@ -204,6 +204,21 @@ def test_imatch(spark, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_imatch_near_copies(spark, none):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(r.sample(vocabulary, 80))) for k in range(300)]
+    near = [(k + 1000, " ".join(["other", "new", "terms", *text.split()[3:]])) for k, text in rows[:60]]
+    rest = [(2000, None), (2001, ""), (2002, "only words of this one"), (2003, "this one of words only")]
+    df = spark.createDataFrame(rows + near + rest, "doc_id long, text string")
+    got = {x.doc_id: x.hashes for x in imatch.near_hashes(df).collect()}
+    assert len(got) == len(rows) + len(near) + len(rest) and sum(bool({*got[k]} & {*got[k + 1000]}) for k in range(60)) >= 57
+    assert not any({*got[a]} & {*got[b]} for a in range(300) for b in range(a))
+    assert got[2000] == got[2001] == [] and got[2002] == got[2003] and len(got[2002]) == 1
+    assert {x.doc_id: x.hashes for x in imatch.near_hashes(df, broadcast_terms=0).collect()} == got
+    assert imatch.near_hashes(none).count() == 0
+
+
 def test_pii(docs, none, rows):
     got = pii.pseudonymize(docs.withColumn("n_pii", F.lit("clash"))).collect()
     assert len(got) == len(rows)
