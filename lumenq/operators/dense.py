@@ -54,8 +54,12 @@ def retrieve(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return top(scores(vectors, queries), k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("dense").alias("score_kind"))
 
 
-def retrieve_hashed(vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
-    """Approximate: only vectors that share a random-hyperplane bucket with the question in some table are scored, exactly."""
+def retrieve_hashed(vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 24, bits: int = 6, seed: int = 11, flips: int = 2) -> DataFrame:
+    """Approximate: only vectors in a bucket that the question probes in some table are scored, exactly.
+
+    In each table of random hyperplanes a question probes its own bucket, and the ``flips`` buckets across the single
+    hyperplanes that it lies nearest to.
+    """
     from functools import reduce
 
     dim = len(vectors.select("vec").first()[0])
@@ -68,9 +72,16 @@ def retrieve_hashed(vectors: DataFrame, queries: DataFrame, k: int = 50, tables:
             out.append(reduce(lambda a, b: a + b, sides) + F.lit(t << bits))
         return F.array(*out)
 
-    left = vectors.select("chunk_id", "ordinal", "vec", F.explode(buckets(F.col("vec"))).alias("bucket"))
-    right = queries.select("qid", "qvec", F.explode(buckets(F.col("qvec"))).alias("bucket"))
-    met = left.join(right, "bucket").dropDuplicates(["qid", "chunk_id"])
+    def nearest(c: Column) -> Column:
+        """For each table, the bits of its hyperplanes by their distance from the vector."""
+        return F.array(*[F.array_sort(F.array(*[F.struct(F.abs(dot(c, F.array(*[F.lit(float(x)) for x in planes[t, b]]))).alias("far"), F.lit(1 << b).alias("bit")) for b in range(bits)])) for t in range(tables)])
+
+    left = vectors.select("chunk_id", "ordinal", "vec", buckets(F.col("vec")).alias("own")).select("*", F.explode("own").alias("bucket"))
+    tables_of = F.arrays_zip(buckets(F.col("qvec")).alias("own"), nearest(F.col("qvec")).alias("near"))
+    probes = F.flatten(F.transform(tables_of, lambda t: F.concat(F.array(t["own"]), F.transform(F.slice(t["near"], 1, flips), lambda s: t["own"].bitwiseXOR(s["bit"])))))
+    right = queries.select("qid", "qvec", probes.alias("probes")).select("*", F.explode("probes").alias("bucket"))
+    # a pair counts in the first table where it meets, so that pairs needn't be moved to drop repeats
+    met = left.join(right, "bucket").where(F.array_min(F.array_intersect("own", "probes")) == F.col("bucket"))
     return top(met.select("qid", "chunk_id", "ordinal", dot(F.col("vec"), F.col("qvec")).alias("score")), k).withColumn("score_kind", F.lit("dense"))
 
 

@@ -436,6 +436,19 @@ def test_hashed_search_finds_most(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_hashed_search_finds_most_of_64_dimensions(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    v = r.normal(size=(8, 64))[r.integers(0, 8, 300)] + 2.5 * r.normal(size=(300, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    vecs = spark.createDataFrame([(str(i), i, x.tolist()) for i, x in enumerate(v)], "chunk_id string, ordinal long, vec array<float>")
+    q = vecs.where("ordinal < 20").select(F.col("chunk_id").alias("qid"), F.col("vec").alias("qvec"))
+    exact = {(x.qid, x.chunk_id) for x in dense.retrieve(vecs, q, 5).collect()}
+    found, one = ({(x.qid, x.chunk_id) for x in dense.retrieve_hashed(vecs, q, 5, flips=n).collect()} for n in (2, 0))
+    assert len(exact & found) >= 0.9 * len(exact) > len(exact & one)
+
+
 def test_entry_without_the_corpus_operators(monkeypatch):
     import builtins
     import importlib
