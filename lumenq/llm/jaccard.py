@@ -1,33 +1,39 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams, with a token-group matrix.
 
-1. Documents with the same set of n-grams are one set from here on. The same
-   pass counts all n-grams in a sketch of fixed size.
-2. Each set's n-grams are put in the sketch's order, rare ones first, so that
-   passages which many documents share come last. A set that is similar to
-   another at ``THRESHOLD`` agrees with it in at least ``MATCHES`` of the first
-   ones (the prefix filter). Sets of more than 2 * ``SAMPLE`` n-grams use those whose
-   hash is 0 modulo a power of two that leaves SAMPLE to 2 * SAMPLE of them, with
-   a threshold lower by ``MARGIN`` for the error; smaller ones use all.
+1. Documents with the same n-grams are one set from here on, with a number. Sets of
+   more than 2 * ``SAMPLE`` n-grams keep the n-grams of their universe: those whose
+   hash starts with so many zero bits that SAMPLE to 2 * SAMPLE are left; smaller
+   sets keep all. The same pass counts what is kept in a sketch of fixed size.
+2. What a set keeps is put in the sketch's order, rare n-grams first, so that
+   passages which many documents share come last. A set of s n-grams has an overlap
+   of at least a = ceil(threshold * s) with any similar one, so the two agree in m of their
+   first s - a + m (the prefix filter), m being ``MATCHES`` or a if that is less.
+   Where universes are sampled, s and a are those of the sample, at a threshold lower by ``MARGIN``.
 3. Sets are partitioned into groups: each takes the key of its prefix that most
    sets have, then moves to the most popular group whose bound it reaches, so that
    near copies meet in one group, or few where that is split at ``GROUP_GRAMS``
    n-grams together. The matrix has, for each key, the groups whose union of
-   prefixes holds it; keys that one set has alone are left out. A set's overlap with a group's union bounds its overlap
-   with any member; groups where the bound is too low are never opened.
+   prefixes holds it; keys that one set has alone are left out. A set's overlap with
+   a group's union bounds its overlap with any member; groups where it is
+   less than m, or whose members are all too small or too large, are never opened.
 4. Qualifying groups are opened: first the members' and the queries' samples come
    together (all n-grams of small sets, so that this decides them but for
-   collisions), and pairs whose sampled similarity is lower than the threshold by
-   more than ``SCREEN`` go; then the texts of those that are left, and every pair's
+   collisions), and sets without a partner whose sampled similarity is at most ``SCREEN``
+   below the threshold go; then the texts of those that are left, and every pair's
    similarity is computed from the whole sets.
 
 Every document is a query; no number of partners or candidates is cut off.
-Reported similarities are exact up to collisions of 64-bit hashes; pairs can be
-missed only where both sets are sampled (recall is tested against brute force).
+Reported similarities are exact up to collisions of 64-bit hashes. Pairs in which one
+set has 2 * SAMPLE n-grams at most are never missed. Of larger ones a pair can be, where fewer of the common n-grams
+fall in the sample than MARGIN allows for: with at most 5 % probability for a pair exactly at
+0.65 of which one set contains the other (the worst case), less for any other; tests hold it
+against brute force.
 
 Terms are as in ``textvec``. Edges: null or empty texts and texts without terms
 resemble nothing, not even each other; a text of fewer terms than N has one gram
-of all; rows with a null doc_id are left out; repeated rows count once; an empty
-table has no pairs; other columns are ignored.
+of all; rows with a null doc_id are left out; repeated rows count once; a doc_id
+with several texts is similar to what any of them is, by the greatest
+similarity; an empty table has no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,105 +49,134 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm import textvec
-from lumenq.llm.shared import among, table, written
+from lumenq.llm.shared import among, drop, table, written
 
-N, THRESHOLD, SAMPLE, MARGIN, MATCHES, SCREEN = 2, 0.65, 64, 0.05, 2, 0.15
+N, THRESHOLD, SAMPLE, MARGIN, MATCHES, SCREEN = 2, 0.65, 64, 0.1, 2, 0.15
 #: N-grams that the members, and the queries, of one opened group have together at most (8 bytes each); one set may have more.
 GROUP_GRAMS, QUERY_GRAMS = 3_000_000, 3_000_000
-#: The sketch has 2 ** SKETCH_BITS counters (4 MB), whatever the corpus.
-SKETCH_BITS, BLOCK_BITS = 20, 16
-PAIRS = "doc_a long, doc_b long, jaccard double"
+#: The sketch has 2 ** SKETCH_BITS counters (8 MB), whatever the corpus.
+SKETCH_BITS, BLOCK_BITS = 21, 16
+#: Documents of sets with several up to which these are broadcast to write out the pairs; beyond, a join.
+BROADCAST_COPIES = 2_000_000
+#: Copies of one set that a task pairs with all the others.
+COPIES = 2000
+PAIRS = "a long, b long, rep_a long, rep_b long, jaccard double"
+SURVEY = "doc_id long, th long, sid binary, n int, hi binary, lo binary, cuts binary, block int, counts binary"
 
 _U = np.uint64
+_EPS = 1e-9
 
 
 def set_id(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _buckets(grams: np.ndarray) -> np.ndarray:
-    return (grams >> _U(64 - SKETCH_BITS)).astype(np.int64)
+def power(size: float) -> int:
+    """The universe of a set of that size: n-grams whose hash starts with so many zero bits."""
+    return max(0, int(np.floor(np.log2(max(size, 1) / SAMPLE))))
+
+
+def least_overlap(size: int, threshold: float) -> int:
+    """What a set of that size has in common at least with a similar one."""
+    return max(1, int(np.ceil(threshold * size - _EPS)))
+
+
+def matches(size: int, threshold: float) -> int:
+    """The prefix keys that it has in common with a similar one at least."""
+    return min(MATCHES, least_overlap(size, threshold))
+
+
+def cuts_of(grams: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of the ascending hashes are in each universe where the set may meet a similar one: its own, and those of larger partners."""
+    size = len(grams)
+    low, high = power(size), power(size / threshold + _EPS)
+    return np.array([np.searchsorted(grams, _U(1 << (64 - p))) if p else size for p in range(low, high + 1)], np.int32)
+
 
+def _universe_keys(own: np.ndarray, p: int) -> np.ndarray:
+    """A key is the n-gram's hash mixed with the universe."""
+    return textvec.mix64(own + _U(p * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
-def _survey(n: int):
+
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def alone(size: int, threshold: float) -> bool:
+    """Whether only a set of the same n-grams can be similar."""
+    return least_overlap(size, threshold) == size and int(np.floor(size / threshold + _EPS)) == size
+
+
+def _survey(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["doc_id", "sid", "n", "block", "counts"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        names = [x.split()[0] for x in SURVEY.split(", ")]
         for b in batches:
-            sids, sizes, held, size = [], [], [], 0
+            sids, sizes, his, los, cuts, held, size = [], [], [], [], [], [], 0
             for g in textvec.row_grams(b.column("text"), n):
-                sids.append(set_id(g) if len(g) else None)
                 sizes.append(len(g))
-                held.append(g)
-                size += len(g)
+                if not len(g):
+                    for x in (sids, his, los, cuts):
+                        x.append(None)
+                    continue
+                c = cuts_of(g, threshold)
+                own, low = g[: c[0]], power(len(g))
+                sids.append(set_id(g))
+                his.append((own >> _U(32)).astype(np.uint32).tobytes())
+                los.append(own.astype(np.uint32).tobytes())
+                cuts.append(c.tobytes())
+                for k, upto in enumerate(c.tolist()):
+                    held.append(_universe_keys(own[:upto], low + k))
+                    size += upto
                 if size > 1_000_000:
                     counts += np.bincount(_buckets(np.concatenate(held)), minlength=len(counts))
                     held, size = [], 0
             if held:
                 counts += np.bincount(_buckets(np.concatenate(held)), minlength=len(counts))
-            k = len(sids)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.binary())], names=names)
+            none = [None] * len(sids)
+            cols = [sids, sizes, his, los, cuts, none, none]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *[pa.array(x, t) for x, t in zip(cols, types[2:], strict=True)]], names=names)
         if counts.any():
             blocks = counts.astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
-            k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([None] * k, types[0]), pa.array([None] * k, types[1]), pa.array([None] * k, types[2]), pa.array(range(k), types[3]), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], types[4])], names=names)
+            none = [None] * len(blocks)
+            cols = [*[none] * 7, range(len(blocks)), [zlib.compress(x.tobytes(), 1) for x in blocks]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
-def _sum_blocks(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _sum_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["counts"])
     return pd.DataFrame({"block": [int(key[0])], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
 
-def power(size: float) -> int:
-    """The universe of a set of that size: n-grams whose hash is 0 modulo this power of two."""
-    return max(0, int(np.floor(np.log2(max(size, 1) / SAMPLE))))
-
-
-def sample_of(grams: np.ndarray) -> bytes:
-    """The low halves of the hashes of the set's n-grams in its own universe."""
-    p = power(len(grams))
-    return (grams[(grams & _U((1 << p) - 1)) == 0] if p else grams).astype(np.uint32).tobytes()
-
-
-def prefix_keys(grams: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
-    """The keys that stand for a set in the matrix: its prefix in each universe where it may meet another set.
-
-    A universe is the n-grams whose hash is 0 modulo a power of two; a key is
-    the n-gram's hash mixed with it.
-    """
-    size, parts = len(grams), []
-    if size < 2:
-        return np.zeros(0, _U)  # what resembles a set of one gram is that set
-
-    low, high = power(size), power(size / threshold + 1e-9)
-    for p in range(low, high + 1):
-        own = grams[(grams & _U((1 << p) - 1)) == 0] if p else grams
-        t = threshold - MARGIN if p else threshold
-        take = len(own) - int(np.ceil(t * len(own) - 1e-9)) + MATCHES
-        if take < len(own):
-            rank = np.lexsort((own, order[_buckets(own)]))
-            own = own[rank[:take]]
-        parts.append(textvec.mix64(own + _U(p * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+def prefix_keys(kept: np.ndarray, cuts: np.ndarray, size: int, order: np.ndarray, threshold: float) -> np.ndarray:
+    """The keys that stand for a set in the matrix: its prefix in each universe where it may meet another set."""
+    if alone(size, threshold):
+        return np.zeros(0, _U)
+    low, parts = power(size), []
+    for k, upto in enumerate(cuts.tolist()):
+        keys, p = _universe_keys(kept[:upto], low + k), low + k
+        t = max(threshold - MARGIN, threshold / 2) if p else threshold
+        take = upto - least_overlap(upto, t) + (MATCHES if p else matches(size, threshold))
+        if take < upto:
+            keys = keys[np.lexsort((keys, order[_buckets(keys)]))[:take]]
+        parts.append(keys)
     return np.concatenate(parts)
 
 
-def _prefixes(n: int, threshold: float, shared):
+def _prefixes(threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(shared.value, np.uint32)
         for b in batches:
-            sids, offs, keys, samples = [], [0], [], []
-            for g in textvec.row_grams(b.column("text"), n):
-                k = prefix_keys(g, order, threshold)
-                sids.append(set_id(g) if len(g) else None)
-                keys.append(k)
-                samples.append(sample_of(g))
-                offs.append(offs[-1] + len(k))
+            keys, lens = [], []
+            for size, hi, lo, cuts in zip(*(b.column(c).to_pylist() for c in ("n", "hi", "lo", "cuts")), strict=True):
+                kept = (np.frombuffer(hi, np.uint32).astype(_U) << _U(32)) | np.frombuffer(lo, np.uint32).astype(_U)
+                keys.append(prefix_keys(kept, np.frombuffer(cuts, np.int32), size, order, threshold))
+                lens.append(len(keys[-1]))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.array(offs, np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.binary()), pa.array(samples, pa.binary()), lists], names=["doc_id", "sid", "sample", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column("sno").to_numpy(), lens))], names=["key", "sno"])
 
     return run
 
@@ -166,18 +201,17 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterat
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, df) of the keys that two sets or more have, from (key, doc) sorted by both."""
-    for rows in _runs(batches, ("key", "doc")):
-        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]  # repeated rows count once
+    """(key, sno, df) of the keys that two sets or more have, from (key, sno) sorted by key."""
+    for rows in _runs(batches, ("key", "sno")):
         new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
         sizes = np.diff(np.append(np.flatnonzero(new), len(rows)))
         df = np.repeat(sizes, sizes)
         rows, df = rows[df > 1], df[df > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(df)], names=["key", "doc", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(df)], names=["key", "sno", "df"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, doc, grp) sorted by key: (doc, grp) for each key of doc that the group's union has from another set, groups up to the doc's own."""
+    """From (key, sno, grp) sorted by key: (sno, grp) for each key of the set that the group's union has from another one, groups up to the set's own."""
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.empty(len(rows), dtype=bool)
@@ -185,17 +219,17 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.not_equal(rows[1:, 0], rows[:-1, 0], out=new[1:])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(rows)))
-        docs, grps, n = [], [], 0
+        snos, grps, n = [], [], 0
         for s, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             run = rows[s : s + k]
             if k == 2:
                 a, b = run
                 if a[2] == b[2]:
-                    docs.append(run[:, 1])
+                    snos.append(run[:, 1])
                     grps.append(run[:, 2])
                     n += 2
                 else:
-                    docs.append(np.array([a[1] if a[2] > b[2] else b[1]]))
+                    snos.append(np.array([a[1] if a[2] > b[2] else b[1]]))
                     grps.append(np.array([min(a[2], b[2])]))
                     n += 1
             else:
@@ -203,24 +237,26 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(k):
                     upto = int(np.searchsorted(g, run[i, 2]))
                     fit = g[: upto + (c[upto] > 1)]
-                    docs.append(np.full(len(fit), run[i, 1]))
+                    snos.append(np.full(len(fit), run[i, 1]))
                     grps.append(fit)
                     n += len(fit)
             if n > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(grps))], names=["doc", "grp"])
-                docs, grps, n = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(snos)), pa.array(np.concatenate(grps))], names=["sno", "grp"])
+                snos, grps, n = [], [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(grps))], names=["doc", "grp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(snos)), pa.array(np.concatenate(grps))], names=["sno", "grp"])
 
-    for rows in _runs(batches, ("key", "doc", "grp")):
+    for rows in _runs(batches, ("key", "sno", "grp")):
         yield from emit(rows)
 
 
-def _asking(met: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(grp, doc) of the groups up to a set's own, by number, that share MATCHES keys with it from other sets."""
-    matrix = met.select("key", "doc").join(grouped.select("doc", "grp"), "doc").select("key", "doc", "grp")
-    hits = matrix.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "doc long, grp long")
-    return hits.groupBy("doc", "grp").count().where(F.col("count") >= MATCHES).select("grp", "doc")
+def _asking(met: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+    """(grp, sno, n) of the groups up to a set's own, by number, whose bound it reaches: enough keys in common with other sets, and a member of a fitting size."""
+    matrix = met.select("key", "sno").join(grouped.select("sno", "grp"), "sno").select("key", "sno", "grp")
+    hits = matrix.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_overlaps, "sno long, grp long")
+    shared = hits.groupBy("sno", "grp").count().join(grouped.select("sno", "n"), "sno").where(F.col("count") >= F.least(F.lit(MATCHES), F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - _EPS))))
+    sizes = grouped.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return shared.join(sizes, "grp").where((F.col("most") >= F.col("n") * threshold - _EPS) & (F.col("least") * threshold <= F.col("n") + _EPS)).select("grp", "sno", "n")
 
 
 def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allowed, threshold: float) -> list[tuple[int, int, float]]:
@@ -255,103 +291,138 @@ def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allo
 
 
 def _screen(threshold: float):
+    """The sets of a group, and its queries, that have a partner there by their samples: their roles."""
+
     def run(group: pa.Table) -> pa.Table:
-        docs, member, asks, sizes = (group.column(c).to_pylist() for c in ("doc", "member", "asks", "n"))
-        raw = [np.frombuffer(x, np.uint32) for x in group.column("sample").to_pylist()]
+        snos, member, asks, sizes = (group.column(c).to_pylist() for c in ("sno", "member", "asks", "n"))
+        raw = [np.frombuffer(x, np.uint32) for x in group.column("lo").to_pylist()]
+        cuts = [np.frombuffer(x, np.int32) for x in group.column("cuts").to_pylist()]
         powers = [power(n) for n in sizes]
-        found = []
+        roles: dict[int, list[bool]] = {}
 
         def allowed(q: int, m: int) -> bool:
-            return docs[m] != docs[q] and (not member[q] or docs[m] < docs[q]) and max(powers[q], powers[m]) == p and min(sizes[q], sizes[m]) >= threshold * max(sizes[q], sizes[m]) - 1e-9
+            return snos[m] != snos[q] and (not member[q] or snos[m] < snos[q]) and max(powers[q], powers[m]) == p and min(sizes[q], sizes[m]) >= threshold * max(sizes[q], sizes[m]) - _EPS
 
         for p in sorted(set(powers)):
-            # a sample is also that of every higher universe, cut to it
-            here = [i for i in range(len(docs)) if powers[i] <= p]
-            sets = {i: np.unique(raw[i][(raw[i] & np.uint32((1 << p) - 1)) == 0]) for i in here}
-            found += similar(sets, [i for i in here if asks[i]], [i for i in here if member[i]], allowed, threshold - (SCREEN if p else 1e-3))
-        k = len(found)
-        first = group.slice(0, 1)
+            # a sample starts with that of every higher universe
+            here = [i for i in range(len(snos)) if powers[i] <= p < powers[i] + len(cuts[i])]
+            sets = {i: np.unique(raw[i][: cuts[i][p - powers[i]]]) for i in here}
+            for q, m, _ in similar(sets, [i for i in here if asks[i]], [i for i in here if member[i]], allowed, threshold - (SCREEN if p else 1e-3)):
+                roles.setdefault(q, [member[q], False])[1] = True
+                roles.setdefault(m, [True, False])
+        k, first = len(roles), group.slice(0, 1)
         grp, part = first.column("grp")[0].as_py(), first.column("part")[0].as_py()
-        return pa.table({"grp": pa.array([grp] * k, pa.int64()), "part": pa.array([part] * k, pa.int32()), "q": pa.array([docs[q] for q, *_ in found], pa.int64()), "m": pa.array([docs[m] for _, m, _ in found], pa.int64()), "inside": pa.array([member[q] for q, *_ in found], pa.bool_())})
+        cols = [[grp] * k, [part] * k, [snos[i] for i in roles], [x for x, _ in roles.values()], [x for _, x in roles.values()]]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("grp", "part", "sno", "member", "asks"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)})
 
     return run
 
 
-def _open(n: int, threshold: float):
+def _forest(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """As many of the pairs as keep what is connected connected."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    out = []
+    for q, m, j in found:
+        a, b = top(q), top(m)
+        if a != b:
+            root[a] = b
+            out.append((q, m, j))
+    return out
+
+
+def _open(n: int, threshold: float, forest: bool):
     def run(group: pa.Table) -> pa.Table:
-        docs = group.column("doc").to_pylist()
-        expected = group.column("sid").to_pylist()
-        member = group.column("member").to_pylist()
-        asks = group.column("asks").to_pylist()
+        snos, reps, member, asks = (group.column(c).to_pylist() for c in ("sno", "rep", "member", "asks"))
         sets = list(textvec.row_grams(group.column("text").combine_chunks(), n))
-        seen, rows = set(), []
-        for i, g in enumerate(sets):  # a doc_id with several texts is here once for each
-            if docs[i] not in seen and set_id(g) == expected[i]:
-                seen.add(docs[i])
-                rows.append(i)
-        found = similar(sets, [i for i in rows if asks[i]], [i for i in rows if member[i]], lambda q, m: docs[m] != docs[q] and (not member[q] or docs[m] < docs[q]), threshold)
-        a = [min(docs[q], docs[m]) for q, m, _ in found]
-        b = [max(docs[q], docs[m]) for q, m, _ in found]
-        return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array([j for *_, j in found], pa.float64())})
+        rows = list({s: i for i, s in enumerate(snos)}.values())  # repeated rows are here once for each
+        found = similar(sets, [i for i in rows if asks[i]], [i for i in rows if member[i]], lambda q, m: snos[m] != snos[q] and (not member[q] or snos[m] < snos[q]), threshold)
+        if forest:
+            found = _forest(found)
+        cols = [[of[x[side]] for x in found] for of in (snos, reps) for side in (0, 1)]
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "rep_a", "rep_b"), cols, strict=True)} | {"jaccard": pa.array([j for *_, j in found], pa.float64())})
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different sets (doc_a < doc_b, the least doc_id of each set; jaccard), and all sets (doc_id, docs: the sorted doc_ids)."""
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of different sets (a, b, rep_a, rep_b: the least doc_id of each; jaccard), all sets (sno, sid, rep, copies), all documents (doc_id, th, sid).
+
+    th is a hash of the text; copies says whether a set has several doc_ids.
+    With ``forest``, only as many pairs as connect what is similar, in one step or several.
+    """
     spark = docs.sparkSession
-    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(base.mapInArrow(_survey(n), "doc_id long, sid binary, n int, block int, counts binary"), "survey")
+    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    survey = written(base.mapInArrow(_survey(n, threshold), SURVEY), "survey")
     blocks = survey.where("block is not null").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").orderBy("block").collect()
     sketch = {r.block: bytes(r.counts) for r in blocks}
     empty = bytes(4 << BLOCK_BITS)
     order = spark.sparkContext.broadcast(b"".join(sketch.get(k, empty) for k in range(1 << (SKETCH_BITS - BLOCK_BITS))))
-    sets = written(survey.where("sid is not null").groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"), F.max("n").alias("n")).select("sid", F.col("docs")[0].alias("doc_id"), "docs", "n"), "sets")
+    each = survey.where("sid is not null")
+    made = each.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("doc_id").alias("last"), *[F.first(c).alias(c) for c in ("n", "hi", "lo", "cuts")])
+    sets = written(made.select(F.monotonically_increasing_id().alias("sno"), "sid", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), (F.col("last") > F.col("r.doc_id")).alias("copies"), "n", "hi", "lo", "cuts"), "sets")
 
-    made = base.mapInArrow(_prefixes(n, threshold, order), "doc_id long, sid binary, sample binary, keys array<long>").where("sid is not null")
-    mine = written(made.join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi").select("doc_id", "sample", "keys"), "prefixes")
-    entries = mine.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    met = written(entries.repartition(F.col("key")).sortWithinPartitions("key", "doc").mapInArrow(_shared_keys, "key long, doc long, df long"), "keys")
+    entries = sets.select("sno", "n", "hi", "lo", "cuts").mapInArrow(_prefixes(threshold, order), "key long, sno long")
+    met = written(entries.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, sno long, df long"), "keys")
 
     # a group's number falls with the sets that have its key, so a lower one is more popular
-    best = met.groupBy("doc").agg(F.max(F.struct("df", "key")).alias("b")).select("doc", (-(F.col("b.df") * (1 << 32) + F.pmod(F.col("b.key"), F.lit(1 << 32)))).alias("grp"))
-    first = written(best, "first")
-    moved = _asking(met, first).groupBy("doc").agg(F.min("grp").alias("to"))
-    named = first.join(moved, "doc", "left").select("doc", F.coalesce("to", "grp").alias("lead")).join(sets.select(F.col("doc_id").alias("doc"), "sid", "n"), "doc")
+    sizes = sets.select("sno", "n")
+    best = met.groupBy("sno").agg(F.max(F.struct("df", "key")).alias("b")).select("sno", (-(F.col("b.df") * (1 << 32) + F.pmod(F.col("b.key"), F.lit(1 << 32)))).alias("grp"))
+    first = written(best.join(sizes, "sno"), "first")
+    moved = _asking(met, first, threshold).groupBy("sno").agg(F.min("grp").alias("to"))
+    named = first.join(moved, "sno", "left").select("sno", "n", F.coalesce("to", "grp").alias("lead"))
     large = named.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_GRAMS).alias("split")).where("split > 1")
-    placed = written(named.join(large, "lead", "left").select("doc", "sid", "n", F.when(F.col("split").isNull(), F.xxhash64("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "split"))).alias("grp")), "groups")
-    asking = written(_asking(met, placed).join(placed.select("doc", "n"), "doc").select("grp", "doc", "n"), "asking")
+    placed = written(named.join(large, "lead", "left").select("sno", "n", F.when(F.col("split").isNull(), F.xxhash64("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("sno"), "split"))).alias("grp")), "groups")
+    asking = written(_asking(met, placed, threshold), "asking")
 
     parts = asking.groupBy("grp").agg(F.ceil(F.sum("n") / QUERY_GRAMS).cast("int").alias("parts"))
-    inside = placed.select("grp", "doc").join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "doc", F.lit(True).alias("member"), F.lit(False).alias("asks"))
-    outside = asking.join(parts, "grp").select("grp", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc", F.lit(False).alias("member"), F.lit(True).alias("asks"))
-    roles = inside.unionByName(outside).groupBy("grp", "part", "doc").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
-    samples = mine.select(F.col("doc_id").alias("doc"), "sample").dropDuplicates(["doc"]).join(placed.select("doc", "n"), "doc")
-    pairs = roles.join(samples, "doc").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, q long, m long, inside boolean")
-    pairs = written(pairs, "screened")
-    left = pairs.select("grp", "part", F.col("q").alias("doc"), F.col("inside").alias("member"), F.lit(True).alias("asks")).unionByName(pairs.select("grp", "part", F.col("m").alias("doc"), F.lit(True).alias("member"), F.lit(False).alias("asks")))
-    left = left.groupBy("grp", "part", "doc").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
-    # each document's roles go to its text at once, so that the text is moved once by doc and once to its groups
-    wanted = written(left.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(placed.select("doc", "sid"), "doc"), "wanted")
-    opened = among(base.withColumnRenamed("doc_id", "doc"), wanted, "doc").join(wanted, "doc").withColumn("r", F.explode("roles")).select("r.grp", "r.part", "doc", "sid", "r.member", "r.asks", "text")
-    return written(opened.groupBy("grp", "part").applyInArrow(_open(n, threshold), PAIRS), "pairs"), sets
-
-
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents at the threshold: doc_a, doc_b, jaccard, docs_a, docs_b.
-
-    A row stands for the pairs of every document in docs_a (the same n-grams as
-    doc_a, its least) with every one in docs_b. Documents with the same
-    n-grams have a row of similarity 1 whose two lists are equal.
+    inside = placed.select("grp", "sno").join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "sno", F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    outside = asking.join(parts, "grp").select("grp", F.pmod(F.xxhash64("sno"), "parts").cast("int").alias("part"), "sno", F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    roles = inside.unionByName(outside).groupBy("grp", "part", "sno").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
+    left = roles.join(sets.select("sno", "n", "lo", "cuts"), "sno").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, sno long, member boolean, asks boolean")
+    # each set's roles go to its text at once, so that the text is moved once by its key and once to its groups
+    known = left.groupBy("sno").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(sets.select("sno", "rep", "th"), "sno")
+    wanted = written(known.withColumn("rk", F.xxhash64("rep", "th")), "wanted")
+    keyed = base.withColumnRenamed("doc_id", "rep").withColumn("rk", F.xxhash64("rep", "th"))
+    opened = among(keyed, wanted, "rk").join(wanted, ["rk", "rep", "th"]).withColumn("r", F.explode("roles")).select("r.grp", "r.part", "sno", "rep", "r.member", "r.asks", "text")
+    pairs = written(opened.groupBy("grp", "part").applyInArrow(_open(n, threshold, forest), PAIRS), "pairs")
+    drop(met, first, placed, asking, wanted)
+    return pairs, sets, each.select("doc_id", "th", "sid")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """All pairs of documents at the threshold, one row each: doc_a < doc_b, jaccard.
+
+    Copies are paired with each other, and each of them with what its set is
+    similar to, so the rows of a group of copies grow with its square.
     """
-    pairs, sets = similar_sets(docs, n, threshold)
-    same = sets.where(F.size("docs") > 1)
+    pairs, sets, each = similar_sets(docs, n, threshold)
+    copies = written(each.select("doc_id", "sid").dropDuplicates().join(sets.where("copies").select("sid", "sno"), "sid").select("sno", "doc_id"), "copies")
+    few = copies.count() <= broadcast_copies
     rows = pairs
     for side in ("a", "b"):
-        lists = same.select(F.col("doc_id").alias(f"doc_{side}"), F.col("docs").alias(f"docs_{side}"))
-        rows = rows.join(lists, f"doc_{side}", "left").withColumn(f"docs_{side}", F.coalesce(f"docs_{side}", F.array(f"doc_{side}")))
-    rows = rows.select("doc_a", "doc_b", "jaccard", "docs_a", "docs_b")
-    return rows.unionByName(same.select(F.col("doc_id").alias("doc_a"), F.col("docs")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b")))
+        own = copies.select(F.col("sno").alias(side), F.col("doc_id").alias(f"doc_{side}"))
+        rows = rows.join(F.broadcast(own) if few else own, side, "left").withColumn(f"doc_{side}", F.coalesce(f"doc_{side}", f"rep_{side}"))
+    rows = rows.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    # a part of a set's copies is paired with all of them in one task
+    parts = copies.groupBy("sno").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
+    split = copies.join(parts, "sno")
+    first = split.select("sno", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.col("doc_id").alias("doc_a"))
+    second = split.select("sno", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("doc_id").alias("doc_b"))
+    same = first.join(second, ["sno", "part"]).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+    both = rows.unionByName(same)
+    several = written(each.select("doc_id", "sid").dropDuplicates().groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return both
+    marked = both.join(several.select(F.col("doc_id").alias("doc_a"), F.lit(True).alias("in_a")), "doc_a", "left").join(several.select(F.col("doc_id").alias("doc_b"), F.lit(True).alias("in_b")), "doc_b", "left")
+    again = marked.where("in_a or in_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return marked.where("in_a is null and in_b is null").select("doc_a", "doc_b", "jaccard").unionByName(again)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,23 +431,28 @@ def components(edges: DataFrame) -> DataFrame:
     roots = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
     while True:
         near = both.join(roots, both.v == roots.node).groupBy("u").agg(F.min("root").alias("near"))
-        hooked = roots.join(near, roots.node == near.u, "left").select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
+        hooked = roots.join(near, roots.node == near.u, "left").select("node", roots["root"].alias("before"), F.least("root", "near").alias("root"))
         to = roots.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
         jumped = hooked.join(to, hooked.root == to["at"], "left").select("node", F.least("root", F.coalesce("beyond", "root")).alias("root"), "before")
         new = written(jumped, "roots")
+        drop(roots)
         if new.where("root < before").isEmpty():
+            drop(both)
             return new.select("node", "root")
-        roots = new.select("node", "root")
+        roots = new
 
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keeper) of the documents that are in a group of similar ones: the group's least doc_id."""
-    pairs, sets = similar_sets(docs, n, threshold)
-    roots = components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
-    found = sets.join(roots, sets.doc_id == roots.node, "left").where((F.size("docs") > 1) | F.col("root").isNotNull())
-    # a doc_id that occurs with several texts may be in several groups; it stays only if it leads all
-    each = found.select(F.explode("docs").alias("doc_id"), F.coalesce("root", sets.doc_id).alias("keeper"))
-    return each.groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
+    """(doc_id, th, keeper, keeper_th) of the texts that are in a group of similar ones, and the one that stays: of the least doc_id, then the least th.
+
+    th is Spark's xxhash64 of the text, so that a doc_id's other texts aren't meant.
+    """
+    pairs, sets, each = similar_sets(docs, n, threshold, forest=True)
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = sets.select("sno", "sid").join(roots.withColumnRenamed("node", "sno"), "sno", "left").select("sid", F.coalesce("root", "sno").alias("root"))
+    found = written(each.dropDuplicates().join(named, "sid").select("doc_id", "th", "root"), "found")
+    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c")).where("c > 1")
+    return found.join(lead, "root").select("doc_id", "th", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("keeper_th"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_DIR = "file:///tmp/lumenq-checkpoint"
+#: Where a session on one machine writes when it sets no folder.
+LOCAL_DIR = "file:///tmp/lumenq-checkpoint"
+_left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where the session has it, else a default for tests."""
+    """The folder that all executors share, ``spark.checkpoint.dir``; only a session in one JVM may leave it unset."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = DEFAULT_DIR
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
+    return LOCAL_DIR
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
@@ -26,15 +31,38 @@ def new_dir(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The frame, written to the shared folder and read back: its lineage is cut and survives lost executors."""
+    """The frame, written to the shared folder and read back: its lineage is cut and survives lost executors. The folder goes with ``drop``, or when the driver ends."""
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    _left[path] = spark
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the folders of frames from ``written`` that nothing reads any more."""
+    for df in frames:
+        _delete(_left.pop(df.written_to), df.written_to)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _left.items():
+        try:
+            _delete(spark, path)
+        except (Py4JError, OSError, AttributeError):  # the session or its JVM has ended before
+            continue
 
 
 #: Keys up to which a set of keys is broadcast to filter by (16 bytes each).
-BROADCAST_KEYS = 8_000_000
+BROADCAST_KEYS = 4_000_000
 
 
 def among(df: DataFrame, keys: DataFrame, column: str, limit: int = BROADCAST_KEYS) -> DataFrame:

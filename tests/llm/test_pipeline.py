@@ -57,8 +57,12 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    t = " ".join(f"w{k}" for k in range(50))
+    t, u = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(50))
     rows = [(5, t, "en", "s", 1), (5, t, "en", "s", 1), (6, t + " more", "en", "s", 1), (None, t, "en", "s", 1), (7, None, "en", "s", 1), (8, None, "en", "s", 1)]
-    kept = P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 5, 7, 8]
+    rows += [(9, t, "en", "s", 1), (9, u, "fr", "s", 2), (9, u, "de", "s", 2), (9, u, "de", "s", 1)]
+    clash = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as th", "doc_id as keeper")
+    for docs in (spark.createDataFrame(rows, DOCS), clash):
+        kept = P.near_duplicates(spark, docs, "").collect()
+        assert sorted(((r.doc_id or 0), r.text == u, r.lang, r.n_chars) for r in kept) == [(0, False, "en", 1), (5, False, "en", 1), (7, False, "en", 1), (8, False, "en", 1), (9, True, "de", 1)]
+        assert kept[0].asDict().keys() == set(docs.columns)
     assert jaccard.groups(spark.createDataFrame([], DOCS)).count() == 0

@@ -85,27 +85,78 @@ def brute_pairs(rows, n=jaccard.N, t=jaccard.THRESHOLD):
     return {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2) if len(x & y) >= t * len(x | y)}
 
 
-def expanded(out):
-    return {(min(a, b), max(a, b)): r.jaccard for r in out for a in r.docs_a for b in r.docs_b if a != b}
+def pairs_of(out):
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in out}
+    assert len(got) == len(out) and all(a < b for a, b in got)
+    return got
+
+
+def same_pairs(got, want):
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
 def test_jaccard_equals_brute_force(docs, none, rows):
-    got, want = expanded(jaccard.join(docs).collect()), brute_pairs(rows)
-    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want) and (2, 8) in want and (3, 10) in want
+    want = brute_pairs(rows)
+    assert {(2, 8), (2, 9), (8, 9), (3, 10), (15, 16)} <= set(want)
+    clash = docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("th", "sid", "sno", "rep", "jaccard", "doc_a", "copies")])
+    for df in (docs, clash):
+        same_pairs(pairs_of(jaccard.join(df).collect()), want)
+    same_pairs(pairs_of(jaccard.join(docs, broadcast_copies=0).collect()), want)
     assert jaccard.join(none).count() == 0
 
 
+@pytest.mark.parametrize(("n", "threshold"), [(1, 0.4), (2, 0.3), (3, 0.8), (1, 0.9)])
+def test_jaccard_at_other_settings(spark, n, threshold):
+    r = random.Random(n)
+    rows = [(k, " ".join(r.choices("alpha beta gamma delta eps zeta eta theta".split(), k=r.randint(0, 7)))) for k in range(120)]
+    rows += [(200, "alpha"), (201, "alpha beta"), (202, None), *rows[:3]]
+    for k in range(40):
+        w = [f"w{k % 5}x{i}" for i in range(30 + 60 * (k % 4))]
+        for i in r.sample(range(len(w)), (k // 5) * len(w) // 60):
+            w[i] = f"y{k}x{i}"
+        rows.append((300 + k, " ".join(w)))
+    want = brute_pairs(rows, n, threshold)
+    same_pairs(pairs_of(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), n, threshold).collect()), want)
+    assert len(want) > 30 and ((n, threshold) != (1, 0.4) or (200, 201) in want)
+
+
+def test_jaccard_of_large_sets(spark):
+    """Pairs just above the threshold whose sets are sampled: at least 0.95 are found, none is made up."""
+    r, rows = random.Random(11), []
+    for k in range(150):
+        size = r.choice((200, 500, 900))
+        w = [f"a{k}x{i}" for i in range(size)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: int(size * r.uniform(0.655, 0.68)) + 1]))]
+    got, want = pairs_of(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), brute_pairs(rows)
+    assert set(got) <= set(want) and len(want) == 150 and len(got) >= 0.95 * len(want)
+
+
+def test_jaccard_of_a_doc_id_with_several_texts(spark):
+    a, b, near = words(1, 60), words(2, 60), words(1, 60) + " tail"
+    rows = [(1, a), (1, b), (2, b), (3, near), (3, a), (4, b), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pairs_of(jaccard.join(df).collect())
+    assert got == {p: 1.0 for p in ((1, 2), (1, 4), (2, 4), (1, 3))}
+    found = {(r.doc_id, r.th): (r.keeper, r.keeper_th) for r in jaccard.groups(df).collect()}
+    th = {r.text: r.th for r in df.select("text", F.xxhash64("text").alias("th")).collect()}
+    assert found == {(1, th[b]): (1, th[b]), (2, th[b]): (1, th[b]), (4, th[b]): (1, th[b]), (1, th[a]): (1, th[a]), (3, th[a]): (1, th[a]), (3, th[near]): (1, th[a])}
+
+
 def test_jaccard_opens_split_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_GRAMS", 2000)
     monkeypatch.setattr(jaccard, "QUERY_GRAMS", 900)
+    monkeypatch.setattr(jaccard, "COPIES", 3)
     base, rows = words(7, 300).split(), []
     for k in range(30):
         r, w = random.Random(k), list(base)
         for _ in range(k % 12):
             w[r.randrange(300)] = f"x{k}"
         rows.append((k, " ".join(w), "en", "s", 1))
-    got, want = expanded(jaccard.join(spark.createDataFrame(rows, DOCS)).collect()), brute_pairs(rows)
-    assert set(got) == set(want) and len(want) > 200
+    rows += [(100 + k, rows[5][1], "en", "s", 1) for k in range(20)]
+    got, want = pairs_of(jaccard.join(spark.createDataFrame(rows, DOCS)).collect()), brute_pairs(rows)
+    assert set(got) == set(want) and len(want) > 500
+    kept = {r.keeper for r in jaccard.groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(kept) == len(rows) - len({b for _, b in want})
 
 
 def test_components(spark):
