@@ -7,11 +7,11 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenq.llm import jaccard, langid, packing, pii
-from lumenq.llm.shared import table, without, written
+from lumenq.llm.shared import among, drop, table, without, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of the least doc_id, once. Rows with a null doc_id stay."""
+    """One document of each group of similar ones: that of the least doc_id, once. Rows with a null doc_id stay.
+
+    Where a doc_id has several texts, each is judged by itself. Rows of equal
+    doc_id and text count once, whether they have partners or not; if their other
+    columns differ, the row with the least of these (in the table's order) stays.
+    """
     found = jaccard.groups(docs)
-    gone = found.where("doc_id <> keeper").select("doc_id")
-    kept = without(docs, gone, "doc_id").select(*docs.columns)
-    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = written(found.where("doc_id <> keeper or th <> keeper_th").select("doc_id", F.col("th").alias("__th")), "gone")
+    twice = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select("doc_id"), "twice")
+    once = without(docs, gone.select("doc_id").unionByName(twice), "doc_id").select(*docs.columns)
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+        return once
+    left = among(docs, twice, "doc_id").withColumn("__th", F.xxhash64("text")).join(gone, ["doc_id", "__th"], "left_anti")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = left.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*rest or ["__th"]))).where("__k = 1")
+    return once.unionByName(first.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
