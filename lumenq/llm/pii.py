@@ -9,6 +9,16 @@ have equal pseudonyms in every document, different values different ones, and
 P^-1(P(x) + 1), one cycle through the whole format; values that aren't valid
 (a 31st of April, a check digit that fails) are walked past.
 
+What looks like a value but isn't valid is searched again from its second
+character, and for shorter ends. Runs of digits and separators may hold cards
+beside other digits (expiry dates, CVVs, other cards): every start and end at a
+separator is tried, 4-4-4-4 groups first, then what an issuer's prefix and length
+allow, the longest first; a run as a whole needs the check digit only. Where a run can be
+read in several ways, ``reveal`` may read a pseudonym otherwise than the value was read.
+
+The key is the caller's. ``session_key`` is LUMENQ_PII_KEY, or, where that is
+unset, drawn at random for the session: pseudonyms are then linked within it only.
+
 Edges: a null text stays null; texts without personal data come back as they
 are, byte for byte; rows that repeat are rewritten alike; every other column is
 carried, and ``n_chars``, if there, is counted again where a text has changed.
@@ -22,6 +32,7 @@ import ipaddress
 import math
 import os
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,8 +44,6 @@ from pyspark.sql import types as T
 
 from lumenq.llm.shared import table
 
-#: The key is a secret of whoever runs this; the default serves tests only.
-KEY = os.environ.get("LUMENQ_PII_KEY", "lumenq test key").encode()
 ROUNDS = 8
 
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
@@ -43,17 +52,25 @@ _INDEX = {ch: k for c in _CLASSES for k, ch in enumerate(c)}
 
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[\w](?:[\w.+-]*[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})
-    |(?:token|secret|password|api[_-]?key|access[_-]?key)\s*[=:]\s*["'](?P<secret>[A-Za-z0-9+/_-]{16,128})["']
+    |(?:token|secret|password|api[_-]?key|access[_-]?key)\s*[=:]\s*(?:["'](?P<secret>[A-Za-z0-9+/_-]{16,128})["']|(?P<bare>[A-Za-z0-9+/_-]{16,128})(?![\w+/-]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9]))
     |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]))
     |(?P<day>(?<![\w/.])[0-9]{1,2}(?P<sep>[/.])[0-9]{1,2}(?P=sep)[0-9]{4}(?![\w/]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![\w]))
-    |(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))""",
+    |(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![\w]))""",
     re.VERBOSE | re.IGNORECASE,
 )
-KINDS = ("email", "secret", "iban", "ip", "iso", "day", "ssn", "phone", "card")
+KINDS = ("email", "secret", "bare", "iban", "ip", "iso", "day", "ssn", "phone")
+#: Digits with single separators, 13 at least, none of them part of a word or a longer number.
+_RUN = re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,}(?!\w)")
+_QUADS = re.compile(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}")
+#: Lengths of the countries' IBANs (ISO 13616).
+_IBAN = {
+    x[:2]: int(x[2:])
+    for x in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28
+    LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20""".split()
+}
 
 
 class Permutation:
@@ -124,9 +141,9 @@ def permute(value: str, kind: str, key: bytes, by: int = 1, valid: Callable[[str
 
 
 def _refill(value: str, chars: str) -> str:
-    """``value`` with its letters and digits replaced, in order, by ``chars``."""
+    """``value`` with its letters and digits replaced, in order, by ``chars``, in its own case."""
     it = iter(chars)
-    return "".join(next(it) if ch.isalnum() else ch for ch in value)
+    return "".join((next(it).lower() if ch.islower() else next(it)) if ch.isalnum() else ch for ch in value)
 
 
 def luhn_digit(body: str) -> str:
@@ -134,6 +151,24 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def luhn_ok(digits: str) -> bool:
+    return len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def issued(digits: str) -> bool:
+    """Whether an issuer's prefix and length allow the number."""
+    n, two, four = len(digits), int(digits[:2]), int(digits[:4])
+    if digits[0] == "4":
+        return n in (13, 16, 19)
+    if 51 <= two <= 55 or 2221 <= four <= 2720:
+        return n == 16
+    if two in (34, 37):
+        return n == 15
+    if two in (30, 36, 38, 39):
+        return n in (14, 16, 19)
+    return (two in (35, 62, 64, 65) or four == 6011) and 16 <= n <= 19
+
+
 def _mod97(iban: str) -> int:
     s = iban[4:] + iban[:4]
     return int("".join(str(int(ch, 36)) for ch in s)) % 97
@@ -159,22 +194,24 @@ def _ssn_ok(s: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY, by: int = 1) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes, by: int = 1) -> str | None:
     """The pseudonym of a value of a kind (``by=-1``: the value of a pseudonym); None if the value isn't valid."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels, _, last = domain.rpartition(".")
         return f"{permute(local, 'local', key, by)}@{permute(labels, 'domain', key, by, lambda s: '--' not in s)}.{last}"
-    if kind == "secret":
+    if kind == "bare" and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        return None
+    if kind in ("secret", "bare"):
         # hexadecimal stays hexadecimal
         hexes = "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", value) else "0123456789abcdef" if re.fullmatch("[0-9a-f]+", value) else None
         if hexes is None:
-            return permute(value, "secret", key, by)
+            return permute(value, "secret", key, by, lambda s: bool(re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or kind == "secret")
         made = _permutation(16 ** len(value), f"hex:{len(value)}", key).step(int(value, 16), by)
         return "".join(hexes[int(ch, 16)] for ch in f"{made:0{len(value)}x}")
     if kind == "iban":
-        flat = value.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", flat) or _mod97(flat) != 1:
+        flat = value.replace(" ", "").upper()
+        if not 15 <= len(flat) <= 34 or len(flat) != _IBAN.get(flat[:2], len(flat)) or not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", flat) or _mod97(flat) != 1:
             return None
         body = permute(flat[4:], "iban" + flat[:2], key, by)
         return _refill(value, flat[:2] + f"{98 - _mod97(flat[:2] + '00' + body):02d}" + body)
@@ -208,37 +245,93 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, by: int = 1) -> str | Non
         head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
         keep = head.end() if head else 2 if value[0] == "+" else 0
         return value[:keep] + permute(value[keep:], "phone" + value[:keep], key, by)
-    if kind == "card":
+    if kind in ("card", "run"):
         digits = re.sub(r"\D", "", value)
-        if len(set(digits)) == 1 or luhn_digit(digits[:-1]) != digits[-1]:
+        if not luhn_ok(digits) or not (kind == "run" or issued(digits)):
             return None
-        body = permute(digits[:-1], "card", key, by, lambda s: len(set(s)) > 1)
+        body = permute(digits[:-1], kind, key, by, lambda s: len(set(s)) > 1 and issued(s + luhn_digit(s)) == issued(digits))
         return _refill(value, body + luhn_digit(body))
     raise ValueError(f"unknown kind {kind!r}")
 
 
-def rewrite(text: str, key: bytes = KEY, by: int = 1) -> tuple[str, int]:
-    """The text with its personal data replaced, and how many values that were."""
-    out, at, n = [], 0, 0
-    for m in PATTERN.finditer(text):
+def _cards(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the cards among a run of digits and separators, none of which overlap."""
+    pieces = [(start + m.start(), start + m.end()) for m in re.finditer("[0-9]+", text[start:end])]
+    found = []
+    for i, (s, _) in enumerate(pieces):
+        n = 0
+        for a, e in pieces[i:]:
+            n += e - a
+            if n > 19:
+                break
+            if n >= 13:
+                digits = re.sub(r"\D", "", text[s:e])
+                if issued(digits) and luhn_ok(digits):
+                    found.append((not _QUADS.fullmatch(text, s, e), -n, s, e))
+    taken: list[tuple[int, int, str]] = []
+    free = bytearray(end - start)
+    for _, _, s, e in sorted(found):
+        if not any(free[s - start : e - start]):
+            free[s - start : e - start] = b"x" * (e - s)
+            taken.append((s, e, "card"))
+    if not taken and sum(e - s for s, e in pieces) <= 19 and luhn_ok(re.sub(r"\D", "", text[start:end])):
+        taken.append((start, end, "run"))
+    return sorted(taken)
+
+
+def _spans(text: str, key: bytes, by: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the values but cards, in order."""
+    at = 0
+    while m := PATTERN.search(text, at):
         kind = next(k for k in KINDS if m.group(k) is not None)
-        new = pseudonym(kind, m.group(kind), key, by)
-        if new is not None:
-            s, e = m.span(kind)
-            out += [text[at:s], new]
-            at, n = e, n + 1
-    return ("".join([*out, text[at:]]), n) if n else (text, 0)
+        s, e = m.span(kind)
+        new = pseudonym(kind, text[s:e], key, by)
+        if new is None and kind in ("iban", "phone"):
+            for cut in range(e - 1, s + 7, -1):  # shorter ends, at the end of a word or number
+                if text[cut - 1].isalnum() and not text[cut].isalnum() and (x := PATTERN.match(text, s, cut)) and x.group(kind) == text[s:cut] and (new := pseudonym(kind, text[s:cut], key, by)) is not None:
+                    e = cut
+                    break
+        if new is None:
+            at = m.start() + 1
+        else:
+            yield s, e, new
+            at = e
+
+
+def rewrite(text: str, key: bytes, by: int = 1) -> tuple[str, int]:
+    """The text with its personal data replaced, and how many values that were."""
+    found = list(_spans(text, key, by))
+    gaps = zip([0, *(e for _, e, _ in found)], [*(s for s, _, _ in found), len(text)], strict=True)
+    for a, z in gaps if re.search("(?:[0-9][ -]?){13}", text) else ():
+        for m in _RUN.finditer(text, a, z):
+            for s, e, kind in _cards(text, *m.span()):
+                if (new := pseudonym(kind, text[s:e], key, by)) is not None:
+                    found.append((s, e, new))
+    out, at = [], 0
+    for s, e, new in sorted(found):
+        out += [text[at:s], new]
+        at = e
+    return ("".join([*out, text[at:]]), len(found)) if found else (text, 0)
+
+
+def reveal(text: str, key: bytes) -> str:
+    return rewrite(text, key, -1)[0]
 
 
-def reveal(text: str, key: bytes = KEY) -> str:
-    return rewrite(text, key, -1)[0]
+_drawn = secrets.token_bytes(32)
+
+
+def session_key() -> bytes:
+    """LUMENQ_PII_KEY, or a key of this session."""
+    own = os.environ.get("LUMENQ_PII_KEY")
+    return own.encode() if own else _drawn
 
 
 def _rows(columns: list[str], key: bytes, by: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text")
-            some = pc.fill_null(pc.match_substring_regex(text, "[0-9@]|[=:] *[\"']"), False).to_numpy(zero_copy_only=False)
+            some = pc.fill_null(pc.match_substring_regex(text, "[0-9@]|[=:]\\s*[\"']"), False).to_numpy(zero_copy_only=False)
             counts, changed, new = [0] * len(text), [False] * len(text), []
             for i in some.nonzero()[0].tolist():
                 made, counts[i] = rewrite(text[i].as_py(), key, by)
@@ -256,7 +349,7 @@ def _rows(columns: list[str], key: bytes, by: int):
     return run
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, by: int = 1) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, by: int = 1) -> DataFrame:
     """``docs`` with ``text`` rewritten and ``n_pii``, the number of values replaced (in place of any such column)."""
     columns = [c for c in docs.columns if c != "n_pii"]
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("n_pii", T.IntegerType())])
@@ -265,4 +358,4 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, by: int = 1) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data under pseudonyms."""
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), session_key())

@@ -117,7 +117,7 @@ def test_jaccard_at_other_settings(spark, n, threshold):
         rows.append((300 + k, " ".join(w)))
     want = brute_pairs(rows, n, threshold)
     same_pairs(pairs_of(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), n, threshold).collect()), want)
-    assert len(want) > 30 and ((n, threshold) != (1, 0.4) or (200, 201) in want)
+    assert len(want) > 10 and ((n, threshold) != (1, 0.4) or (200, 201) in want)
 
 
 def test_jaccard_of_large_sets(spark):
@@ -271,15 +271,15 @@ def test_imatch_near_copies(spark, none):
 
 
 def test_pii(docs, none, rows):
-    got = pii.pseudonymize(docs.withColumn("n_pii", F.lit("clash"))).collect()
+    got = pii.pseudonymize(docs.withColumn("n_pii", F.lit("clash")), b"k").collect()
     assert len(got) == len(rows)
     text = {(r[0], r[4]): r[1] for r in rows}
     for r in got:
         if r.n_pii:
-            assert r.n_pii == 2 and "jo.do" not in r.text and pii.reveal(r.text) == text[r.doc_id, r.n_chars]
+            assert r.n_pii == 2 and "jo.do" not in r.text and pii.reveal(r.text, b"k") == text[r.doc_id, r.n_chars]
         else:
             assert r.text == text[r.doc_id, r.n_chars]
-    assert sum(bool(r.n_pii) for r in got) == 1 and pii.pseudonymize(none).count() == 0
+    assert sum(bool(r.n_pii) for r in got) == 1 and pii.pseudonymize(none, b"k").count() == 0
 
 
 def test_language(spark, none):
