@@ -45,23 +45,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm import textvec
 from lumenq.llm.shared import among, drop, table, written
 
-N, THRESHOLD, SAMPLE, MARGIN, MATCHES, SCREEN = 2, 0.65, 64, 0.1, 2, 0.15
+N, THRESHOLD, SAMPLE, MARGIN, MATCHES, SCREEN = 2, 0.65, 64, 0.1, 4, 0.15
 #: N-grams that the members, and the queries, of one opened group have together at most (8 bytes each); one set may have more.
 GROUP_GRAMS, QUERY_GRAMS = 3_000_000, 3_000_000
-#: The sketch has 2 ** SKETCH_BITS counters (8 MB), whatever the corpus.
-SKETCH_BITS, BLOCK_BITS = 21, 16
+#: The sketch has 2 ** SKETCH_BITS counters of one byte (16 MB), whatever the corpus; a counter c stands for 2 ** (c / 6) n-grams.
+SKETCH_BITS, BLOCK_BITS = 24, 18
 #: Documents of sets with several up to which these are broadcast to write out the pairs; beyond, a join.
 BROADCAST_COPIES = 2_000_000
 #: Copies of one set that a task pairs with all the others.
 COPIES = 2000
-PAIRS = "a long, b long, rep_a long, rep_b long, jaccard double"
-SURVEY = "doc_id long, th long, sid binary, n int, hi binary, lo binary, cuts binary, block int, counts binary"
+PAIRS = "a long, b long, doc_a long, doc_b long, jaccard double"
+SURVEY = "sid binary, fat boolean, doc_id long, th long, n int, hi binary, lo binary, cuts binary, block int, counts binary"
+SETS = "sno long, lead boolean, doc_id long, th long, n int, hi binary, lo binary, cuts binary, block int, counts binary"
+#: Sets whose sample a task has given already, and gives no more.
+SEEN = 1_000_000
 
 _U = np.uint64
 _EPS = 1e-9
@@ -107,48 +112,95 @@ def alone(size: int, threshold: float) -> bool:
     return least_overlap(size, threshold) == size and int(np.floor(size / threshold + _EPS)) == size
 
 
+def _sparse_blocks(buckets: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The counts of the buckets, block by block: gaps between the buckets that occur, then how often each does."""
+    at, counts = np.unique(buckets, return_counts=True)
+    ends = np.searchsorted(at, np.arange(1, (1 << (SKETCH_BITS - BLOCK_BITS)) + 1) << BLOCK_BITS)
+    for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if j > i:
+            gaps = np.diff(at[i:j], prepend=k << BLOCK_BITS).astype(np.uint32)
+            yield k, zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _dense_block(raws: list[bytes]) -> np.ndarray:
+    total = np.zeros(1 << BLOCK_BITS, np.float64)
+    for raw in raws:
+        both = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(2, 4, -1)
+        gaps, counts = (np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in both)
+        total[np.cumsum(gaps, dtype=np.int64)] += counts
+    return np.minimum(255, np.round(6 * np.log2(total + 1))).astype(np.uint8)
+
+
 def _survey(n: int, threshold: float):
+    """A row for each document with terms: its set's id and, where the task meets the set first, what is kept of it. Rows of the sketch besides."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        counted: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        types = [pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in SURVEY.split(", ")]
+
+        def blocks() -> pa.RecordBatch:
+            k, raws = zip(*_sparse_blocks(np.concatenate(counted)), strict=True)
+            none = [None] * len(k)
+            spread = [b"%d" % x for x in k]  # in place of a set's id, so that blocks are spread over tasks
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([spread, *[none] * 7, k, raws], types, strict=True)], names=names)
+
         for b in batches:
-            sids, sizes, his, los, cuts, held, size = [], [], [], [], [], [], 0
-            for g in textvec.row_grams(b.column("text"), n):
-                sizes.append(len(g))
+            rows, at, held = [], [], []
+            for i, g in enumerate(textvec.row_grams(b.column("text"), n)):
                 if not len(g):
-                    for x in (sids, his, los, cuts):
-                        x.append(None)
                     continue
+                at.append(i)
+                sid = set_id(g)
+                if sid in seen:
+                    rows.append((sid, False, len(g), None, None, None))
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(sid)
                 c = cuts_of(g, threshold)
                 own, low = g[: c[0]], power(len(g))
-                sids.append(set_id(g))
-                his.append((own >> _U(32)).astype(np.uint32).tobytes())
-                los.append(own.astype(np.uint32).tobytes())
-                cuts.append(c.tobytes())
-                for k, upto in enumerate(c.tolist()):
-                    held.append(_universe_keys(own[:upto], low + k))
-                    size += upto
-                if size > 1_000_000:
-                    counts += np.bincount(_buckets(np.concatenate(held)), minlength=len(counts))
-                    held, size = [], 0
+                rows.append((sid, True, len(g), (own >> _U(32)).astype(np.uint32).tobytes(), own.astype(np.uint32).tobytes(), c.tobytes()))
+                held += [_universe_keys(own[:upto], low + k) for k, upto in enumerate(c.tolist())]
+            if rows:
+                sid, fat, size, hi, lo, cuts = zip(*rows, strict=True)
+                where, none = pa.array(at), [None] * len(at)
+                cols = [sid, fat, b.column("doc_id").take(where), b.column("th").take(where), size, hi, lo, cuts, none, none]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
             if held:
-                counts += np.bincount(_buckets(np.concatenate(held)), minlength=len(counts))
-            none = [None] * len(sids)
-            cols = [sids, sizes, his, los, cuts, none, none]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *[pa.array(x, t) for x, t in zip(cols, types[2:], strict=True)]], names=names)
-        if counts.any():
-            blocks = counts.astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
-            none = [None] * len(blocks)
-            cols = [*[none] * 7, range(len(blocks)), [zlib.compress(x.tobytes(), 1) for x in blocks]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
+                counted.append(_buckets(np.concatenate(held)).astype(np.uint32))
+            if sum(map(len, counted)) > 8_000_000:
+                yield blocks()
+                counted.clear()
+        if counted:
+            yield blocks()
 
     return run
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by set id, what is kept first: each set gets a number, and its first row alone has what is kept of it."""
+    sno, last = TaskContext.get().partitionId() << 33, None
+    names = [x.split()[0] for x in SETS.split(", ")]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sids = b.column("sid")
+        own = b.column("block").is_null()
+        old = pa.array([last], pa.binary())
+        lead = pc.and_(own, pc.not_equal(sids, pa.concat_arrays([old, sids.slice(0, len(sids) - 1)])).fill_null(True))
+        last = sids[-1].as_py()
+        snos = sno + np.cumsum(lead.to_numpy(zero_copy_only=False))
+        sno = int(snos[-1])
+        none = pa.nulls(b.num_rows, pa.binary())
+        kept = [pc.if_else(lead, b.column(c), none) for c in ("hi", "lo", "cuts")]
+        numbers = pc.if_else(own, pa.array(snos), pa.nulls(b.num_rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([numbers, lead, b.column("doc_id"), b.column("th"), b.column("n"), *kept, b.column("block"), b.column("counts")], names=names)
+
+
 def _sum_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["counts"])
-    return pd.DataFrame({"block": [int(key[0])], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"block": [int(key[0])], "counts": [_dense_block(rows["counts"].tolist()).tobytes()]})
 
 
 def prefix_keys(kept: np.ndarray, cuts: np.ndarray, size: int, order: np.ndarray, threshold: float) -> np.ndarray:
@@ -168,7 +220,7 @@ def prefix_keys(kept: np.ndarray, cuts: np.ndarray, size: int, order: np.ndarray
 
 def _prefixes(threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(shared.value, np.uint32)
+        order = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             keys, lens = [], []
             for size, hi, lo, cuts in zip(*(b.column(c).to_pylist() for c in ("n", "hi", "lo", "cuts")), strict=True):
@@ -201,13 +253,20 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterat
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sno, df) of the keys that two sets or more have, from (key, sno) sorted by key."""
+    """(key, sno, df) of the keys that two sets or more have, from (key, sno) sorted by key.
+
+    Keys are numbered from here on, since small numbers take less room in shuffles;
+    were two to get one number (16 million in a partition), more groups would be opened, not fewer.
+    """
+    key = (TaskContext.get().partitionId() & 0x3FFFF) << 24
     for rows in _runs(batches, ("key", "sno")):
         new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
         sizes = np.diff(np.append(np.flatnonzero(new), len(rows)))
-        df = np.repeat(sizes, sizes)
-        rows, df = rows[df > 1], df[df > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(df)], names=["key", "sno", "df"])
+        sizes_of = np.repeat(sizes, sizes)
+        snos, df = rows[sizes_of > 1, 1], sizes_of[sizes_of > 1]
+        numbers = key + np.repeat(np.arange((sizes > 1).sum()), sizes[sizes > 1])
+        key += int((sizes > 1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(np.ascontiguousarray(snos)), pa.array(df, pa.int64())], names=["key", "sno", "df"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,61 +398,62 @@ def _forest(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]
 
 def _open(n: int, threshold: float, forest: bool):
     def run(group: pa.Table) -> pa.Table:
-        snos, reps, member, asks = (group.column(c).to_pylist() for c in ("sno", "rep", "member", "asks"))
+        snos, docs, member, asks = (group.column(c).to_pylist() for c in ("sno", "doc_id", "member", "asks"))
         sets = list(textvec.row_grams(group.column("text").combine_chunks(), n))
         rows = list({s: i for i, s in enumerate(snos)}.values())  # repeated rows are here once for each
         found = similar(sets, [i for i in rows if asks[i]], [i for i in rows if member[i]], lambda q, m: snos[m] != snos[q] and (not member[q] or snos[m] < snos[q]), threshold)
         if forest:
             found = _forest(found)
-        cols = [[of[x[side]] for x in found] for of in (snos, reps) for side in (0, 1)]
-        return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "rep_a", "rep_b"), cols, strict=True)} | {"jaccard": pa.array([j for *_, j in found], pa.float64())})
+        cols = [[of[x[side]] for x in found] for of in (snos, docs) for side in (0, 1)]
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "doc_a", "doc_b"), cols, strict=True)} | {"jaccard": pa.array([j for *_, j in found], pa.float64())})
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of different sets (a, b, rep_a, rep_b: the least doc_id of each; jaccard), all sets (sno, sid, rep, copies), all documents (doc_id, th, sid).
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different sets (a, b, doc_a, doc_b: a document of each; jaccard), and the documents of all sets (sno, doc_id, th, lead: whether it stands for its set).
 
-    th is a hash of the text; copies says whether a set has several doc_ids.
-    With ``forest``, only as many pairs as connect what is similar, in one step or several.
+    th is a hash of the text. With ``forest``, only as many pairs as connect what is similar, in one step or several.
     """
     spark = docs.sparkSession
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    survey = written(base.mapInArrow(_survey(n, threshold), SURVEY), "survey")
-    blocks = survey.where("block is not null").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").orderBy("block").collect()
+    survey = base.mapInArrow(_survey(n, threshold), SURVEY).repartition(F.col("sid")).sortWithinPartitions("sid", F.col("fat").desc())
+    made = written(survey.mapInArrow(_numbered, SETS), "sets")
+    blocks = made.where("block is not null").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").orderBy("block").collect()
     sketch = {r.block: bytes(r.counts) for r in blocks}
-    empty = bytes(4 << BLOCK_BITS)
+    empty = bytes(1 << BLOCK_BITS)
     order = spark.sparkContext.broadcast(b"".join(sketch.get(k, empty) for k in range(1 << (SKETCH_BITS - BLOCK_BITS))))
-    each = survey.where("sid is not null")
-    made = each.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("doc_id").alias("last"), *[F.first(c).alias(c) for c in ("n", "hi", "lo", "cuts")])
-    sets = written(made.select(F.monotonically_increasing_id().alias("sno"), "sid", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), (F.col("last") > F.col("r.doc_id")).alias("copies"), "n", "hi", "lo", "cuts"), "sets")
+    each = made.where("sno is not null").select("sno", "doc_id", "th", "lead")
+    sets = made.where("lead")
 
     entries = sets.select("sno", "n", "hi", "lo", "cuts").mapInArrow(_prefixes(threshold, order), "key long, sno long")
     met = written(entries.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, sno long, df long"), "keys")
 
     # a group's number falls with the sets that have its key, so a lower one is more popular
     sizes = sets.select("sno", "n")
-    best = met.groupBy("sno").agg(F.max(F.struct("df", "key")).alias("b")).select("sno", (-(F.col("b.df") * (1 << 32) + F.pmod(F.col("b.key"), F.lit(1 << 32)))).alias("grp"))
+    best = met.groupBy("sno").agg(F.max(F.struct("df", "key")).alias("b")).select("sno", (-(F.least("b.df", F.lit((1 << 20) - 1)) * (1 << 42) + F.col("b.key"))).alias("grp"))
     first = written(best.join(sizes, "sno"), "first")
     moved = _asking(met, first, threshold).groupBy("sno").agg(F.min("grp").alias("to"))
     named = first.join(moved, "sno", "left").select("sno", "n", F.coalesce("to", "grp").alias("lead"))
     large = named.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_GRAMS).alias("split")).where("split > 1")
-    placed = written(named.join(large, "lead", "left").select("sno", "n", F.when(F.col("split").isNull(), F.xxhash64("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("sno"), "split"))).alias("grp")), "groups")
+    placed = written(named.join(large, "lead", "left").select("sno", "n", F.when(F.col("split").isNull(), F.col("lead")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("sno"), "split"))).alias("grp")), "groups")
     asking = written(_asking(met, placed, threshold), "asking")
 
     parts = asking.groupBy("grp").agg(F.ceil(F.sum("n") / QUERY_GRAMS).cast("int").alias("parts"))
     inside = placed.select("grp", "sno").join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("grp", "part", "sno", F.lit(True).alias("member"), F.lit(False).alias("asks"))
     outside = asking.join(parts, "grp").select("grp", F.pmod(F.xxhash64("sno"), "parts").cast("int").alias("part"), "sno", F.lit(False).alias("member"), F.lit(True).alias("asks"))
     roles = inside.unionByName(outside).groupBy("grp", "part", "sno").agg(F.max("member").alias("member"), F.max("asks").alias("asks"))
-    left = roles.join(sets.select("sno", "n", "lo", "cuts"), "sno").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, sno long, member boolean, asks boolean")
+    roles = written(roles, "roles")
+    # only samples of sets with a role are moved
+    left = roles.join(among(sets.select("sno", "n", "lo", "cuts"), roles, "sno"), "sno").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, sno long, member boolean, asks boolean")
     # each set's roles go to its text at once, so that the text is moved once by its key and once to its groups
-    known = left.groupBy("sno").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(sets.select("sno", "rep", "th"), "sno")
-    wanted = written(known.withColumn("rk", F.xxhash64("rep", "th")), "wanted")
-    keyed = base.withColumnRenamed("doc_id", "rep").withColumn("rk", F.xxhash64("rep", "th"))
-    opened = among(keyed, wanted, "rk").join(wanted, ["rk", "rep", "th"]).withColumn("r", F.explode("roles")).select("r.grp", "r.part", "sno", "rep", "r.member", "r.asks", "text")
+    known = left.groupBy("sno").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(sets.select("sno", "doc_id", "th"), "sno")
+    wanted = written(known.withColumn("rk", F.xxhash64("doc_id", "th")), "wanted")
+    keyed = base.withColumn("rk", F.xxhash64("doc_id", "th"))
+    opened = among(keyed, wanted, "rk").join(wanted, ["rk", "doc_id", "th"]).withColumn("r", F.explode("roles")).select("r.grp", "r.part", "sno", "doc_id", "r.member", "r.asks", "text")
     pairs = written(opened.groupBy("grp", "part").applyInArrow(_open(n, threshold, forest), PAIRS), "pairs")
-    drop(met, first, placed, asking, wanted)
-    return pairs, sets, each.select("doc_id", "th", "sid")
+    drop(met, first, placed, asking, roles, wanted)
+    return pairs, each
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
@@ -402,13 +462,14 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcast_co
     Copies are paired with each other, and each of them with what its set is
     similar to, so the rows of a group of copies grow with its square.
     """
-    pairs, sets, each = similar_sets(docs, n, threshold)
-    copies = written(each.select("doc_id", "sid").dropDuplicates().join(sets.where("copies").select("sid", "sno"), "sid").select("sno", "doc_id"), "copies")
+    pairs, each = similar_sets(docs, n, threshold)
+    several_rows = each.where("not lead").select("sno").distinct()
+    copies = written(each.join(several_rows, "sno", "left_semi").select("sno", "doc_id").dropDuplicates(), "copies")
     few = copies.count() <= broadcast_copies
     rows = pairs
     for side in ("a", "b"):
-        own = copies.select(F.col("sno").alias(side), F.col("doc_id").alias(f"doc_{side}"))
-        rows = rows.join(F.broadcast(own) if few else own, side, "left").withColumn(f"doc_{side}", F.coalesce(f"doc_{side}", f"rep_{side}"))
+        own = copies.select(F.col("sno").alias(side), F.col("doc_id").alias("_copy"))
+        rows = rows.join(F.broadcast(own) if few else own, side, "left").withColumn(f"doc_{side}", F.coalesce("_copy", f"doc_{side}")).drop("_copy")
     rows = rows.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
     # a part of a set's copies is paired with all of them in one task
     parts = copies.groupBy("sno").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
@@ -417,7 +478,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcast_co
     second = split.select("sno", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("doc_id").alias("doc_b"))
     same = first.join(second, ["sno", "part"]).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
     both = rows.unionByName(same)
-    several = written(each.select("doc_id", "sid").dropDuplicates().groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    several = written(each.select("doc_id", "sno").dropDuplicates().groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
     if several.isEmpty():
         return both
     marked = both.join(several.select(F.col("doc_id").alias("doc_a"), F.lit(True).alias("in_a")), "doc_a", "left").join(several.select(F.col("doc_id").alias("doc_b"), F.lit(True).alias("in_b")), "doc_b", "left")
@@ -447,12 +508,14 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
 
     th is Spark's xxhash64 of the text, so that a doc_id's other texts aren't meant.
     """
-    pairs, sets, each = similar_sets(docs, n, threshold, forest=True)
+    pairs, each = similar_sets(docs, n, threshold, forest=True)
     roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = sets.select("sno", "sid").join(roots.withColumnRenamed("node", "sno"), "sno", "left").select("sid", F.coalesce("root", "sno").alias("root"))
-    found = written(each.dropDuplicates().join(named, "sid").select("doc_id", "th", "root"), "found")
-    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c")).where("c > 1")
-    return found.join(lead, "root").select("doc_id", "th", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("keeper_th"))
+    # sets of one document without a similar one aren't moved
+    inside = each.where("not lead").select("sno").unionByName(roots.select(F.col("node").alias("sno"))).distinct()
+    own = each.join(inside, "sno", "left_semi").select("sno", "doc_id", "th").dropDuplicates()
+    found = written(own.join(roots.withColumnRenamed("node", "sno"), "sno", "left").select("doc_id", "th", F.coalesce("root", "sno").alias("root")), "found")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c")).where("c > 1")
+    return found.join(first, "root").select("doc_id", "th", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("keeper_th"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

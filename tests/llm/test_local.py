@@ -227,7 +227,7 @@ def test_similar_equals_brute_force():
 
 def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(5)
-    order = r.integers(0, 1000, 1 << jaccard.SKETCH_BITS).astype(np.uint32)
+    order = r.integers(0, 256, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
 
     def keys(x):
         cuts = jaccard.cuts_of(x, 0.65)
@@ -242,7 +242,7 @@ def test_prefixes_of_similar_sets_meet():
             j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
             if 0.65 <= j < 1:
                 total += 1
-                missed += len(np.intersect1d(keys(x), keys(y))) < jaccard.MATCHES
+                missed += len(np.intersect1d(keys(x), keys(y))) < min(jaccard.matches(len(x), 0.65), jaccard.matches(len(y), 0.65))
     assert total > 100 and missed <= 0.02 * total
 
 
@@ -258,3 +258,16 @@ def test_warc_records():
 def test_fingerprint_of_no_terms():
     assert imatch.fingerprint([], {}) == [None] * (imatch.SUBSETS + 1)
     assert imatch.fingerprint([b"a", b"b"], {}) == imatch.fingerprint([b"a", b"b"], {})
+
+
+def test_sketch_blocks():
+    r = np.random.default_rng(3)
+    parts = [np.minimum(r.zipf(1.3, 5000), (1 << jaccard.SKETCH_BITS) - 1).astype(np.uint32) * np.uint32(997) % np.uint32(1 << jaccard.SKETCH_BITS) for _ in range(3)]
+    want = np.bincount(np.concatenate(parts), minlength=1 << jaccard.SKETCH_BITS)
+    by = {}
+    for p in parts:
+        for k, raw in jaccard._sparse_blocks(p):
+            by.setdefault(k, []).append(raw)
+    for k in range(1 << (jaccard.SKETCH_BITS - jaccard.BLOCK_BITS)):
+        own = want[k << jaccard.BLOCK_BITS : (k + 1) << jaccard.BLOCK_BITS]
+        assert (jaccard._dense_block(by.get(k, [])) == np.minimum(255, np.round(6 * np.log2(own + 1)))).all()
