@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.functions.text import tokens
+from lumenq.operators import matrix
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Weighted (question, term) rows that are broadcast at most: about 60 MB.
+MAX_WEIGHTS = 2_000_000
 
 
 def index_text(chunks: DataFrame) -> Column:
@@ -66,15 +69,34 @@ def top(scored: DataFrame, k: int, partition: tuple[str, ...] = ("qid",)) -> Dat
 
 
 def completed(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``scored`` (qid, chunk_id, ordinal, score) with chunks of score 0, for the questions that have fewer than k rows above 0."""
+    """``scored`` (qid, chunk_id, ordinal, score) with the first k chunks of score 0 for the questions that have fewer than k rows above 0."""
     enough = scored.where("score > 0").groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("qid")
     short = queries.select("qid").distinct().join(enough, "qid", "left_anti")
-    zero = short.crossJoin(chunks.select("chunk_id", "ordinal")).join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+    # a question lacks at most k rows, and its own hits are the only ones of the first chunks that it can't take
+    hits = scored.join(short, "qid").groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    most = hits.first().most
+    first = chunks.select("chunk_id", "ordinal").orderBy("ordinal").limit(min(k + (most or 0), (1 << 31) - 1))
+    zero = short.crossJoin(first).join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
     return scored.select("qid", "chunk_id", "ordinal", "score").unionByName(zero.withColumn("score", F.lit(0.0)).select("qid", "chunk_id", "ordinal", "score"))
 
 
+def best(chunks: DataFrame, queries: DataFrame, k: int, text: Column | None = None, distinct: bool = False) -> DataFrame:
+    """(qid, chunk_id, ordinal, score): what the k best chunks of each question are among, chunks of score 0 included.
+
+    The weighted terms of the questions are collected here and broadcast; chunks are scored where they lie. More than
+    ``MAX_WEIGHTS`` of these, or more than ``matrix.MAX_K`` ranks, are scored by joins.
+    """
+    toks = tokenized(chunks, text, distinct)
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    qids = [r.qid for r in queries.select(F.col("qid").cast("string").alias("qid")).distinct().limit(MAX_WEIGHTS + 1).collect()] if k <= matrix.MAX_K else []
+    if k <= matrix.MAX_K and len(qids) <= MAX_WEIGHTS and asked.limit(MAX_WEIGHTS + 1).count() <= MAX_WEIGHTS:
+        rows = asked.join(term_stats(toks), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl").toArrow()
+        avgdl = float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0
+        return matrix.search(toks, ["toks"], k, matrix.term_slices(sorted(qids), rows), matrix.term_scores(K1, B, avgdl))
+    return completed(scores(chunks, queries, text=text, distinct=distinct), chunks, queries, k)
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: tuple[str, ...] = ()) -> DataFrame:
-    """The k best chunks of each question, as (qid, chunk_id, ordinal, rank, score, score_kind); there are min(k, chunks) of them."""
-    found = scores(chunks, queries, scope)
-    full = found if scope else completed(found, chunks, queries, k)
-    return top(full, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("bm25").alias("score_kind"))
+    """The k best chunks of each question, as (qid, chunk_id, ordinal, rank, score, score_kind); without scope there are min(k, chunks) of them."""
+    found = scores(chunks, queries, scope) if scope else best(chunks, queries, k)
+    return top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("bm25").alias("score_kind"))

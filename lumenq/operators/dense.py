@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenq.operators import matrix
 from lumenq.operators.bm25 import top
 
 #: Vectors up to which the questions' side is broadcast against the corpus.
@@ -51,7 +52,16 @@ def scores(vectors: DataFrame, queries: DataFrame, n_queries: int | None = None)
 
 
 def retrieve(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return top(scores(vectors, queries), k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("dense").alias("score_kind"))
+    """The k best vectors of each question. Up to BROADCAST_QUERIES questions are collected here and multiplied with each batch of vectors; more are crossed with them."""
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), "qvec").limit(BROADCAST_QUERIES + 1).collect() if k <= matrix.MAX_K else []
+    asked = sorted((r for r in asked if r.qvec is not None), key=lambda r: r.qid)
+    if asked and len(asked) <= BROADCAST_QUERIES and len({len(r.qvec) for r in asked}) == 1:
+        q = np.array([r.qvec for r in asked], dtype=np.float64)
+        slices = [([r.qid for r in asked[i : i + matrix.SLICE]], q[i : i + matrix.SLICE]) for i in range(0, len(asked), matrix.SLICE)]
+        found = matrix.search(vectors, ["vec"], k, slices, matrix.dot_scores)
+    else:
+        found = scores(vectors, queries)
+    return top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("dense").alias("score_kind"))
 
 
 def retrieve_hashed(vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 24, bits: int = 6, seed: int = 11, flips: int = 2) -> DataFrame:

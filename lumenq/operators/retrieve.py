@@ -112,7 +112,7 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 def tables_by_bm25(chunks: DataFrame, q: DataFrame, k: int = 2) -> DataFrame:
     """The best tables of each question, indexed among tables only."""
     only = chunks.where(is_table(F.col("chunk_type")))
-    return with_chunks(bm25.top(bm25.completed(bm25.scores(only, q), only, q, k), k).withColumn("score_kind", F.lit("bm25")), only)
+    return with_chunks(bm25.top(bm25.best(only, q, k), k).withColumn("score_kind", F.lit("bm25")), only)
 
 
 def paper_search(c: Corpus, q: DataFrame, plans: DataFrame, k: int = TOP_K, pool: int | None = None) -> DataFrame:
