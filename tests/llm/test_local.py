@@ -271,3 +271,44 @@ def test_sketch_blocks():
     for k in range(1 << (jaccard.SKETCH_BITS - jaccard.BLOCK_BITS)):
         own = want[k << jaccard.BLOCK_BITS : (k + 1) << jaccard.BLOCK_BITS]
         assert (jaccard._dense_block(by.get(k, [])) == np.minimum(255, np.round(6 * np.log2(own + 1)))).all()
+
+
+def made_up(lang, r, n):
+    """Words of one of four invented languages, which share letters but prefer other syllables."""
+    syllables = {"a": "ka lo mi ter an so ri de".split(), "b": "sch ung ein ver ter an keit lo".split(), "c": "eau oui tion re de mi ette an".split(), "d": "ção os ndo ra de lo ter que".split()}[lang]
+    return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def test_ambiguous_texts_are_flagged():
+    """Of held-out texts at least 0.98 are accepted and right; of splices of two languages and of other scripts at least 0.8 are flagged."""
+    r = random.Random(8)
+    rows = [(made_up(x, r, r.randint(20, 400)), x) for x in "abcd" for _ in range(400)]
+    model = langid.train(*zip(*rows, strict=True))
+    clean = [(made_up(x, r, r.randint(20, 400)), x) for x in "abcd" for _ in range(100)]
+    lang, _, unsure = model.decide(pa.array([t for t, _ in clean]))
+    assert sum(a == b and not u for a, (_, b), u in zip(lang, clean, unsure, strict=True)) >= 0.98 * len(clean)
+    mixed = [made_up(x, r, r.randint(60, 400)) + " " + made_up(y, r, r.randint(60, 400)) for x, y in itertools.permutations("abcd", 2) for _ in range(20)]
+    assert model.decide(pa.array(mixed))[2].mean() >= 0.8
+    other = ["Это предложение на русском языке", "ελληνικό κείμενο για δοκιμή", "日本語の文章です。これは試験です", "한국어 문장입니다"]
+    assert model.decide(pa.array(other))[2].all()
+
+
+def test_windows_add_up_to_rows():
+    r = random.Random(9)
+    rows = [(made_up(x, r, 50), x) for x in "abcd" for _ in range(20)]
+    model = langid.train(*zip(*rows, strict=True))
+    long = made_up("a", r, 200_000)
+    texts = pa.array(["", None, long, "12 34", made_up("b", r, 3), long])
+    f, letters, parts, part_letters, part_rows = model.margins(texts)
+    for i in range(len(texts)):
+        assert part_letters[part_rows == i].sum() == letters[i]
+        if letters[i]:
+            assert np.allclose((parts * part_letters[:, None])[part_rows == i].sum(0) / letters[i], f[i], atol=1e-3)
+    lang, _, unsure = model.decide(texts)
+    assert lang[:2] == ["und", "und"] and lang[2] == lang[5] == "a" and not unsure[2] and unsure[[0, 1, 3]].all()
+
+
+def test_three_languages_tie_goes_to_the_first():
+    model = langid.train(["x", "x", "x"], ["c", "a", "b"])
+    lang, margin, unsure = model.decide(pa.array(["x", "y"]))
+    assert lang == ["a", "a"] and (margin == 0).all()
