@@ -6,9 +6,10 @@ remaining piece is found and taken out. Documents longer than a bin are cut
 into full bins and a rest. Groups of documents, by a hash of ``doc_id`` and
 about ``group_docs`` each however large the corpus, are packed side by side.
 
-A length is the number of a text's white-space separated words. Edges: a null
-or blank text has length 0 and is in no bin; null and repeated ``doc_id``s are
-packed row by row; the empty table gives no bins; other columns are ignored.
+A length is the number of a text's token ids (``bpe``), or what a column of the
+caller's says. Edges: a null or empty text, and a length that is null or below 1, is
+in no bin; null and repeated ``doc_id``s are packed row by row; equal lengths are
+taken in the order of their rows; the empty table gives no bins; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenq.llm import bpe, textvec
 from lumenq.llm.shared import table
 
 CAPACITY = 2048
 GROUP_DOCS = 8192
+#: Tasks that pack at most; each takes several groups beyond.
+MAX_TASKS = 20_000
 SCHEMA = "bin_id string, capacity int, used int, slack int, doc_ids array<bigint>, starts array<int>, lengths array<int>"
 
 
@@ -100,34 +105,33 @@ def _pack(capacity: int):
     return run
 
 
-def _lengths(batches: Iterator):
-    """Words per row: starts of runs of bytes other than ASCII white space."""
-    import pyarrow as pa
+def _lengths(vocabulary: str):
+    """Token ids per row."""
 
-    from lumenq.llm import textvec
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.Coder.of(vocabulary)
+        for b in batches:
+            offs, _ = textvec.utf8(b.column("text"))
+            n = np.zeros(len(offs) - 1, np.int32)
+            for i, j in textvec.pieces(offs, bpe.STEP_BYTES):
+                n[i:j] = np.diff(coder.batch(b.column("text").slice(i, j - i))[0])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n)], names=["doc_id", "n"])
+
+    return run
 
-    white = np.zeros(256, dtype=bool)
-    white[[9, 10, 11, 12, 13, 32]] = True
-    for b in batches:
-        offs, data = textvec.utf8(b.column("text"))
-        n = np.zeros(len(offs) - 1, np.int32)
-        for i, j in textvec.pieces(offs, 4 << 20):
-            o, d = offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
-            black = ~white[d]
-            first = black.copy()
-            edge = np.zeros(len(d) + 1, dtype=bool)
-            edge[o] = True
-            first[1:] &= ~black[:-1] | edge[1 : len(d)]
-            n[i:j] = np.diff(np.searchsorted(np.flatnonzero(first), o))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n)], names=["doc_id", "n"])
 
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, length: str | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """Bins: bin_id, capacity, used, slack and, for each piece, its doc_id, first token and number of tokens.
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Bins: bin_id, capacity, used, slack and, for each piece, its doc_id, first word and number of words."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lengths, "doc_id long, n int").where("n > 0")
+    ``length`` names a column of whole numbers, as ``n_tokens`` of the token operators; without it, texts are encoded to be counted.
+    """
+    own = F.col("doc_id").cast("long").alias("doc_id")
+    sized = docs.select(own, F.col(f"`{length}`").cast("int").alias("n")) if length else docs.select(own, "text").mapInArrow(_lengths(vocabulary), "doc_id long, n int")
     groups = max(1, -(-docs.select("doc_id").count() // group_docs))
-    keyed = sized.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(_pack(capacity), SCHEMA)
+    keyed = sized.where("n > 0").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # a group is seconds of work on kilobytes of lengths, so their bytes mustn't say how many tasks there are
+    spread = keyed.repartition(min(groups, MAX_TASKS), "g")
+    return spread.groupBy("g").applyInPandas(_pack(capacity), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

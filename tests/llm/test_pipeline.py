@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 import corpus_pipeline as P
-from lumenq.llm import jaccard, langid, pii
+from lumenq.llm import bpe, jaccard, langid, packing, pii
 from tests.llm.test_spark import DOCS, brute_pairs
 
 VOCAB = {"en": "the of and thing other with from was".split(), "de": "der und nicht schön heit auf mit dem".split()}
@@ -38,12 +38,14 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {40, 41} <= gone
     want = {}
     for k, text in {r[0]: r[1] for r in kept if r[0] not in gone}.items():
-        want[k] = len(pii.rewrite(text, pii.session_key())[0].split())
+        want[k] = len(bpe.Coder.of(bpe.VOCABULARY).one(pii.rewrite(text, pii.session_key())[0]))
     held = {}
     for b in bins:
         for d, n in zip(b.doc_ids, b.lengths, strict=True):
             held[d] = held.get(d, 0) + n
-    assert held == want
+    assert held == want and all(sum(b.lengths) == b.used <= b.capacity for b in bins)
+    order = sorted(want)
+    assert sorted(b.used for b in bins) == sorted(sum(want[order[i]] for i in x) for x in packing.pack_lengths([want[k] for k in order], packing.CAPACITY))
 
 
 def test_stages_keep_the_columns(spark, tmp_path):

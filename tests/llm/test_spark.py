@@ -193,19 +193,52 @@ def test_reshard(spark, docs, none, rows, tmp_path):
     sharding.rewrite(empty, plan, f"file://{tmp_path}/none")
 
 
-def test_packing(docs, none, rows):
-    bins = packing.pack(docs, capacity=512, group_docs=8).collect()
-    assert all(sum(b.lengths) == b.used <= 512 and b.slack == 512 - b.used for b in bins) and len({b.bin_id for b in bins}) == len(bins)
+def held_tokens(bins):
     held = {}
     for b in bins:
-        for d, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
-            held[d] = held.get(d, 0) + n
+        for d, at, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
+            held.setdefault(d, []).append((at, n))
+    return held
+
+
+def test_packing(spark, docs, none, rows):
+    coder = bpe.Coder.of(bpe.VOCABULARY)
+    bins = packing.pack(docs.withColumn("g", F.lit("clash")).withColumn("n", F.lit(1)), capacity=512, group_docs=8).collect()
+    assert all(sum(b.lengths) == b.used <= 512 and b.slack == 512 - b.used for b in bins) and len({b.bin_id for b in bins}) == len(bins)
     want = {}
     for r in rows:
-        n = len((r[1] or "").split())
-        if n:
-            want[r[0]] = want.get(r[0], 0) + n
-    assert held == want and packing.pack(none).count() == 0
+        n = len(coder.one(r[1])) if r[1] else 0
+        want.setdefault(r[0], []).extend([(at, min(512, n - at)) for at in range(0, n, 512)])
+    assert {k: sorted(v) for k, v in held_tokens(bins).items()} == {k: sorted(v) for k, v in want.items() if v} and packing.pack(none).count() == 0
+    # a table of nulls and zeros has no bins; ties are packed once each; the caller's lengths count
+    empty = spark.createDataFrame([(None, None, 0), (1, None, None), (2, "", -3)], "doc_id long, text string, len int")
+    assert packing.pack(empty).count() == packing.pack(empty, length="len").count() == 0
+    ties = spark.createDataFrame([(k, "x", 256) for k in range(9)], "doc_id long, text string, len int")
+    got = packing.pack(ties, capacity=512, length="len").collect()
+    assert len(got) == 5 and sorted(d for b in got for d in b.doc_ids) == list(range(9))
+
+
+def brute_pack(lengths, capacity):
+    """Minimum bin slack by trying every subset that holds the longest piece."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        top, rest = left[0], left[1:]
+        best = max((sum(c) for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if sum(c) <= capacity - top), default=0)
+        chosen = next(c for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if sum(c) == best)
+        bins.append(top + best)
+        for x in (top, *chosen):
+            left.remove(x)
+    return bins
+
+
+def test_packing_equals_brute_force(spark):
+    r = random.Random(2)
+    for _ in range(3):
+        lengths = [r.randint(1, 60) for _ in range(11)]
+        df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, n int")
+        got = sorted((b.used for b in packing.pack(df, capacity=64, length="n").collect()), reverse=True)
+        # the first bin is the fullest that holds the longest piece; later ones depend on which of equal sums was taken
+        assert sum(got) == sum(lengths) and brute_pack(lengths, 64)[0] in got and len(got) <= len(brute_pack(lengths, 64)) + 1
 
 
 def test_webp_column(spark):
