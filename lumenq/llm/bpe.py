@@ -14,8 +14,9 @@ space. The pre-tokenizer's pattern always starts a new match there and looks no
 further ahead or back, so encodings on either side don't depend on each other.
 
 Edges: a null text gives null ids, an empty one no ids; rows that repeat (equal
-``doc_id`` included) are each encoded; other columns are carried, whatever their
-names, except those named like an output column, which are replaced.
+``doc_id`` included) have the ids of their text; other columns are carried, whatever
+their names (but ``__near``, ``__key`` and ``__spans``, which are used inside), except
+those named like an output column, which are replaced.
 """
 
 from __future__ import annotations
@@ -251,17 +252,17 @@ def assemble(coder: Coder, raw: bytes, known: list[tuple[int, int, np.ndarray]],
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row_key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("near", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
     for b in batches:
         offs, data = textvec.utf8(b.column("text"))
-        keys, ss, ns, hs = [], [], [], []
-        for i, key in enumerate(b.column("row_key").to_pylist()):
+        at, ss, ns, hs = [], [], [], []
+        for i in range(b.num_rows):
             for s, e, h in chunks_of(data[offs[i] : offs[i + 1]]):
-                keys.append(key)
+                at.append(i)
                 ss.append(s)
                 ns.append(e - s)
                 hs.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ss, pa.int32()), pa.array(ns, pa.int32()), pa.array(hs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), b.column("near").take(pa.array(at, pa.int64())), pa.array(ss, pa.int32()), pa.array(ns, pa.int32()), pa.array(hs, pa.binary())], schema=schema)
 
 
 def _encode_shared(path: str):
@@ -282,6 +283,8 @@ def _encode_shared(path: str):
     return run
 
 
+#: The column of a row's known chunks between the join and the encoder.
+SPANS = "__spans"
 #: Bytes of text that a worker encodes at once.
 STEP_BYTES = 4 << 20
 
@@ -289,7 +292,7 @@ STEP_BYTES = 4 << 20
 def _assembled(coder: Coder, b: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
     offs, data = textvec.utf8(b.column("text"))
     valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
-    spans = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
+    spans = b.column(SPANS).to_pylist() if SPANS in b.schema.names else [None] * b.num_rows
     raws, own_text, counts, known_of = [], [], [], []
     if any(spans):
         # the parts that no shared chunk covers, of all rows, are encoded in one go
@@ -340,26 +343,27 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
 
     ``decodes_back``: the ids, decoded, are the text's bytes; null where the text is null.
     """
-    spark = docs.sparkSession
-    made = {"token_ids", "n_tokens", "decodes_back", "text", "row_key", "spans"}
+    made = {"token_ids", "n_tokens", "decodes_back", "text"}
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    # Rows are told apart by a hash of what they hold: it comes out the same when a lost task runs again. Equal rows share it and their chunks.
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)])
-    base = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text"), key.alias("row_key"))
-    found = written(base.where(F.length("text") > 0).select("row_key", "text").mapInArrow(_chunk_rows, "row_key long, start int, size int, h binary"), "chunks")
+    # Texts are told apart by 128 bits; 64 of another hash sort out which rows have to be moved, and may take one too many.
+    base = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text"), F.xxhash64("text").alias("__near"))
+    key = F.unhex(F.md5("text"))
+    texts = docs.select("text", key.alias("key"), F.xxhash64("text").alias("near")).where(F.length("text") > 0)
+    found = written(texts.select("key", "near", "text").mapInArrow(_chunk_rows, "key binary, near long, start int, size int, h binary"), "chunks")
     shared = written(
-        found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start", "size")).alias("first")).where("n > 1").select("h", "first.row_key", "first.start", "first.size"),
+        found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "near", "start", "size")).alias("first")).where("n > 1").select("h", "first.key", "first.near", "first.start", "first.size"),
         "shared",
     )
-    owners = shared.groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "h")).alias("spans"))
+    owners = shared.groupBy("key", "near").agg(F.collect_list(F.struct("start", "size", "h")).alias("spans"))
     # only texts that own a shared chunk are moved here, and only those that have one below
-    texts = among(base.select("row_key", "text"), owners, "row_key").join(owners, "row_key").dropDuplicates(["row_key"])
-    coded = written(texts.mapInArrow(_encode_shared(vocabulary), "h binary, ids binary"), "coded").dropDuplicates(["h"])
-    uses = written(found.dropDuplicates(["row_key", "start"]).join(shared.select("h"), "h", "left_semi"), "uses")
-    spans = uses.join(coded, "h").groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("spans"))
+    own = among(texts, owners, "near").join(owners.drop("near"), "key").dropDuplicates(["key"])
+    coded = written(own.select("text", "spans").mapInArrow(_encode_shared(vocabulary), "h binary, ids binary"), "coded").dropDuplicates(["h"])
+    uses = written(found.dropDuplicates(["key", "start"]).join(shared.select("h"), "h", "left_semi"), "uses")
+    spans = uses.join(coded, "h").groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size", "ids")).alias(SPANS))
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("decodes_back", T.BooleanType())])
-    alone = without(base, uses, "row_key").mapInArrow(_assemble_rows(vocabulary, columns), schema)
-    joined = among(base, uses, "row_key").join(spans, "row_key").mapInArrow(_assemble_rows(vocabulary, columns), schema)
+    moved = uses.select(F.col("near").alias("__near"))
+    alone = without(base, moved, "__near").mapInArrow(_assemble_rows(vocabulary, columns), schema)
+    joined = among(base, moved, "__near").withColumn("__key", key).join(spans, "__key", "left").mapInArrow(_assemble_rows(vocabulary, columns), schema)
     return alone.unionByName(joined)
 
 

@@ -186,14 +186,14 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(textvec.row_grams(b.column("text"), 1))
         n = np.array([len(x) for x in rows], dtype=np.int64)
         terms = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        keys = np.repeat(b.column("row_key").to_numpy(), n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms.view(np.int64))], names=["row_key", "term"])
+        keys = b.column("row_key").take(pa.array(np.repeat(np.arange(len(n)), n)))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(terms.view(np.int64))], names=["row_key", "term"])
 
 
 def _by_join(docs: DataFrame, lex: DataFrame, sign, schema: str) -> DataFrame:
     """For a lexicon too large to broadcast: each document gets its own lexicon terms by a join."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    own = keyed.select("row_key", "text").mapInArrow(_hashes, "row_key long, term long").dropDuplicates().join(lex, "term").groupBy("row_key").agg(F.collect_list("term").alias("terms"))
+    keyed = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("row_key"))
+    own = keyed.select("row_key", "text").mapInArrow(_hashes, "row_key binary, term long").dropDuplicates().join(lex, "term").groupBy("row_key").agg(F.collect_list("term").alias("terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}

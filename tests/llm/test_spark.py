@@ -65,8 +65,9 @@ def test_bin_files(docs, tmp_path):
 
 def test_bpe(spark, docs, none, rows):
     coder = bpe.Coder.of(bpe.VOCABULARY)
-    got = bpe.encode(docs.withColumn("token_ids", F.lit(1))).collect()
-    assert len(got) == len(rows)
+    clash = {c: F.lit(c) for c in ("row_key", "spans", "key", "near", "h", "start", "first", "n")}
+    got = bpe.encode(docs.withColumns({"token_ids": F.lit(1), **clash})).collect()
+    assert len(got) == len(rows) and all(r[c] == c for r in got for c in clash)
     text = {(r[0], r[4]): r[1] for r in rows}
     for r in got:
         t = text[r.doc_id, r.n_chars]
