@@ -166,4 +166,4 @@ def write_bins(packed: DataFrame, folder: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed token ids of every document."""
-    return pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), n_vocab=50257)
+    return pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))

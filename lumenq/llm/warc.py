@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from lumenq.llm.shared import new_dir, table
 
 DATE = "2024-01-01T00:00:00Z"
-ROLL_BYTES = 1 << 20
-RANGE_BYTES = 8 << 20
-SAMPLE = 64
+ROLL_BYTES = 1 << 30
+#: Pages' bytes of a range, which is one task's; beyond MAX_RANGES of them ranges are larger instead, so that keys and files that the driver holds are bounded.
+RANGE_BYTES, MAX_RANGES = 32 << 20, 20_000
+#: Sampled keys for each range.
+SAMPLE = 32
 SCHEMA = "page_id long, url string, file string, record_start long, record_bytes int, payload_digest string, record_id string"
 
 
@@ -161,7 +163,7 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, range_bytes: in
     spark = pages.sparkSession
     keyed = pages.select("page_id", "url", "html").withColumn("key", sort_key(F.col("url")))
     rows, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
-    cut = bounds(keyed.select("page_id", "url", "key"), max(1, -(-size // range_bytes)), rows)
+    cut = bounds(keyed.select("page_id", "url", "key"), max(1, min(MAX_RANGES, -(-size // range_bytes))), rows)
     keys = [(k.encode(), p) for k, p in cut]
 
     @F.pandas_udf("int")

@@ -312,3 +312,15 @@ def test_three_languages_tie_goes_to_the_first():
     model = langid.train(["x", "x", "x"], ["c", "a", "b"])
     lang, margin, unsure = model.decide(pa.array(["x", "y"]))
     assert lang == ["a", "a"] and (margin == 0).all()
+
+
+def test_flow_of_a_thousand_shards():
+    """In seconds, every byte placed, no more moved than what shards can't keep."""
+    r = random.Random(12)
+    old = {f"s{k:04d}": r.randint(1, 1 << 40) for k in range(1000)}
+    room = sharding.layout(sum(old.values()), sorted(old))
+    flow = sharding.min_cost_flow(old, room)
+    for a, n in old.items():
+        assert sum(x for (i, _), x in flow.items() if i == a) == n
+    assert all(sum(x for (_, j), x in flow.items() if j == b) <= room[b] for b in room)
+    assert sum(x for (a, b), x in flow.items() if a != b) == sum(max(0, n - room[a]) for a, n in old.items())

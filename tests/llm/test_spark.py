@@ -1,5 +1,8 @@
 """The operators over small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import base64
+import gzip
+import hashlib
 import itertools
 import json
 import random
@@ -254,6 +257,28 @@ def test_webp_column(spark):
     assert {r.vec_id: r.width for r in webp.decode_column(webp.thumbnails(v)).collect()} == {0: 8, 1: None, 2: None}
 
 
+def test_reshard_of_odd_ids(spark):
+    """An outlying id, dense clusters, a null shard and a hot source: blocks stay small in bytes, so no new shard is far over its capacity."""
+    rows = [(k, "x" * (20 + k % 60), f"src{k % 3}" if k % 5 else None) for k in range(3000)] + [(1 << 60, "far", "src1"), (None, "y" * 50, "src2"), (-(1 << 60), "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'a' as old_shard", "'b' as block", "'c' as new_shard", "'d' as moved", "'e' as bytes")
+    out, plan = sharding.reshard(df, blocks=64)
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.bytes == "e" for r in got) and {r.old_shard for r in got} == {"", "src0", "src1", "src2"}
+    sizes, held = {}, {}
+    for r in got:
+        n = len(r.text) + 16
+        sizes[r.old_shard, r.block] = sizes.get((r.old_shard, r.block), 0) + n
+        held[r.new_shard] = held.get(r.new_shard, 0) + n
+    total = {a: sum(n for (x, _), n in sizes.items() if x == a) for a in plan["sizes"]}
+    assert total == plan["sizes"] and all(n < 4 * total[a] / 64 for (a, _), n in sizes.items())
+    assert plan["overrun"] == max(0, *(n - plan["capacities"][s] for s, n in held.items())) <= max(sizes.values())
+    assert plan["moved"] == sum(len(r.text) + 16 for r in got if r.moved) <= plan["must_move"] + len(plan["sizes"]) * max(sizes.values())
+    with pytest.raises(ValueError):
+        sharding.reshard(df, capacities={"src0": 10})
+    with pytest.raises(ValueError):
+        sharding.reshard(df.withColumn("doc_id", F.col("text")))
+
+
 PAGES = [(k, f"http://h{k % 5}.example.org/{k}", f"<p>{words(k, 40)}</p>") for k in range(60)] + [(60, None, "x"), (61, "no address", None), (None, "http://h1.example.org/z", ""), (3, "http://h3.example.org/3", f"<p>{words(3, 40)}</p>")]
 
 
@@ -270,10 +295,25 @@ def test_warc_is_deterministic(spark, tmp_path):
             (_, size, head, _), *_ = warc.records(files[r.file][r.record_start :][: r.record_bytes])
             assert size == r.record_bytes and head["WARC-Payload-Digest"] == r.payload_digest and head.get("WARC-Target-URI", "").replace("%20", " ") == (r.url or "")
         seen.append(files)
+        # read independently of the module: each file is a gzip stream of whole records whose digests fit
+        for raw in files.values():
+            for block in gzip.decompress(raw).split(b"WARC/1.1\r\n")[1:]:
+                head, _, body = block.partition(b"\r\n\r\n")
+                fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
+                body = body[: int(fields["Content-Length"])]
+                assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+                if fields["WARC-Type"] == "response":
+                    payload = body.partition(b"\r\n\r\n")[2]
+                    assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() and b"Content-Length: %d\r\n" % len(payload) in body
         key = lambda u: (",".join(reversed(urlparse(u).netloc.split("."))) + ")" + urlparse(u).path) if u and "://" in u else u or ""
         order = [key(r.url) for r in sorted(index, key=lambda r: (r.file, r.record_start))]
         assert order == sorted(order)
     assert seen[0] == seen[1] and len(seen[0]) > 3
+    large = spark.createDataFrame([(1, "http://a.org/1", "x"), (2, "http://a.org/2\x01\n", words(5, 3000)), (3, "http://a.org/3", "y")], "page_id long, url string, html string")
+    index = warc.write(large, f"file://{tmp_path}/large", roll=1000).orderBy("page_id").collect()
+    assert len({r.file for r in index}) == 3 and index[1].record_bytes > 1000
+    raw = (tmp_path / "large" / index[1].file).read_bytes()[index[1].record_start :]
+    assert b"http://a.org/2%01%0A\r\n" in gzip.decompress(raw)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write(empty, f"file://{tmp_path}/e").count() == 0 and json.loads((tmp_path / "e" / "manifest.json").read_text())["files"] == []
 
