@@ -133,7 +133,11 @@ def numeric_candidates(spark, d):
     return numeric.candidates(chosen).select("qid", "n", "max_raw", "min_raw", "mean", "difference")
 
 
-@query("numeric_notes")
+@query(
+    "numeric_notes",
+    sql.cte(_FACTS, "a AS (SELECT qid, count(*) AS total FROM facts GROUP BY qid)", "m AS (SELECT qid, chunk_id, count(*) AS n, arg_max(raw_value, {'v': value, 'o': -seq}) AS raw, arg_max(row_label, {'v': value, 'o': -seq}) AS who, string_agg('[1] ' || row_label || ' / balance = ' || raw_value, '; ' ORDER BY seq) AS vs FROM facts WHERE metric = 'balance' GROUP BY qid, chunk_id)")
+    + "SELECT qid, total || ' numeric values in the sources; ' || n || ' match the question best.' || chr(10) || 'Candidate maximum: ' || raw || ' at ' || who || ' / balance' || CASE WHEN n <= 8 THEN chr(10) || 'Values: ' || vs ELSE '' END AS notes FROM a JOIN m USING (qid)",
+)
 def numeric_notes(spark, d):
     ranked = frames.balance_tables(spark, d)
     asked = ranked.select("qid", F.lit("What is the highest balance?").alias("question"), F.lit("numerical").alias("query_type"), F.lit(True).alias("needs_calculation"))
@@ -159,18 +163,18 @@ claims AS (SELECT qid, CAST(i - 1 AS INTEGER) AS claim_no, cs[i] AS claim FROM t
 _EVIDENCE = [sql.DOCS, sql.ITEMS, sql.bm25("s", "chunks", "queries"), sql.completed("f", "s", "chunks", "queries", 3), sql.top("t", "f", 3)]
 
 
-@query(
-    "claim_support",
-    sql.cte(
-        *_EVIDENCE, _CLAIMS, f"c AS (SELECT *, {_content('claim')} AS ws, regexp_extract_all(claim, '-?\\d+(?:\\.\\d+)?%?') AS ns FROM claims)",
-        f"e AS (SELECT t.qid, t.chunk_id, rank, lower(text) AS low, {_content('text')} AS hs FROM t JOIN chunks USING (chunk_id))",
-        "x AS (SELECT c.qid, claim_no, len(ns) AS nn, chunk_id, rank, len(list_intersect(ws, hs)) AS overlap, greatest(len(ws), 1) AS nw, CASE WHEN len(ns) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ns, lambda n: contains(low, lower(n))))::DOUBLE / len(ns) END AS k FROM c JOIN e USING (qid))",
-        "y AS (SELECT *, 0.75 * (overlap::DOUBLE / nw) + 0.25 * k AS sc FROM x)",
-        "b AS (SELECT *, round(sc, 9) > CASE WHEN nn = 0 THEN 0.25 ELSE 0 END AS taken FROM (SELECT *, row_number() OVER (PARTITION BY qid, claim_no ORDER BY round(sc, 9) DESC, rank) AS n FROM y) WHERE n = 1)",
-        "z AS (SELECT qid, claim_no, nn, CASE WHEN taken THEN chunk_id ELSE '' END AS best_chunk_id, CASE WHEN taken THEN overlap ELSE 0 END AS overlap, CASE WHEN taken THEN round(overlap::DOUBLE / nw, 3) ELSE 0 END AS token_support, CASE WHEN taken THEN round(k, 3) WHEN nn = 0 THEN 1 ELSE 0 END AS number_support FROM b)",
-    )
-    + "SELECT qid, CAST(claim_no AS BIGINT) AS claim_no, best_chunk_id, token_support::DOUBLE AS token_support, number_support >= 1 AND (token_support >= 0.35 OR (nn = 0 AND overlap >= 3)) AS supported FROM z",
-)
+_SUPPORT = [
+    *_EVIDENCE, _CLAIMS, f"c AS (SELECT *, {_content('claim')} AS ws, regexp_extract_all(claim, '-?\\d+(?:\\.\\d+)?%?') AS ns FROM claims)",
+    f"e AS (SELECT t.qid, t.chunk_id, rank, lower(text) AS low, {_content('text')} AS hs FROM t JOIN chunks USING (chunk_id))",
+    "x AS (SELECT c.qid, claim_no, claim, len(ns) AS nn, chunk_id, rank, len(list_intersect(ws, hs)) AS overlap, greatest(len(ws), 1) AS nw, CASE WHEN len(ns) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ns, lambda n: contains(low, lower(n))))::DOUBLE / len(ns) END AS k FROM c JOIN e USING (qid))",
+    "y AS (SELECT *, 0.75 * (overlap::DOUBLE / nw) + 0.25 * k AS sc FROM x)",
+    "b AS (SELECT *, round(sc, 9) > CASE WHEN nn = 0 THEN 0.25 ELSE 0 END AS taken FROM (SELECT *, row_number() OVER (PARTITION BY qid, claim_no ORDER BY round(sc, 9) DESC, rank) AS n FROM y) WHERE n = 1)",
+    "z AS (SELECT qid, claim_no, claim, nn, CASE WHEN taken THEN chunk_id ELSE '' END AS best_chunk_id, CASE WHEN taken THEN overlap ELSE 0 END AS overlap, CASE WHEN taken THEN round(overlap::DOUBLE / nw, 3) ELSE 0 END AS token_support, CASE WHEN taken THEN round(k, 3) WHEN nn = 0 THEN 1 ELSE 0 END AS number_support FROM b)",
+    "sup AS (SELECT qid, CAST(claim_no AS BIGINT) AS claim_no, claim, best_chunk_id, token_support::DOUBLE AS token_support, number_support >= 1 AND (token_support >= 0.35 OR (nn = 0 AND overlap >= 3)) AS supported FROM z)",
+]
+
+
+@query("claim_support", sql.cte(*_SUPPORT) + "SELECT qid, claim_no, best_chunk_id, token_support, supported FROM sup")
 def claim_support(spark, d):
     q = frames.items(spark, d)
     docs = frames.doc_chunks(spark, d)
@@ -179,7 +183,11 @@ def claim_support(spark, d):
     return out.select("qid", F.col("claim_no").cast("long").alias("claim_no"), "best_chunk_id", F.col("token_support").cast("double").alias("token_support"), "supported")
 
 
-@query("answer_support")
+@query(
+    "answer_support",
+    sql.cte(*_SUPPORT)
+    + r"SELECT qid, count(*) AS n_claims, count(*) FILTER (supported) AS n_supported, round(avg(supported::INT), 3) AS coverage, coalesce(string_agg(regexp_replace(claim, '\.+$', '') || '.', ' ' ORDER BY claim_no) FILTER (supported), '') AS supported_answer, bool_and(supported) AS verified FROM sup GROUP BY qid",
+)
 def answer_support(spark, d):
     q = frames.items(spark, d)
     docs = frames.doc_chunks(spark, d)
@@ -291,7 +299,16 @@ def judge_coercion(spark, d):
     return rows.select("doc_id", "j.score", "j.verdict", F.size("j.missing_facts").cast("long").alias("n_missing"))
 
 
-@query("judged_results")
+@query(
+    "judged_results",
+    sql.cte(
+        sql.DOCS, sql.ITEMS, sql.bm25("s", "chunks", "queries"), sql.completed("f", "s", "chunks", "queries", 5), sql.top("t", "f", 5),
+        "ctx AS (SELECT t.qid, string_agg('[Chunk ' || CAST(rank AS VARCHAR) || ' | ' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM t JOIN chunks USING (chunk_id) GROUP BY t.qid)",
+        f"w AS (SELECT qid, {_content('queries.text')} AS want, {_content("coalesce(context, '')")} AS have FROM queries LEFT JOIN ctx USING (qid))",
+        "v AS (SELECT qid, CAST(least(5, 1 + floor(len(list_intersect(want, have))::DOUBLE / greatest(len(want), 1) * 4)) AS INTEGER) AS score FROM w)",
+    )
+    + "SELECT qid, CASE WHEN score >= 4 THEN 'FULLY_SUFFICIENT' WHEN score = 3 THEN 'PARTIALLY_SUFFICIENT' ELSE 'INSUFFICIENT' END AS verdict, score FROM v",
+)
 def judged_results(spark, d):
     q, docs = frames.items(spark, d), frames.doc_chunks(spark, d)
     ranked = bm25.retrieve(docs, q, 5).join(docs.select("chunk_id", "text"), "chunk_id")

@@ -240,13 +240,37 @@ def rerank_pairs(spark, d):
     return _ranked(retrieve.by_pair(_corpus(spark, d), frames.items(spark, d)))
 
 
-@query("merge_short_chunks")
+@query(
+    "merge_short_chunks",
+    "WITH RECURSIVE " + sql.LINES + f""",
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS place FROM lines),
+run AS (SELECT doc_id, place, chunk_id, section, text, length(text) >= {chunking.MERGE_CHARS} AS closed, FALSE AS joined FROM p WHERE place = 1
+  UNION ALL
+  SELECT p.doc_id, p.place, CASE WHEN NOT r.closed AND r.section = p.section THEN r.chunk_id ELSE p.chunk_id END, p.section,
+         CASE WHEN NOT r.closed AND r.section = p.section THEN r.text || ' ' || p.text ELSE p.text END,
+         length(CASE WHEN NOT r.closed AND r.section = p.section THEN r.text || ' ' || p.text ELSE p.text END) >= {chunking.MERGE_CHARS}, NOT r.closed AND r.section = p.section
+  FROM run r JOIN p ON p.doc_id = r.doc_id AND p.place = r.place + 1)
+SELECT chunk_id, doc_id, section, CAST(max(length(text)) AS INTEGER) AS n_chars FROM run GROUP BY chunk_id, doc_id, section""",
+)
 def merge_short_chunks(spark, d):
     rows = frames.lines(spark, d).withColumn("chunk_type", F.lit("paragraph"))
     return chunking.merge_short(rows).select("chunk_id", "doc_id", "section", F.length("text").alias("n_chars"))
 
 
-@query("split_long_chunks")
+@query(
+    "split_long_chunks",
+    "WITH RECURSIVE " + sql.DOCS + rf""",
+l AS (SELECT chunk_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM chunks WHERE length(text) > {chunking.MAX_CHARS}),
+g AS (SELECT chunk_id, ps, 1 AS k, CAST(0 AS INTEGER) AS piece, [ps[1]] AS run, length(ps[1]) + 1 AS size, NULL::VARCHAR AS done FROM l
+  UNION ALL
+  SELECT chunk_id, ps, k + 1, CASE WHEN size + length(ps[k + 1]) > {chunking.MAX_CHARS} THEN piece + 1 ELSE piece END,
+         CASE WHEN size + length(ps[k + 1]) > {chunking.MAX_CHARS} THEN [run[-1], ps[k + 1]] ELSE list_append(run, ps[k + 1]) END,
+         CASE WHEN size + length(ps[k + 1]) > {chunking.MAX_CHARS} THEN length(run[-1]) + 1 ELSE size + 1 END + length(ps[k + 1]),
+         CASE WHEN size + length(ps[k + 1]) > {chunking.MAX_CHARS} THEN array_to_string(run, ' ') END
+  FROM g WHERE k < len(ps)),
+o AS (SELECT chunk_id, piece - 1 AS piece, done AS text FROM g WHERE done IS NOT NULL UNION ALL SELECT chunk_id, piece, array_to_string(run, ' ') FROM g WHERE k = len(ps))
+SELECT chunk_id, CAST(piece AS INTEGER) AS piece, CAST(length(text) AS INTEGER) AS n_chars FROM o WHERE text <> '' UNION ALL SELECT chunk_id, 0, CAST(length(text) AS INTEGER) FROM chunks WHERE text IS NULL OR length(text) <= {chunking.MAX_CHARS}""",
+)
 def split_long_chunks(spark, d):
     return chunking.split_long(frames.doc_chunks(spark, d)).select("chunk_id", "piece", F.length("text").alias("n_chars"))
 
@@ -261,7 +285,29 @@ def all_strategies(spark, d):
     return _ranked(retrieve.run_strategies(_corpus(spark, d), frames.items_with_vectors(spark, d)), "strategy")
 
 
-@query("within_source_strategies")
+_PAIR = f"CASE WHEN len(list_distinct({sql.toks('q.text')})) + len(list_distinct({sql.toks('c.text')})) > 0 THEN 4.0::DOUBLE * len(list_intersect(list_distinct({sql.toks('q.text')}), list_distinct({sql.toks('c.text')}))) / (len(list_distinct({sql.toks('q.text')})) + len(list_distinct({sql.toks('c.text')}))) - 1 ELSE -1 END"
+
+
+def _pairs_sql(name, pool, k=5):
+    """``pool`` (qid, chunk_id, rank) reranked by token overlap."""
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, was) AS rank FROM (SELECT p.qid, p.chunk_id, p.rank AS was, {_PAIR} AS score FROM {pool} p JOIN queries q USING (qid) JOIN chunks c USING (chunk_id))) WHERE rank <= {k})"
+
+
+def _lists_sql(**lists):
+    return " UNION ALL ".join(f"{_OUT}, '{name}' AS strategy FROM {rows} WHERE rank <= 5" for name, rows in lists.items())
+
+
+@query(
+    "within_source_strategies",
+    sql.cte(
+        sql.DOCS, "papers AS (SELECT source, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM chunks))",
+        "queries AS (SELECT CAST(item_id AS VARCHAR) AS qid, b.text, p.source FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN papers p ON p.n = b.item_id % 20 + 1)",
+        sql.bm25("s", "chunks", "queries", "source"), "own AS (SELECT q.qid, c.chunk_id, c.ordinal FROM queries q JOIN chunks c USING (source))",
+        "lx AS (SELECT own.qid, own.chunk_id, own.ordinal, coalesce(s.score, 0) AS score FROM own LEFT JOIN s ON s.qid = own.qid AND s.chunk_id = own.chunk_id)", sql.top("bl", "lx", 1 << 30), sql.dense("ds"),
+        "sx AS (SELECT own.qid, own.chunk_id, own.ordinal, ds.score FROM own JOIN ds ON ds.qid = own.qid AND ds.chunk_id = own.chunk_id)", sql.top("dl", "sx", 1 << 30), _rrf_sql("r", 1, 1, 1 << 30), "pool AS (SELECT * FROM r WHERE rank <= 50)", _pairs_sql("ce", "pool"),
+    )
+    + _lists_sql(BM25="bl", Dense="dl", RRF="r", CE="ce"),
+)
 def within_source_strategies(spark, d):
     chunks = frames.doc_chunks(spark, d).withColumn("paper_id", F.col("source"))
     first = chunks.groupBy("paper_id").agg(F.min("ordinal").alias("o"))
@@ -296,7 +342,14 @@ def qrels_fuzzy(spark, d):
     return evaluate.fuzzy_qrels(proof, lines.where(F.length("text") >= chunking.MIN_CHARS))
 
 
-@query("rerank_from_model")
+@query(
+    "rerank_from_model",
+    sql.cte(
+        *_DOC_TOP[:3], sql.completed("f", "s", "chunks", "queries", 50), sql.top("t", "f", 50),
+        "r AS (SELECT t.qid, t.chunk_id, rank AS was, -abs(length(q.text) - length(c.text))::DOUBLE / (length(q.text) + length(c.text) + 1) AS score FROM t JOIN queries q USING (qid) JOIN chunks c USING (chunk_id))",
+    )
+    + "SELECT qid, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, was) AS rank FROM r) WHERE rank <= 5",
+)
 def rerank_from_model(spark, d):
     """A Python pair scorer in place of the built-in one, over the pool of fifty."""
     c = _corpus(spark, d)
