@@ -8,8 +8,9 @@ the training texts apart. A row is flagged as ambiguous, and not accepted, where
 the second codeword is nearly as near (a low margin), where even the best one is
 far (a high loss: another language or script), where much of the text, by windows
 of ``WINDOW`` bytes, decodes to another language than the whole (mixed text), or where there
-are no letters. The three bounds are quantiles of the training rows held out, of
-which each flags ``HELD_OUT_FLAGGED``.
+are no letters. The bounds are quantiles of the training rows held out, of
+which each flags ``HELD_OUT_FLAGGED``; short texts, whose margins vary more, are held
+against held-out texts cut as short.
 
 The classifiers are trained here, on at most ``TRAIN_PER_LANGUAGE`` labelled
 rows of each language (those with the least hash of their id), the only part
@@ -40,6 +41,8 @@ ORDERS = (2, 3, 4)
 BUCKET_BITS = 15
 #: Every HELD_OUT-th labelled text sets the bounds and trains nothing; each bound flags this share of them.
 HELD_OUT, HELD_OUT_FLAGGED = 5, 0.003
+#: Letters at which the next class of lengths begins.
+LENGTHS = (15, 60, 240)
 #: Bytes of a window, and the least share of letters in windows of another language that makes a text mixed.
 WINDOW, LEAST_FOREIGN = 600, 0.05
 MADE = ["pred_lang", "margin", "ambiguous", "accepted"]
@@ -95,7 +98,8 @@ _LETTER[128:] = True
 class Model:
     def __init__(self, langs: list[str], codes: np.ndarray, weights: np.ndarray, scale: np.ndarray, bit_weights: np.ndarray, typical: float):
         self.langs, self.codes, self.weights, self.scale, self.bit_weights, self.typical = langs, codes, weights, scale, bit_weights, typical
-        self.least_margin, self.most_loss, self.most_foreign = 0.0, np.inf, 1.0
+        classes = len(LENGTHS) + 1
+        self.least_margin, self.most_loss, self.most_foreign = np.zeros(classes), np.full(classes, np.inf), 1.0
 
     def margins(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each row's margin for each bit, and its letters; the same of each window, and the window's row."""
@@ -147,7 +151,8 @@ class Model:
         best, margin, loss, foreign, letters = self.judge(arr)
         none = letters == 0
         margin = np.where(none, 0.0, margin)
-        return [("und" if z else self.langs[b]) for z, b in zip(none, best, strict=True)], margin, none | (margin < self.least_margin) | (loss > self.most_loss) | (foreign > self.most_foreign)
+        size = np.searchsorted(LENGTHS, letters, side="right")
+        return [("und" if z else self.langs[b]) for z, b in zip(none, best, strict=True)], margin, none | (margin < self.least_margin[size]) | (loss > self.most_loss[size]) | (foreign > self.most_foreign)
 
     def losses(self, f: np.ndarray) -> np.ndarray:
         z = (f * self.scale)[:, None, :] * self.codes[None, :, :]
@@ -200,14 +205,17 @@ def train(texts: list[str], labels: list[str]) -> Model:
     model.typical = float(rest.mean()) if rest.size else 1.0
     if len(langs) > 1:
         few = len(held) * HELD_OUT_FLAGGED < 1  # too few to show the quantile
-        some = range(len(texts)) if few else held
-        _, margin, loss, foreign, letters = model.judge(pa.array([texts[i] for i in some], pa.large_string()))
-        if (letters > 0).any():
-            margin, loss, foreign = margin[letters > 0], loss[letters > 0], foreign[letters > 0]
-            room = 2.0 if few else 1.0
-            model.least_margin = float(np.quantile(margin, HELD_OUT_FLAGGED)) / room
-            model.most_loss = float(np.quantile(loss, 1 - HELD_OUT_FLAGGED)) * room
-            model.most_foreign = max(LEAST_FOREIGN, float(np.quantile(foreign, 1 - HELD_OUT_FLAGGED)) * room)
+        some, room = [texts[i] for i in (range(len(texts)) if few else held)], 2.0 if few else 1.0
+        for c, least in enumerate((4, *LENGTHS)):
+            # as many characters as have that many letters, or nearly so; the longest class takes whole texts
+            _, margin, loss, foreign, letters = model.judge(pa.array([t if least == LENGTHS[-1] else t[: int(1.2 * least)] for t in some], pa.large_string()))
+            enough = letters >= (least if least == LENGTHS[-1] else max(1, least // 2))
+            if enough.any():
+                model.least_margin[c] = np.quantile(margin[enough], HELD_OUT_FLAGGED) / room
+                model.most_loss[c] = np.quantile(loss[enough], 1 - HELD_OUT_FLAGGED) * room
+                model.most_foreign = max(LEAST_FOREIGN, float(np.quantile(foreign[enough], 1 - HELD_OUT_FLAGGED)) * room)
+            elif c:
+                model.least_margin[c], model.most_loss[c] = model.least_margin[c - 1], model.most_loss[c - 1]
     return model
 
 
