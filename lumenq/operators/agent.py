@@ -16,23 +16,49 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.functions.rules import BOUNDARY_WORDS
 from lumenq.functions.text import NUMBER, PLAIN_NUMBER, STOP_WORDS
+from lumenq.operators import bm25
 from lumenq.operators.rewrite import NUMERIC_TAIL
 
 CAP, MAX_STEPS, NEIGHBOUR_BUDGET, FAILURES = 16, 7, 2, 2
 TABLES = ("table", "merged_tables")
 BASE_TOOLS = ["rewrite_query", "decompose_question", "retrieve_evidence", "retrieve_fusion", "retrieve_numeric_or_table"]
 Row = dict[str, Any]
+_TEXT, _COUNT = {"type": "string"}, {"type": "integer", "minimum": 1}
+#: What each tool is for, its arguments and those that it needs.
+TOOLS: dict[str, tuple[str, dict, list[str]]] = {
+    "rewrite_query": ("Other wordings of the question, or of a part of it.", {"focus": _TEXT}, []),
+    "decompose_question": ("Subquestions that together answer the question.", {}, []),
+    "retrieve_evidence": ("The chunks that match one query best.", {"query": _TEXT, "top_k": _COUNT}, ["query"]),
+    "retrieve_fusion": ("Chunks for several wordings of a query, united.", {"query": _TEXT, "top_k": _COUNT}, ["query"]),
+    "retrieve_numeric_or_table": ("Chunks with tables or numbers first.", {"query": _TEXT, "top_k": _COUNT}, ["query"]),
+    "list_neighbor_chunks": ("What stands next to a chunk in its document.", {"chunk_id": _TEXT}, ["chunk_id"]),
+    "extract_table_data": ("Columns and rows of the tables found so far.", {"chunk_id": _TEXT}, []),
+    "inspect_context": ("Whether the evidence suffices, and its gaps.", {}, []),
+    "verify_answer_support": ("Which claims of a draft the evidence supports.", {"candidate_answer": _TEXT}, ["candidate_answer"]),
+    "finish": ("Ends the search, with an answer or without.", {"final_answer": _TEXT}, []),
+}
+
+
+def schemas(names: list[str] | None = None) -> list[dict]:
+    """The tools as JSON schemas of functions, in the given order; unknown names are left out. All take a reason."""
+    out = []
+    for name in TOOLS if names is None else [n for n in names if n in TOOLS]:
+        about, properties, required = TOOLS[name]
+        made = {"type": "object", "properties": {**properties, "reason": _TEXT}, "required": required, "additionalProperties": False}
+        out.append({"type": "function", "function": {"name": name, "description": about, "parameters": made}})
+    return out
 
 
 @dataclass
 class State:
     question: str
     plan: dict = field(default_factory=dict)
+    profile: dict = field(default_factory=dict)
     evidence: list[Row] = field(default_factory=list)
     steps: list[dict] = field(default_factory=list)
     near: set = field(default_factory=set)
@@ -121,6 +147,20 @@ def available(state: State, used: bool, neighbours: bool = True) -> list[str]:
     return [*BASE_TOOLS, *more, "inspect_context", "verify_answer_support", "finish"]
 
 
+def suggestions(state: State, added: list[str], rows: list[Row]) -> list[str]:
+    """What a policy might do next; the question's profile says what it is after."""
+    st, out = state.status(), []
+    if not state.evidence:
+        return [f"start_with_{state.profile.get('suggested_start', 'retrieve_evidence')}"]
+    if state.profile.get("numeric_or_table") and not st["table_chunk_ids"] and not st["numeric_chunk_ids"]:
+        out.append("retrieve_numeric_or_table_with_metric_terms")
+    if state.profile.get("comparison") and len(st["sections"]) < 2:
+        out.append("retrieve_fusion_for_more_sections")
+    if added and state.expansions < NEIGHBOUR_BUDGET and any(w in (r.get("text") or "").lower() for r in rows[:3] for w in BOUNDARY_WORDS):
+        out.append("list_neighbor_chunks_of_an_incomplete_one")
+    return out or ["finish_if_supported_else_rewrite_query"]
+
+
 def arguments(raw: Any) -> dict:
     """A call's arguments; what isn't a JSON object is empty."""
     if isinstance(raw, dict):
@@ -147,7 +187,10 @@ class Tools:
         for r in rows[:5]:
             if any(w in (r.get("text") or "").lower() for w in BOUNDARY_WORDS):
                 s.near.add(r["chunk_id"])
-        return {"ok": True, "added_chunk_ids": added, "retrieved": [{"rank": i + 1, "chunk_id": r["chunk_id"], "score": round(r.get("score") or 0.0, 4), "preview": " ".join((r.get("text") or "").split())[:280]} for i, r in enumerate(rows)], **more}
+        return {"ok": True, "added_chunk_ids": added, "retrieved": [{"rank": i + 1, "chunk_id": r["chunk_id"], "score": round(r.get("score") or 0.0, 4), "preview": " ".join((r.get("text") or "").split())[:280]} for i, r in enumerate(rows)], "suggested_next_actions": suggestions(s, added, rows), **more}
+
+    def many(self, queries: list[str], k: int) -> list[list[Row]]:
+        return [self.retrieve(q, k) for q in queries]
 
     def _rewrite_query(self, s: State, a: dict) -> dict:
         return {"ok": True, "rewrites": self.variants(str(a.get("focus") or "").strip() or s.question, s.plan)}
@@ -162,7 +205,7 @@ class Tools:
     def _retrieve_fusion(self, s: State, a: dict) -> dict:
         k = int(a.get("top_k") or 7)
         views = self.variants(str(a.get("query") or s.question), s.plan)
-        rows = united([self.retrieve(v, max(k, 7)) for v in views])[:k]
+        rows = united(self.many(views, max(k, 7)))[:k]
         return self._found(s, rows, s.add(rows), variants=views)
 
     def _retrieve_numeric_or_table(self, s: State, a: dict) -> dict:
@@ -251,8 +294,8 @@ def rule_policy(s: State, tools: list[str], last: dict | None, profile: dict) ->
 
 def run(question: str, plan: dict, tools: Tools, policy: Callable[..., list[dict]] = rule_policy, top_k: int = 5, max_steps: int = MAX_STEPS, generate=extract_answer, profile: dict | None = None, prefer_verified: bool = False) -> dict:
     """The loop: answer, retrieved, trace and rounds. Only a turn's first call is executed; no call, ``finish`` or the step limit ends it."""
-    s = State(question, plan or {})
     profile = profile or {"suggested_start": "retrieve_evidence"}
+    s = State(question, plan or {}, profile)
     used, last, rounds = False, None, []
     for step in range(1, max_steps + 1):
         names = available(s, used, tools.neighbours is not None)
@@ -312,23 +355,102 @@ def local_search(rows: list[Row]) -> Callable[[str, int], list[Row]]:
 
 
 TRACE = "qid string, answer string, retrieved_ids array<string>, tools array<string>, n_rounds int, verified boolean, rounds string"
-
-
-def run_batch(candidates: DataFrame, questions: DataFrame, top_k: int = 5, policy=rule_policy) -> DataFrame:
-    """The loop for each question (qid, question, query_type, suggested_start) over its own candidates (qid, chunk_id, ordinal, section, chunk_type, text), one task a group of questions."""
-    rows = candidates.select("qid", "chunk_id", "ordinal", "section", "chunk_type", "text").join(questions.select("qid", "question", "query_type", F.col("suggested_start")), "qid")
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        own = pdf[["chunk_id", "ordinal", "section", "chunk_type", "text"]].to_dict("records")
-        first = pdf.iloc[0]
-        place = {r["chunk_id"]: i for i, r in enumerate(own)}
-
-        def near(cid: str, w: int) -> list[Row]:
-            i = place.get(cid, -10)
-            return [{**own[j], "score": -0.01 * abs(j - i)} for j in range(i - w, i + w + 1) if j != i and 0 <= j < len(own)]
-
-        got = run(first["question"], {"query_type": first["query_type"]}, Tools(local_search(own), near), policy, top_k, profile={"suggested_start": first["suggested_start"]})
-        return pd.DataFrame([{"qid": key[0], "answer": got["answer"], "retrieved_ids": [r["chunk_id"] for r in got["retrieved"]], "tools": [t["name"] for t in got["trace"]], "n_rounds": len(got["rounds"]), "verified": got["verified"], "rounds": json.dumps(got["rounds"], default=str)}])
-
-    return rows.groupBy("qid").applyInPandas(one, TRACE)
+LOOKUPS = "qid string, kind string, key string, k int, rows string"
+_PASS = TRACE + ", needs array<struct<kind: string, key: string, k: int>>"
+
+
+class Missing(Exception):
+    """Look-ups (kind, key, k) that aren't known yet."""
+
+    def __init__(self, needs: list[tuple[str, str, int]]):
+        super().__init__("look-ups are missing")
+        self.needs = needs
+
+
+class KnownTools(Tools):
+    """Tools over look-ups that were made before."""
+
+    def __init__(self, known: dict[tuple[str, str, int], list[Row]]):
+        super().__init__(lambda q, k: self.many([q], k)[0], lambda c, w: self._get([("near", c, w)])[0])
+        self.known = known
+
+    def _get(self, keys: list[tuple[str, str, int]]) -> list[list[Row]]:
+        gone = [x for x in keys if x not in self.known]
+        if gone:
+            raise Missing(gone)
+        return [self.known[x] for x in keys]
+
+    def many(self, queries: list[str], k: int) -> list[list[Row]]:
+        return self._get([("search", q, k) for q in queries])
+
+
+def traced(qid: str, got: dict) -> dict:
+    return {"qid": qid, "answer": got["answer"], "retrieved_ids": [r["chunk_id"] for r in got["retrieved"]], "tools": [t["name"] for t in got["trace"]], "n_rounds": len(got["rounds"]), "verified": got["verified"], "rounds": json.dumps(got["rounds"], default=str)}
+
+
+def _passes(policy, top_k: int, max_steps: int):
+    def run_all(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                known = {(x["kind"], x["key"], int(x["k"])): json.loads(x["rows"]) for x in (r["known"] if r["known"] is not None else [])}
+                plan = {"query_type": r["query_type"], "rewrite_queries": list(r["rewrites"]) if r["rewrites"] is not None else []}
+                try:
+                    made = run(r["question"], plan, KnownTools(known), policy, top_k, max_steps, profile=json.loads(r["profile"]))
+                    out.append({**traced(r["qid"], made), "needs": []})
+                except Missing as e:
+                    none = dict.fromkeys(("answer", "retrieved_ids", "tools", "n_rounds", "verified", "rounds"))
+                    out.append({"qid": r["qid"], **none, "needs": [{"kind": a, "key": c, "k": k} for a, c, k in dict.fromkeys(e.needs)]})
+            frame = pd.DataFrame(out, columns=["qid", "answer", "retrieved_ids", "tools", "n_rounds", "verified", "rounds", "needs"], dtype=object)
+            yield frame.astype({"n_rounds": "Int32", "verified": "boolean"})
+
+    return run_all
+
+
+def _searched(chunks: DataFrame, needs: DataFrame, retrieve) -> DataFrame:
+    """Look-ups by one retrieval for all questions' queries."""
+    each = needs.where("kind = 'search'").withColumn("id", F.concat_ws("#", "qid", F.md5("key"), "k"))
+    most = each.agg(F.max("k")).first()[0]
+    row = F.struct("rank", *[c for c in ("chunk_id", "ordinal", "section", "chunk_type", "text", "score")])
+    if most is None:
+        return each.select("qid", "kind", "key", "k", F.lit("[]").alias("rows"))
+    got = retrieve(chunks, each.select(F.col("id").alias("qid"), F.col("key").alias("text")), most).select(F.col("qid").alias("id"), "chunk_id", "rank", "score")
+    near = got.join(each.select("id", "k"), "id").where("rank <= k").join(chunks.select("chunk_id", "ordinal", "section", "chunk_type", "text"), "chunk_id")
+    lists = near.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))
+    return each.join(lists, "id", "left").select("qid", "kind", "key", "k", F.coalesce("rows", F.lit("[]")).alias("rows"))
+
+
+def _beside(chunks: DataFrame, needs: DataFrame, paper: str) -> DataFrame:
+    """Neighbours of chunks by their places in their documents."""
+    each = needs.where("kind = 'near'")
+    placed = chunks.select("chunk_id", "ordinal", "section", "chunk_type", "text", paper).withColumn("place", F.row_number().over(Window.partitionBy(paper).orderBy("ordinal")))
+    steps = each.join(placed.select(F.col("chunk_id").alias("key"), paper, F.col("place").alias("at")), "key").withColumn("d", F.explode(F.expr("sequence(-k, k)"))).where("d <> 0").withColumn("place", F.col("at") + F.col("d"))
+    row = F.struct("d", "chunk_id", "ordinal", "section", "chunk_type", "text", (-0.01 * F.abs("d")).alias("score"))
+    lists = steps.join(placed, [paper, "place"]).groupBy("qid", "key", "k").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))
+    return each.join(lists, ["qid", "key", "k"], "left").select("qid", "kind", "key", "k", F.coalesce("rows", F.lit("[]")).alias("rows"))
+
+
+def run_indexed(chunks: DataFrame, questions: DataFrame, top_k: int = 5, policy=rule_policy, max_steps: int = MAX_STEPS, paper: str = "doc_id", retrieve=bm25.retrieve) -> DataFrame:
+    """The loop for each question (qid, question, query_type, profile, rewrites) over the whole index.
+
+    Loops run until a look-up isn't known; those of all questions are then made together, by one retrieval over
+    ``chunks`` (chunk_id, ordinal, section, chunk_type, text and the document's column) and one join for neighbours, and
+    the loops that asked run again. So the policy has to give the same calls for the same observations. There are at
+    most as many passes as a loop has look-ups.
+    """
+    spark = chunks.sparkSession
+    rest = questions.select("qid", "question", "query_type", F.to_json("profile").alias("profile"), "rewrites")
+    known, done = spark.createDataFrame([], LOOKUPS), []
+    for _ in range(2 * max_steps + 1):
+        held = known.groupBy("qid").agg(F.collect_list(F.struct("kind", "key", "k", "rows")).alias("known"))
+        out = rest.join(held, "qid", "left").mapInPandas(_passes(policy, top_k, max_steps), _PASS).persist()
+        done.append(out.where(F.size("needs") == 0).drop("needs"))
+        needs = out.select("qid", F.explode("needs").alias("n")).select("qid", "n.*")
+        if needs.isEmpty():
+            break
+        rest = rest.join(needs.select("qid").distinct(), "qid", "left_semi")
+        known = known.unionByName(_searched(chunks, needs, retrieve)).unionByName(_beside(chunks, needs, paper)).persist()
+    result = done[0]
+    for x in done[1:]:
+        result = result.unionByName(x)
+    return result

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenq.functions.text import blank, tokens
+from lumenq.functions.text import tokens
 
 ALIGN, PREFIX, MIN_QA, PER_TYPE, PARTIAL_POOL = 0.4, 500, 2, 10, 20
 METRICS = ["hit1", "hit3", "hit5", "ndcg5", "evidence_recall5", "all_evidence_recall5", "mrr"]
@@ -21,23 +21,48 @@ def papers_with_questions(papers: DataFrame, least: int = MIN_QA) -> DataFrame:
 
 
 def _answer_text(a: Column) -> Column:
-    spans = F.array_join(F.coalesce(a["extractive_spans"], F.array().cast("array<string>")), "; ")
-    return F.when(a["yes_no"].isNotNull(), F.when(a["yes_no"], "Yes").otherwise("No")).when(spans != "", spans).otherwise(F.coalesce(F.trim(a["free_form_answer"]), F.lit("")))
+    """yes or no, else the extractive spans, else the free form as it is."""
+    spans = F.coalesce(a["extractive_spans"], F.array().cast("array<string>"))
+    return F.when(a["yes_no"].isNotNull(), F.when(a["yes_no"], "yes").otherwise("no")).when(F.size(spans) > 0, F.array_join(spans, "; ")).otherwise(F.coalesce(a["free_form_answer"], F.lit("")))
+
+
+def answer_type(a: Column) -> Column:
+    return F.when(a["yes_no"].isNotNull(), "yes_no").when(F.coalesce(F.size(a["extractive_spans"]), F.lit(0)) > 0, "extractive").when(F.coalesce(a["free_form_answer"], F.lit("")) != "", "free_form").otherwise("unknown")
+
+
+def _given(answers: Column) -> Column:
+    """The annotators' answers but the missing and the unanswerable ones."""
+    return F.filter(F.transform(answers, lambda x: x["answer"]), lambda a: a.isNotNull() & ~F.coalesce(a["unanswerable"], F.lit(False)))
+
+
+def _evidence(given: Column) -> Column:
+    all_of = F.flatten(F.transform(given, lambda a: F.coalesce(a["evidence"], F.array().cast("array<string>"))))
+    return F.array_distinct(F.filter(all_of, lambda e: e.isNotNull()))
 
 
 def answerable_queries(papers: DataFrame) -> DataFrame:
-    """One row for each question that some annotator answers: evidence of all of them, ordered and distinct, without figures; up to three distinct answers."""
-    q = papers.select("paper_id", F.explode("qas").alias("q")).select("paper_id", "q.*")
-    given = F.filter(F.transform("answers", lambda x: x["answer"]), lambda a: ~F.coalesce(a["unanswerable"], F.lit(False)))
-    rows = q.withColumn("given", given).where(F.size("given") > 0)
-    proof = F.filter(F.array_distinct(F.flatten(F.transform("given", lambda a: F.coalesce(a["evidence"], F.array().cast("array<string>"))))), lambda e: ~blank(e) & ~e.startswith("FLOAT SELECTED"))
+    """One row for each question that some annotator answers: evidence of all of them, ordered and distinct, without figures; up to three distinct answers; the first one's type."""
+    rows = papers.select("paper_id", F.explode("qas").alias("q")).select("paper_id", "q.*").withColumn("given", _given(F.col("answers"))).where(F.size("given") > 0)
+    proof = F.filter(_evidence(F.col("given")), lambda e: ~e.startswith("FLOAT SELECTED"))
     answers = F.slice(F.array_distinct(F.filter(F.transform("given", _answer_text), lambda t: t != "")), 1, 3)
-    first = F.get("given", F.lit(0))
-    kind = F.when(first["yes_no"].isNotNull(), "yes_no").when(F.size(first["extractive_spans"]) > 0, "extractive").otherwise("abstractive")
+    kind = answer_type(F.get("given", F.lit(0)))
     out = rows.select(F.concat("paper_id", F.lit("__"), "question_id").alias("qid"), "paper_id", "question", proof.alias("evidence"), F.array_join(answers, " | ").alias("reference_answer"), kind.alias("answer_type"), "nlp_background", "topic_background")
     return out.where(F.size("evidence") > 0)
 
 
+def annotated_questions(papers: DataFrame) -> DataFrame:
+    """Every question of every paper, answered or not: its answer types and form labels (sorted, distinct), how many found it unanswerable, up to five reference answers, all evidence."""
+    empty = F.array().cast("array<string>")
+    rows = papers.select("paper_id", F.explode("qas").alias("q")).select("paper_id", "q.*").withColumn("records", F.filter(F.transform(F.coalesce("answers", F.array().cast(papers.schema["qas"].dataType.elementType["answers"].dataType)), lambda x: x["answer"]), lambda a: a.isNotNull()))
+    given = F.filter("records", lambda a: ~F.coalesce(a["unanswerable"], F.lit(False)))
+    form = F.transform("records", lambda a: F.when(F.coalesce(a["unanswerable"], F.lit(False)), "unanswerable").when(a["yes_no"].isNotNull(), _answer_text(a)).otherwise(answer_type(a)))
+    parts = F.flatten(F.transform(given, lambda a: F.when(answer_type(a) == "extractive", F.coalesce(a["extractive_spans"], empty)).when(answer_type(a) == "unknown", empty).otherwise(F.array(_answer_text(a)))))
+    return rows.select(
+        F.concat("paper_id", F.lit("__"), "question_id").alias("qid"), "paper_id", F.coalesce("question", F.lit("")).alias("question"), F.array_sort(F.array_distinct(F.transform(given, answer_type))).alias("answer_types"), F.array_sort(F.array_distinct(form)).alias("answer_form_labels"),
+        (F.size(given) > 0).alias("has_answer"), (F.size("records") - F.size(given)).alias("unanswerable_count"), F.array_join(F.slice(parts, 1, 5), " | ").alias("reference_answer"), _evidence(given).alias("evidence"), "nlp_background", "topic_background",
+    )
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of the first 500 characters."""
@@ -141,3 +166,17 @@ def insufficient_cases(each: DataFrame, ranked: DataFrame, qrels: DataFrame) ->
     got = ranked.where("rank = 1").select("qid", F.col("chunk_id").alias("top_chunk"), F.split("chunk_id", "__")[0].alias("top_paper"))
     both = missed.join(gold, "qid").join(got, "qid", "left")
     return both.withColumn("where", F.when(F.col("gold_paper") == F.col("top_paper"), "same-paper").otherwise("diff-paper"))
+
+
+def agent_results(results: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """Agent runs (qid, retrieved_ids, latency_ms and what else they have) with the metrics of their lists; questions without gold go, rows without an id are skipped before ranks are given."""
+    ids = F.filter("retrieved_ids", lambda x: x.isNotNull() & (x != ""))
+    ranked = results.select("qid", F.posexplode(ids).alias("p", "chunk_id")).select("qid", "chunk_id", (F.col("p") + 1).alias("rank"))
+    gold = qrels.groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("gold_ids"))
+    return results.withColumn("retrieved_ids", ids).join(gold, "qid").join(per_query(ranked, qrels, k).drop("gold_count"), "qid")
+
+
+def agent_summary(each: DataFrame, name: str = "agent") -> DataFrame:
+    """One row: the means of the metrics and of the latency, zeros where there is no run."""
+    means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in (*METRICS, "latency_ms")]
+    return each.agg(F.count("*").alias("n"), *means).withColumn("name", F.lit(name))

@@ -186,3 +186,8 @@ def library_search(c: Corpus, papers: DataFrame, q: DataFrame, plans: DataFrame,
 def library_stats(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """One row: papers, chunks, tables, and chunks a paper."""
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_if(is_table(F.col("chunk_type"))).alias("n_tables")).crossJoin(papers.agg(F.count("*").alias("n_papers"))).withColumn("chunks_per_paper", F.round(F.col("n_chunks") / F.col("n_papers"), 6))
+
+
+def paper_list(papers: DataFrame) -> DataFrame:
+    """The library's papers with all that is known of each, in their order."""
+    return papers.orderBy("ordinal") if "ordinal" in papers.columns else papers.orderBy("paper_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenq import schema
 from lumenq.functions import rules as R
 from lumenq.functions import text as X
-from lumenq.operators import agent, bm25, evaluate, judge, numeric, rewrite, router, verify
+from lumenq.operators import agent, bm25, evaluate, judge, numeric, prompt, retrieve, rewrite, router, verify
 from lumenq.plans import frames, sql
 from lumenq.plans.registry import query
 from lumenq.sources import markup
@@ -371,7 +371,63 @@ def prototype_labels(spark, d):
 
 @query("agent_trace")
 def agent_trace(spark, d):
-    q = _kinds(spark, d).select("qid", F.col("text").alias("question"), "query_type", "text").withColumn("p", router.profile(F.col("question"), F.col("query_type")))
+    """The offline policy over all lines of the documents."""
+    lines = frames.lines(spark, d).withColumn("chunk_type", F.when(F.col("text").contains("|"), "table").otherwise("paragraph"))
+    q = _kinds(spark, d).select("qid", F.col("text").alias("question"), "query_type")
+    asked = q.select("*", router.profile(F.col("question"), F.col("query_type")).alias("profile"), F.array(F.substring("question", 1, 60)).alias("rewrites"))
+    return agent.run_indexed(lines, asked).drop("rounds")
+
+
+@query("agent_metrics", sql.cte(*_TOP5, _EACH) + f"SELECT 'BM25 list' AS name, count(*) AS n, {_MEANS}, round(avg(CAST(qid AS BIGINT) * 1.5), 6) AS latency_ms FROM each")
+def agent_metrics(spark, d):
+    """Agent runs that retrieved what BM25 ranks first; their latency is made up."""
+    q, docs = frames.items(spark, d), frames.doc_chunks(spark, d)
+    ids = bm25.retrieve(docs, q, 10).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    runs = q.join(ids, "qid").select("qid", F.concat(F.array(F.lit(None).cast("string"), F.lit("")), "ids").alias("retrieved_ids"), (F.col("item_id") * 1.5).alias("latency_ms"))
+    return evaluate.agent_summary(evaluate.agent_results(runs, evaluate.exact_qrels(q, docs)), "BM25 list")
+
+
+_PROMPT = [
+    *_EVIDENCE, "k AS (SELECT CAST(item_id AS VARCHAR) AS qid, text AS question, item_id % 3 AS m FROM benchmark)",
+    "b AS (SELECT t.qid, rank, score, source, CASE WHEN contains(text, '|') THEN '[' || rank || '] (Paper: ' || coalesce(lang, 'current paper') || '; Table: ' || coalesce(source, 'Table') ELSE '[' || rank || '] (Paper: ' || coalesce(lang, 'current paper') || '; Section: ' || coalesce(source, '') END || ')' || chr(10) || coalesce(text, '') AS block, lang FROM t JOIN chunks USING (chunk_id))",
+    "e AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS sources, count(DISTINCT lang) AS papers, bool_and(score < 0) AS neg, max(CASE WHEN rank = 1 THEN score END) AS top FROM b GROUP BY qid)",
+    f"q AS (SELECT qid, sources, 'top score ' || format('{{:.2f}}', top) || chr(10) || 'all scores negative: ' || neg || chr(10) || 'low confidence: false' || CASE WHEN papers > 0 THEN chr(10) || 'papers: ' || papers ELSE '' END || CASE WHEN neg THEN chr(10) || '{prompt.WEAK}' ELSE '' END || CASE WHEN papers > 1 THEN chr(10) || '{prompt.SEVERAL.replace(chr(39), chr(39) * 2)}' ELSE '' END AS quality FROM e)",
+]
+_HEADS = "chr(10) || chr(10) || "
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_STYLES = ["numeric_with_units", "structured_comparison", "concise_cited"]
+_PROMPT_SQL = (
+    "'Question: ' || question || " + _HEADS + "'Policy:' || chr(10) || CASE m WHEN 0 THEN " + _quoted(prompt.POLICIES[_STYLES[0]]) + " WHEN 1 THEN " + _quoted(prompt.POLICIES[_STYLES[1]]) + " ELSE " + _quoted(prompt.POLICIES[_STYLES[2]]) + " END || " + _HEADS
+    + "'Checks:' || chr(10) || '- must find numeric value' || chr(10) || CASE WHEN m = 1 THEN '- compare these, where supported: left, right' || chr(10) ELSE '' END || '- evidence need: single_chunk' || chr(10) || '- preferred sources: table, paragraph' || " + _HEADS
+    + "'Numbers:' || chr(10) || 'None.' || " + _HEADS + "'Evidence:' || chr(10) || coalesce(quality, " + _quoted(prompt.NO_SOURCES) + ") || " + _HEADS + "'Sources:' || chr(10) || coalesce(sources, '') || " + _HEADS
+    + "'Requirements:' || chr(10) || " + _quoted("\n".join(f"- {x}" for x in prompt.REQUIREMENTS)) + " || " + _HEADS + "'Answer:'"
+)
+
+
+@query("answer_prompt", sql.cte(*_PROMPT) + f"SELECT k.qid, {_quoted(prompt.SYSTEM)} AS system, {_PROMPT_SQL} AS prompt FROM k LEFT JOIN q USING (qid)")
+def answer_prompt(spark, d):
+    """Prompts over the three best documents, whose language stands in for the paper."""
+    docs = frames.doc_chunks(spark, d)
+    ranked = bm25.retrieve(docs, frames.items(spark, d), 3).join(docs.select("chunk_id", "section", "chunk_type", "text", "caption", F.col("lang").alias("paper_id")), "chunk_id")
+    m, none = F.col("item_id") % 3, F.array().cast("array<string>")
+    style = F.when(m == 0, _STYLES[0]).when(m == 1, _STYLES[1]).otherwise(_STYLES[2])
+    plan = F.struct(style.alias("answer_style"), F.array(F.lit("must_find_numeric_value")).alias("confidence_checks"), F.when(m == 1, F.array(F.lit("left"), F.lit("right"))).otherwise(none).alias("comparison_entities"), F.lit("single_chunk").alias("evidence_need"), F.array(F.lit("table"), F.lit("paragraph")).alias("source_preference"))
+    return prompt.prompts(frames.items(spark, d).select("qid", F.col("text").alias("question"), plan.alias("plan")), ranked)
+
+
+@query("library_stats", "SELECT count(*) AS n_chunks, count(*) FILTER (contains(text, '|')) AS n_tables, (SELECT count(DISTINCT source) FROM documents) AS n_papers, round(count(*)::DOUBLE / (SELECT count(DISTINCT source) FROM documents), 6) AS chunks_per_paper FROM documents")
+def library_stats(spark, d):
+    docs = frames.doc_chunks(spark, d)
+    return retrieve.library_stats(docs, docs.select("source").distinct())
+
+
+@query("retrieval_quality", sql.cte(*_EVIDENCE) + "SELECT t.qid, round(max(CASE WHEN rank = 1 THEN score END), 6) AS top_score, bool_and(score < 0) AS all_negative, count(DISTINCT source) AS n_papers FROM t JOIN chunks USING (chunk_id) GROUP BY t.qid")
+def retrieval_quality(spark, d):
     docs = frames.doc_chunks(spark, d)
-    cand = bm25.retrieve(docs, q, 50).join(docs.select("chunk_id", "section", "chunk_type", "text"), "chunk_id")
-    return agent.run_batch(cand, q.select("qid", "question", "query_type", F.col("p.suggested_start").alias("suggested_start"))).drop("rounds")
+    ranked = bm25.retrieve(docs, frames.items(spark, d), 3).join(docs.select("chunk_id", "source"), "chunk_id")
+    return verify.quality(ranked, "source").withColumn("top_score", F.round("top_score", 6))

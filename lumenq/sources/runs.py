@@ -28,9 +28,9 @@ def write_manifest(run: Path, settings: dict, counts: dict) -> Path:
     return run / "manifest.json"
 
 
-def write_trace(rows: DataFrame, path: str) -> None:
-    """One JSON object for each question, in a fresh folder."""
-    rows.write.mode("overwrite").json(path)
+def write_trace(rows: DataFrame, path: str, append: bool = False) -> None:
+    """One JSON object for each question, in a fresh folder or behind what is there."""
+    rows.write.mode("append" if append else "overwrite").json(path)
 
 
 def short(text: str, limit: int = 360) -> str:
