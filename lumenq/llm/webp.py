@@ -7,7 +7,10 @@ subtract-green and palette transforms, in the reverse of their order.
 ``encode`` writes streams that use any of these, to make images for tests and
 from tables. Pixels are 0xAARRGGBB, row by row.
 
-Edges of ``decode_column``: a null image, one that is damaged, cut short or not
+Pixels are held in arrays of four bytes each; an image of more than ``MAX_PIXELS``
+(a header can claim 2^28) is an error before anything is allocated for it.
+
+Edges of ``decode_column``: a null image, one that is damaged, cut short, too large or not
 lossless WebP has null width, height and pixels, and its error in ``error``;
 rows that repeat are decoded alike; other columns are carried, save those named
 like an output column.
@@ -16,6 +19,7 @@ like an output column.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,10 @@ from pyspark.sql import types as T
 from lumenq.llm.shared import table
 
 MADE = ["width", "height", "pixels", "error"]
+#: Pixels of one image; of a batch that is handed on at once.
+MAX_PIXELS, BATCH_PIXELS = 1 << 25, 1 << 22
+#: Pixels from which a stretch of one predictor is worth an array operation.
+STRETCH = 48
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
 
@@ -64,48 +72,46 @@ class _Bits:
 
 
 class _Code:
-    """A prefix code's look-up table: bits of the longest code -> (length, symbol)."""
+    """A prefix code's look-up table: bits of the longest code -> length | symbol << 4."""
 
     def __init__(self, lengths: list[int]):
-        used = [(x, s) for s, x in enumerate(lengths) if x]
-        if not used:
-            self.width, self.table = 0, [(0, 0)]
-        elif len(used) == 1:
-            self.width, self.table = 0, [(0, used[0][1])]
-        else:
-            self.width = w = max(used)[0]
-            self.table = [None] * (1 << w)
-            code, last = 0, 0
-            for x, s in sorted(used):
-                code <<= x - last
-                last = x
-                if code >> x:
-                    raise ValueError("a prefix code is over-full")
-                back = int(f"{code:0{x}b}"[::-1], 2)
-                self.table[back :: 1 << x] = [(x, s)] * (1 << (w - x))
-                code += 1
-            if None in self.table:
-                raise ValueError("a prefix code is incomplete")
+        used = sorted((x, s) for s, x in enumerate(lengths) if x)
+        if len(used) < 2:
+            self.width, self.table = 0, [used[0][1] << 4 if used else 0]
+            return
+        self.width = w = used[-1][0]
+        size = 1 << w
+        self.table = table = [0] * size
+        code, last, room = 0, used[0][0], size
+        for x, s in used:
+            code <<= x - last
+            last = x
+            room -= size >> x
+            if room < 0:
+                raise ValueError("a prefix code is over-full")
+            back = int(f"{code:0{x}b}"[::-1], 2)
+            table[back :: 1 << x] = [x | s << 4] * (size >> x)
+            code += 1
+        if room:
+            raise ValueError("a prefix code is incomplete")
 
     @staticmethod
     def single(symbols: list[int]) -> _Code:
         c = _Code([])
         if len(symbols) == 1:
-            c.table = [(0, symbols[0])]
+            c.table = [symbols[0] << 4]
         else:
-            c.width, c.table = 1, [(1, symbols[0]), (1, symbols[1])]
+            c.width, c.table = 1, [1 | symbols[0] << 4, 1 | symbols[1] << 4]
         return c
 
     def read(self, b: _Bits) -> int:
         w = self.width
-        if not w:
-            return self.table[0][1]
         if b.n < w:
             b.fill()
-        x, s = self.table[b.hold & ((1 << w) - 1)]
-        b.hold >>= x
-        b.n -= x
-        return s
+        e = self.table[b.hold & ((1 << w) - 1)]
+        b.hold >>= e & 15
+        b.n -= e & 15
+        return e >> 4
 
 
 def _read_code(b: _Bits, size: int) -> _Code:
@@ -150,52 +156,93 @@ def _read_image(b: _Bits, w: int, h: int, main: bool = False) -> np.ndarray:
     cache_bits = b.read(4) if b.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
-    tile, groups_of, n_groups = 0, None, 1
+    tile, groups_of, n_groups, tw = 14, None, 1, 1
     if main and b.read(1):
         tile = b.read(3) + 2
-        tw = -(-w >> tile) if False else (w + (1 << tile) - 1) >> tile
-        th = (h + (1 << tile) - 1) >> tile
+        tw, th = (w + (1 << tile) - 1) >> tile, (h + (1 << tile) - 1) >> tile
         groups_of = ((_read_image(b, tw, th) >> np.uint32(8)) & np.uint32(0xFFFF)).tolist()
         n_groups = max(groups_of) + 1
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[_read_code(b, n) for n in sizes] for _ in range(n_groups)]
-    total = w * h
-    out = [0] * total
+    groups = []
+    for _ in range(n_groups):
+        g, r, bl, al, d = (_read_code(b, n) for n in sizes)
+        # where red, blue and alpha are one symbol each, a pixel is its green and this
+        fixed = -1 if r.width or bl.width or al.width else (al.table[0] >> 4) << 24 | (r.table[0] >> 4) << 16 | bl.table[0] >> 4
+        groups.append(((1 << g.width) - 1, g.table, (1 << r.width) - 1, r.table, (1 << bl.width) - 1, bl.table, (1 << al.width) - 1, al.table, d, fixed))
+    total, side = w * h, 1 << tile
+    out = array("I", bytes(4 * total))
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    at, cached = 0, 0
-    green, red, blue, alpha, distance = groups[0]
+    at, cached, end = 0, 0, 0
+    raw, pos, hold, n = b.raw, b.at, b.hold, b.n
+    limit = len(raw) + 16
+    gm = rm = bm = am = 0
+    gt = rt = bt = alt = distance = None
+    fixed = -1
     while at < total:
-        if groups_of is not None:
-            y, x = divmod(at, w)
-            green, red, blue, alpha, distance = groups[groups_of[(y >> tile) * tw + (x >> tile)]]
-        s = green.read(b)
+        if at >= end:  # the next stretch of one group: the rest of the image, or of a row of a tile
+            if groups_of is None:
+                gm, gt, rm, rt, bm, bt, am, alt, distance, fixed = groups[0]
+                end = total
+            else:
+                y, x = divmod(at, w)
+                gm, gt, rm, rt, bm, bt, am, alt, distance, fixed = groups[groups_of[(y >> tile) * tw + (x >> tile)]]
+                end = at + min(side - x % side, w - x)
+            if not gm and fixed >= 0 and gt[0] >> 4 < 256:
+                out[at:end] = array("I", [fixed | gt[0] >> 4 << 8]) * (end - at)
+                at = end
+                continue
+        if n < 64:
+            if pos >= limit:
+                raise ValueError("the image is cut short")
+            hold |= int.from_bytes(raw[pos : pos + 8], "little") << n
+            pos += 8
+            n += 64
+        e = gt[hold & gm]
+        hold >>= e & 15
+        n -= e & 15
+        s = e >> 4
         if s < 256:
-            r = red.read(b)
-            bl = blue.read(b)
-            out[at] = alpha.read(b) << 24 | r << 16 | s << 8 | bl
+            if fixed >= 0:
+                out[at] = fixed | s << 8
+            else:
+                e = rt[hold & rm]
+                k = e & 15
+                f = bt[hold >> k & bm]
+                k += f & 15
+                q = alt[hold >> k & am]
+                k += q & 15
+                hold >>= k
+                n -= k
+                out[at] = (q >> 4) << 24 | (e >> 4) << 16 | s << 8 | f >> 4
             at += 1
         elif s < 280:
-            n = _prefixed(b, s - 256)
+            b.at, b.hold, b.n = pos, hold, n
+            size = _prefixed(b, s - 256)
             d = _prefixed(b, distance.read(b))
+            pos, hold, n = b.at, b.hold, b.n
             if d > 120:
                 d -= 120
             else:
                 dx, dy = _NEAR[d - 1]
                 d = max(1, dx + dy * w)
-            if d > at or at + n > total:
+            if d > at or at + size > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out[at] = out[at - d]
-                at += 1
+            if d >= size:
+                out[at : at + size] = out[at - d : at - d + size]
+            else:
+                out[at : at + size] = (out[at - d : at] * (size // d + 1))[:size]
+            at += size
         else:
             # pixels enter the cache no earlier than it is read
-            while cached < at:
-                p = out[cached]
+            for p in out[cached:at]:
                 cache[((0x1E35A7BD * p) & 0xFFFFFFFF) >> shift] = p
-                cached += 1
+            cached = at
             out[at] = cache[s - 280]
             at += 1
-    return np.array(out, dtype=np.uint32)
+    if 8 * pos - n > 8 * len(raw):
+        raise ValueError("the image is cut short")
+    b.at, b.hold, b.n = pos, hold, n
+    return np.frombuffer(out, np.uint32)
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -255,10 +302,10 @@ def predict(mode: int, left, top, right, corner):
     return [255, 0, 0, 0]
 
 
-def _predicted(values, known, w: int, h: int, modes, tile: int, sign: int):
-    """Walks the image: residuals to pixels (sign 1, ``known`` is the result) or pixels to residuals (sign -1, ``known`` is the input)."""
+def _residuals(known, w: int, h: int, modes, tile: int):
+    """Pixels, as channels, to residuals."""
     tw = (w + (1 << tile) - 1) >> tile
-    out = known if sign > 0 else [None] * (w * h)
+    out = []
     for i in range(w * h):
         y, x = divmod(i, w)
         if not y:
@@ -267,11 +314,105 @@ def _predicted(values, known, w: int, h: int, modes, tile: int, sign: int):
             p = known[i - w]
         else:
             p = predict(modes[(y >> tile) * tw + (x >> tile)], known[i - 1], known[i - w], known[i - w + 1], known[i - w - 1])
-        v = values[i]
-        out[i] = [(v[0] + sign * p[0]) & 255, (v[1] + sign * p[1]) & 255, (v[2] + sign * p[2]) & 255, (v[3] + sign * p[3]) & 255]
+        v = known[i]
+        out.append([(v[0] - p[0]) & 255, (v[1] - p[1]) & 255, (v[2] - p[2]) & 255, (v[3] - p[3]) & 255])
+    return out
+
+
+def _plus(a: int, b: int) -> int:
+    """The sum of two pixels, channel by channel."""
+    return (((a & 0xFF00FF00) + (b & 0xFF00FF00)) & 0xFF00FF00) | (((a & 0x00FF00FF) + (b & 0x00FF00FF)) & 0x00FF00FF)
+
+
+def _mean(a: int, b: int) -> int:
+    return (((a ^ b) & 0xFEFEFEFE) >> 1) + (a & b)
+
+
+def _select(left: int, top: int, corner: int) -> int:
+    by = 0  # what the prediction differs by from left, less what it differs by from top
+    for s in (0, 8, 16, 24):
+        x, t, c = left >> s & 255, top >> s & 255, corner >> s & 255
+        by += abs(t - c) - abs(x - c)
+    return left if by < 0 else top
+
+
+def _added(left: int, top: int, corner: int) -> int:
+    out = 0
+    for s in (0, 8, 16, 24):
+        x = (left >> s & 255) + (top >> s & 255) - (corner >> s & 255)
+        out |= (0 if x < 0 else 255 if x > 255 else x) << s
     return out
 
 
+def _half_added(a: int, b: int) -> int:
+    out = 0
+    for s in (0, 8, 16, 24):
+        p, q = a >> s & 255, b >> s & 255
+        x = p + int((p - q) / 2)
+        out |= (0 if x < 0 else 255 if x > 255 else x) << s
+    return out
+
+
+_BY_PIXEL = {
+    1: lambda x, t, r, c: x, 2: lambda x, t, r, c: t, 3: lambda x, t, r, c: r, 4: lambda x, t, r, c: c, 5: lambda x, t, r, c: _mean(_mean(x, r), t), 6: lambda x, t, r, c: _mean(x, c), 7: lambda x, t, r, c: _mean(x, t),
+    8: lambda x, t, r, c: _mean(c, t), 9: lambda x, t, r, c: _mean(t, r), 10: lambda x, t, r, c: _mean(_mean(x, c), _mean(t, r)), 11: lambda x, t, r, c: _select(x, t, c), 12: lambda x, t, r, c: _added(x, t, c), 13: lambda x, t, r, c: _half_added(_mean(x, t), c),
+}
+_BLACK = 0xFF000000
+
+
+def _stretch(mode: int, res: np.ndarray, above: np.ndarray, x: int, e: int, left: int) -> np.ndarray | None:
+    """Pixels x .. e-1 of a row whose mode needs no left neighbour, or only sums it up; None for the others. ``above`` has one pixel more than the row."""
+    u = res.view(np.uint8).reshape(-1, 4)
+    if mode == 1:
+        return (np.cumsum(u, axis=0, dtype=np.uint64) + np.array([left], np.uint32).view(np.uint8)).astype(np.uint8).view(np.uint32).ravel()
+    if mode in (0, 14, 15):
+        by = np.uint32(_BLACK)
+    elif mode in (2, 3, 4):
+        by = above[x:e] if mode == 2 else above[x + 1 : e + 1] if mode == 3 else above[x - 1 : e - 1]
+    elif mode in (8, 9):
+        a, b = above[x:e], above[x - 1 : e - 1] if mode == 8 else above[x + 1 : e + 1]
+        by = (((a ^ b) & np.uint32(0xFEFEFEFE)) >> np.uint32(1)) + (a & b)
+    else:
+        return None
+    return (u + np.ascontiguousarray(np.broadcast_to(by, res.shape)).view(np.uint8).reshape(-1, 4)).astype(np.uint8).view(np.uint32).ravel()
+
+
+def _unpredicted(res: np.ndarray, w: int, h: int, modes: list[int], tile: int) -> np.ndarray:
+    """Residuals to pixels, row by row: long stretches of a mode that allows it at once, the others pixel by pixel."""
+    tw, side = (w + (1 << tile) - 1) >> tile, 1 << tile
+    out = np.empty((h, w), np.uint32)
+    res = np.ascontiguousarray(res.reshape(h, w))
+    first = res[0].view(np.uint8).reshape(-1, 4).astype(np.uint64)
+    first[0] += np.array([_BLACK], np.uint32).view(np.uint8)
+    out[0] = np.cumsum(first, axis=0).astype(np.uint8).view(np.uint32).ravel()
+    above = np.empty(w + 1, np.uint32)
+    for y in range(1, h):
+        above[:w] = out[y - 1]
+        row = modes[(y >> tile) * tw : (y >> tile) * tw + tw]
+        left = _plus(int(res[y, 0]), int(above[0]))
+        out[y, 0] = left
+        above[w] = left  # right of the last pixel above stands this row's first
+        x = 1
+        while x < w:
+            mode, e = row[x >> tile], min(w, (x | (side - 1)) + 1)
+            while e < w and row[e >> tile] == mode:
+                e = min(w, e + side)
+            made = _stretch(mode, res[y, x:e], above, x, e, left) if e - x >= STRETCH else None
+            if made is not None:
+                out[y, x:e] = made
+                left = int(made[-1])
+            else:
+                by, pixels = _BY_PIXEL.get(mode), []
+                up = above[x - 1 : e + 1].tolist()
+                for i, v in enumerate(res[y, x:e].tolist()):
+                    p = by(left, up[i + 1], up[i + 2], up[i]) if by else _BLACK
+                    left = (((v & 0xFF00FF00) + (p & 0xFF00FF00)) & 0xFF00FF00) | (((v & 0x00FF00FF) + (p & 0x00FF00FF)) & 0x00FF00FF)
+                    pixels.append(left)
+                out[y, x:e] = pixels
+            x = e
+    return out.ravel()
+
+
 def _signed8(x: np.ndarray) -> np.ndarray:
     return ((x & 255) ^ 128) - 128
 
@@ -297,8 +438,8 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(raw: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file, height x width, as 0xAARRGGBB. ValueError if it isn't one."""
+def decode(raw: bytes, max_pixels: int = MAX_PIXELS) -> np.ndarray:
+    """The pixels of a lossless WebP file, height x width, as 0xAARRGGBB. ValueError if it isn't one, or has more than ``max_pixels``."""
     if len(raw) < 25 or raw[:4] != b"RIFF" or raw[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -314,6 +455,8 @@ def decode(raw: bytes) -> np.ndarray:
     if b.read(8) != 0x2F:
         raise ValueError("no lossless signature")
     width, h = b.read(14) + 1, b.read(14) + 1
+    if width * h > max_pixels:
+        raise ValueError(f"the image has {width * h} pixels, more than {max_pixels}")
     b.read(1)
     if b.read(3):
         raise ValueError("unknown version")
@@ -337,8 +480,7 @@ def decode(raw: bytes) -> np.ndarray:
     for kind, tw, bits, sub in reversed(transforms):
         if kind == 0:
             modes = ((sub >> np.uint32(8)) & np.uint32(15)).tolist()
-            c = _predicted(_split(pixels).tolist(), [None] * (tw * h), tw, h, modes, bits, 1)
-            pixels = _merge(np.array(c, dtype=np.int32))
+            pixels = _unpredicted(pixels, tw, h, modes, bits)
         elif kind == 1:
             pixels = _merge(_cross(_split(pixels), tw, h, sub, bits, True))
         elif kind == 2:
@@ -577,7 +719,7 @@ def encode(image: np.ndarray, predictor: int | list[int] | None = None, cross: t
         o.put(sub_tile - 2, 3)
         _write_image(o, [0xFF000000 | m << 8 for m in modes], tw)
         c = _split(pixels).tolist()
-        pixels = _merge(np.array(_predicted(c, c, w, h, modes, sub_tile, -1), dtype=np.int32))
+        pixels = _merge(np.array(_residuals(c, w, h, modes, sub_tile), dtype=np.int32))
     if cross is not None:
         o.put(1 | 1 << 1, 3)
         o.put(sub_tile - 2, 3)
@@ -592,23 +734,35 @@ def encode(image: np.ndarray, predictor: int | list[int] | None = None, cross: t
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
-def decode_column(images: DataFrame, column: str = "image") -> DataFrame:
+def decode_column(images: DataFrame, column: str = "image", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """``images`` with width, height, pixels (row by row) and error in place of the image column."""
     columns = [c for c in images.columns if c not in (*MADE, column)]
 
+    def made(b: pa.RecordBatch, i: int, rows: list) -> pa.RecordBatch:
+        wide, high, pixels, errors = zip(*rows, strict=True)
+        offs = pa.array(np.concatenate([[0], np.cumsum([0 if p is None else p.size for p in pixels])]).astype(np.int32))
+        flat = np.concatenate([p.ravel() for p in pixels if p is not None] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        lists = pa.ListArray.from_arrays(offs, pa.array(flat), mask=pa.array([p is None for p in pixels]))
+        part = b.slice(i, len(rows))
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(wide, pa.int32()), pa.array(high, pa.int32()), lists, pa.array(errors, pa.string())], names=[*columns, *MADE])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for raw in b.column(column).to_pylist():
+            rows, at, size = [], 0, 0
+            for i, raw in enumerate(b.column(column)):
                 try:
-                    if raw is None:
+                    if not raw.is_valid:
                         raise ValueError("no image")
-                    p = decode(raw)
-                    rows.append((p.shape[1], p.shape[0], p.ravel().astype(np.int64), None))
-                except (ValueError, IndexError, TypeError) as e:
-                    rows.append((None, None, None, str(e)))
-            types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=[*columns, *MADE])
+                    p = decode(raw.as_py(), max_pixels)
+                    rows.append((p.shape[1], p.shape[0], p, None))
+                    size += p.size
+                except (ValueError, IndexError, TypeError, MemoryError) as e:
+                    rows.append((None, None, None, str(e) or type(e).__name__))
+                if size > BATCH_PIXELS:
+                    yield made(b, at, rows)
+                    rows, at, size = [], i + 1, 0
+            if rows:
+                yield made(b, at, rows)
 
     types = [T.IntegerType(), T.IntegerType(), T.ArrayType(T.LongType()), T.StringType()]
     schema = T.StructType([images.schema[c] for c in columns] + [T.StructField(n, t) for n, t in zip(MADE, types, strict=True)])

@@ -1,5 +1,6 @@
 """The operators' kernels, without Spark: exact round trips and brute-force versions."""
 
+import base64
 import itertools
 import random
 import re
@@ -324,3 +325,76 @@ def test_flow_of_a_thousand_shards():
         assert sum(x for (i, _), x in flow.items() if i == a) == n
     assert all(sum(x for (_, j), x in flow.items() if j == b) <= room[b] for b in room)
     assert sum(x for (a, b), x in flow.items() if a != b) == sum(max(0, n - room[a]) for a, n in old.items())
+
+
+def webp_of(*fields):
+    """A file around a lossless stream that is written out field by field, (value, bits), from the format's specification."""
+    hold = n = 0
+    for value, bits in fields:
+        hold |= value << n
+        n += bits
+    body = hold.to_bytes((n + 7) // 8, "little")
+    body += b"\0" * (len(body) & 1)
+    return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def one(symbol):
+    """A simple code of one 8-bit symbol, which takes no bits to read."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def two(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def head(w, h):
+    return [(0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3)]
+
+
+FLAT = [(0, 1), (0, 1)]  # no colour cache, no groups
+
+
+def plain(green, red, blue, alpha, distance=0):
+    return [*one(green), *one(red), *one(blue), *one(alpha), *one(distance)]
+
+
+def test_streams_of_no_encoder():
+    """Streams written out by hand, and one of another encoder, with the pixels that the specification gives."""
+    none = [(0, 1)]
+    assert (webp.decode(webp_of(*head(2, 1), *none, *FLAT, *plain(0x12, 0x34, 0x56, 0xFF))) == 0xFF341256).all()
+    # subtract green
+    assert webp.decode(webp_of(*head(1, 1), (1, 1), (2, 2), *none, *FLAT, *plain(0x10, 0x01, 0xF2, 0xFF))).tolist() == [[0xFF111002]]
+    # a palette of two colours as differences, eight indices in a pixel: 1, 0, 1
+    table = [(0, 1), *two(0, 20), *two(0, 10), *two(0, 30), *two(255, 0), *one(0), (0, 1), (0, 1), (0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (1, 1)]
+    assert webp.decode(webp_of(*head(3, 1), (1, 1), (3, 2), (1, 8), *table, *none, *FLAT, *plain(5, 0, 0, 255))).tolist() == [[0xFF0A141E, 0xFF000000, 0xFF0A141E]]
+    # predictor: black, left, top, then mode 5 of left, top right (this row's first) and top
+    modes = [(0, 3), (0, 1), *plain(5, 0, 0, 255)]
+    assert webp.decode(webp_of(*head(2, 2), (1, 1), (0, 2), *modes, *none, *FLAT, *plain(2, 1, 3, 0))).tolist() == [[0xFF010203, 0xFF020406], [0xFF020406, 0xFF030609]]
+    # cross-colour: green to red 32/32, green to blue -32/32, red to blue 32/32: red 5 + 4, blue 7 - 4 + 9
+    element = [(0, 3), (0, 1), *plain(0xE0, 0x20, 0x20, 255)]
+    assert webp.decode(webp_of(*head(1, 1), (1, 1), (1, 2), *element, *none, *FLAT, *plain(4, 5, 7, 255))).tolist() == [[0xFF09040C]]
+    # a normal code of two symbols (literal 17 and length 3), then a copy from one pixel back
+    lengths = [(0, 1), (0, 4), (0, 3), (1, 3), (0, 3), (1, 3), (0, 1), (1, 1), (6, 7), (0, 1), (1, 1), (127, 7), (1, 1), (91, 7), (0, 1), (1, 1), (10, 7)]
+    assert webp.decode(webp_of(*head(4, 1), *none, *FLAT, *lengths, *one(1), *one(2), *one(255), *one(1), (0, 1), (1, 1))).tolist() == [[0xFF011102] * 4]
+    # Google's 1 x 1 picture for feature tests
+    got = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert got.shape == (1, 1)
+
+
+def test_large_and_hostile_images():
+    bomb = webp_of(*head(16384, 16384), (0, 1), *FLAT, *plain(1, 2, 3, 4))
+    with pytest.raises(ValueError, match="pixels"):
+        webp.decode(bomb)
+    flat = webp.decode(webp_of(*head(2048, 2048), (0, 1), *FLAT, *plain(1, 2, 3, 4)))
+    assert flat.shape == (2048, 2048) and (flat == 0x04020103).all()
+    r = np.random.default_rng(4)
+    im = r.integers(0, 1 << 32, (70, 200), dtype=np.uint64).astype(np.uint32)
+    for mode in range(14):
+        raw = webp.encode(im, predictor=mode, sub_tile=6)
+        assert (webp.decode(raw) == im).all()
+        for cut in (len(raw) // 3, len(raw) - 40):
+            with pytest.raises(ValueError):
+                webp.decode(raw[:cut])
+            short = raw[:16] + (cut - 20).to_bytes(4, "little") + raw[20:cut]
+            with pytest.raises(ValueError):
+                webp.decode(short)
