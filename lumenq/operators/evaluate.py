@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +81,48 @@ def fuzzy_qrels(evidence: DataFrame, chunks: DataFrame, key: str = "paper_id", l
     return best.where(F.col("s") >= least).select("qid", "chunk_id").distinct()
 
 
+#: Questions, and characters of them, that are sought in one automaton; more are matched by keys.
+MAX_PATTERNS, MAX_PATTERN_CHARS = 200_000, 1 << 25
+
+
 def exact_qrels(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of the documents that hold a question's text verbatim; an empty text is in every one.
+
+    The questions are collected up to a size and sought together in one pass over each batch of documents, without a shuffle of these.
+    """
+    asked = queries.where(F.col("text").isNotNull()).select(F.col("qid").cast("string").alias("qid"), "text").limit(MAX_PATTERNS + 1).collect()
+    if len(asked) > MAX_PATTERNS or sum(len(r.text) for r in asked) > MAX_PATTERN_CHARS:
+        return _qrels_by_keys(queries, docs)
+    by_text: dict[str, list[str]] = {}
+    for r in asked:
+        by_text.setdefault(r.text, []).append(r.qid)
+    shared = docs.sparkSession.sparkContext.broadcast(by_text)
+    schema = T.StructType([T.StructField("qid", T.StringType()), docs.schema["chunk_id"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        everywhere, sought = shared.value.get("", []), ahocorasick.Automaton()
+        for text, qids in shared.value.items():
+            if text:
+                sought.add_word(text, qids)
+        if len(sought):
+            sought.make_automaton()
+        for b in batches:
+            qids, at = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                if text is None:
+                    continue
+                hits = {id(v): v for _, v in sought.iter(text)} if len(sought) else {}
+                own = [*everywhere, *(q for v in hits.values() for q in v)]
+                qids += own
+                at += [i] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.string()), b.column("chunk_id").take(pa.array(at, pa.int64()))], names=["qid", "chunk_id"])
+
+    return docs.select("chunk_id", "text").mapInArrow(run, schema).distinct()
+
+
+def _qrels_by_keys(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, chunk_id) of the documents that hold a question's text verbatim.
 
     Texts are matched by their first six tokens before the strings are compared, so the join is by key and not by every pair.

@@ -405,6 +405,19 @@ def test_answers_are_read_as_annotated(spark):
     assert full["p__2"].answer_form_labels == ["unanswerable", "yes"] and full["p__2"].unanswerable_count == 1 and not full["p__4"].has_answer and full["p__5"].answer_types == []
 
 
+def test_exact_gold_equals_a_search_of_every_pair(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(r.choices("a bb ccc dd é".split(), k=r.randint(0, 30))) for _ in range(60)] + [None, ""]
+    asked = [t[3:25] for t in texts[:20] if t] + ["", "a", None, texts[0], texts[0], "not there"]
+    docs = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    q = spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "qid string, text string")
+    want = {(str(i), f"c{k}") for i, a in enumerate(asked) for k, t in enumerate(texts) if a is not None and t is not None and a in t}
+    for most in (200, 0):
+        monkeypatch.setattr(evaluate, "MAX_PATTERNS", most)
+        got = evaluate.exact_qrels(q, docs).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_bm25_by_joins_equals_by_products(spark, corpus, monkeypatch):
     docs, chunks = corpus
     odd = chunks.unionByName(spark.createDataFrame([("n", 50, None, "a"), ("e", 51, "", "b")], chunks.schema))
