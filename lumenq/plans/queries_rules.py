@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenq import schema
 from lumenq.functions import rules as R
 from lumenq.functions import text as X
-from lumenq.operators import agent, bm25, evaluate, judge, numeric, prompt, retrieve, rewrite, router, verify
+from lumenq.operators import agent, bm25, evaluate, judge, numeric, postprocess, prompt, retrieve, rewrite, router, verify
 from lumenq.plans import frames, sql
 from lumenq.plans.registry import query
 from lumenq.sources import markup
@@ -82,7 +82,39 @@ def query_variants(spark, d):
     return out.select("qid", (F.col("variant") + 1).cast("long").alias("variant"), "text")
 
 
-@query("decomposed_queries")
+def _side(pattern: str, group: int) -> str:
+    return f"regexp_replace(regexp_replace(regexp_extract(question, '{pattern}', {group}), '\\s+', ' ', 'g'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+
+
+_SIDES = "CASE " + " ".join(f"WHEN {_m(p)} THEN [{_side(p, 1)}, {_side(p, 2)}]" for p in router.ENTITY_PATTERNS) + " ELSE [] END"
+_ENTITIES = f"ent AS (SELECT *, list_filter({_SIDES}, lambda e: length(e) > 1 AND length(e) <= 80) AS sides FROM p)"
+
+
+@query("comparison_entities", sql.cte(_SYNTH, _ASKED, _RULES, _PLAN, _ENTITIES) + "SELECT qid, array_to_string(sides, ' | ') AS entities FROM ent")
+def comparison_entities(spark, d):
+    return router.route_table(frames.asked(spark, d)).select("qid", F.array_join("plan.comparison_entities", " | ").alias("entities"))
+
+
+@query("effective_k", sql.cte(_SYNTH, _ASKED, _RULES) + "SELECT qid, CASE WHEN yes_no THEN 8 WHEN kind = 'why_how' THEN 7 ELSE 5 END AS k5, CASE WHEN yes_no THEN 8 WHEN kind = 'why_how' THEN 7 ELSE 6 END AS k6 FROM r")
+def effective_k(spark, d):
+    p = F.col("plan")
+    return router.route_table(frames.asked(spark, d)).select("qid", *[postprocess.effective_k(p["query_type"], p["is_yes_no"], k).alias(f"k{k}") for k in (5, 6)])
+
+
+_NORM = "lambda x, i: list_position(list_transform(parts, lambda y: lower(trim(regexp_replace(y, '\\s+', ' ', 'g')))), lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))) = i AND trim(x) <> ''"
+_COMPARED = "[question || ' ' || array_to_string(sides, ' ') || '" + rewrite.TAILS["comparison"][0][1][len("{entities}") :] + "', question || ' " + rewrite.TAILS["comparison"][1][1] + "']"
+
+
+@query(
+    "decomposed_queries",
+    sql.cte(
+        _SYNTH, _ASKED, _RULES, _PLAN, _ENTITIES,
+        "cut AS (SELECT *, list_filter(list_transform(regexp_split_to_array(question, '(?i)\\b(?: (?:and|compared to|compared with|difference between|or|versus|vs\\.?) )\\b'), lambda x: trim(regexp_replace(x, '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g'))), lambda x: length(x) BETWEEN 3 AND 120) AS pieces FROM ent)",
+        f"more AS (SELECT qid, list_concat(list_concat(sides[1:4], pieces), CASE WHEN kind = 'numerical' THEN [question || ' exact number', question || ' table'] WHEN kind = 'comparison' THEN {_COMPARED} WHEN kind = 'why_how' OR (kind = 'methodology' AND ({_WIDE})) THEN {_tail('why_how')}[2:4] WHEN kind = 'methodology' THEN {_tail('methodology')}[2:4] ELSE [] END) AS parts FROM cut)",
+        f"seen AS (SELECT qid, list_filter(parts, {_NORM})[1:6] AS ps FROM more)",
+    )
+    + "SELECT qid, CAST(i - 1 AS INTEGER) AS part, ps[i] AS text FROM seen, unnest(range(1, len(ps) + 1)) AS u(i)",
+)
 def decomposed_queries(spark, d):
     rows = router.route_table(frames.asked(spark, d))
     return rows.select("qid", F.posexplode(rewrite.decomposed(F.col("question"), F.col("plan"))).alias("part", "text"))
@@ -352,7 +384,21 @@ def parse_pages(spark, d):
     return markup.parse_html(frames.table(spark, d, "pages")).select("page_id", "chunk_id", "section", F.length("text").alias("n_chars"))
 
 
-@query("planner_coercion")
+_COERCED = """c AS (SELECT *, kind AS rule, cross_table AS cr, CASE WHEN label IN ('numerical', 'comparison', 'methodology', 'why_how', 'factual') THEN label ELSE kind END AS k FROM ent),
+n AS (SELECT *, CASE WHEN k = 'comparison' AND cr THEN 'two_tables' WHEN k = 'comparison' THEN 'two_sided_evidence' WHEN k = 'numerical' THEN 'table_or_numeric_sentence' ELSE need END AS nd,
+ CASE WHEN k = 'numerical' AND NOT list_contains(checks, 'must_find_numeric_value') THEN list_concat(checks, ['must_find_numeric_value']) ELSE checks END AS c1, string_split(source_preference, ',') AS sp FROM c),
+o AS (SELECT *, CASE WHEN k = 'comparison' AND cr AND NOT list_contains(c1, 'require_two_tables') THEN list_concat(c1, ['require_two_tables']) ELSE c1 END AS c2 FROM n)"""
+_ADDED = f"0.0::DOUBLE + CASE WHEN k IN ('why_how', 'comparison', 'methodology') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN k = 'numerical' AND needs_calculation THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN nd <> 'single_chunk' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN cr THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')) >= 14 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN {_m(R.CONNECTIVE, 'lower(question)')} THEN 0.15::DOUBLE ELSE 0 END"
+
+
+@query(
+    "planner_coercion",
+    sql.cte(_SYNTH, _ASKED, _RULES, _PLAN, _ENTITIES, _COERCED)
+    + f"""SELECT qid, k AS query_type, cr AS cross_table, FALSE AS is_yes_no, nd AS evidence_need, CASE WHEN k = 'numerical' AND NOT list_contains(sp, 'table') THEN list_concat(['table'], sp) ELSE sp END AS source_preference,
+ CASE WHEN k = 'comparison' THEN 'structured_comparison' WHEN k = 'numerical' THEN 'numeric_with_units' ELSE style END AS answer_style,
+ CASE WHEN k = 'comparison' AND NOT list_contains(c2, 'require_two_sided_evidence') THEN list_concat(c2, ['require_two_sided_evidence']) ELSE c2 END AS confidence_checks, sides[1:4] AS comparison_entities, needs_calculation, 'llm_planner' AS classifier,
+ 'large_planner' AS route_level, 0.9::DOUBLE AS route_confidence, least(1.0::DOUBLE, {_ADDED}) AS complexity_score, CASE WHEN need IN ('two_tables', 'two_sided_evidence') THEN 'decompose' WHEN rule <> 'factual' THEN 'fusion' ELSE 'standard' END AS retrieval_strategy, ['a', 'b'] AS rewrite_queries, '' AS hyde_query FROM o""",
+)
 def planner_coercion(spark, d):
     reply = F.concat(F.lit('Plan: {"query_type": "'), F.coalesce("label", F.lit("nonsense")), F.lit('", "rewrite_queries": ["a", "b", "a"], "is_yes_no": false}'))
     rows = router.route_table(frames.asked(spark, d)).withColumn("plan", router.coerced(F.col("question"), reply, F.col("plan")))

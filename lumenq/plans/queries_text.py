@@ -240,6 +240,31 @@ def rerank_pairs(spark, d):
     return _ranked(retrieve.by_pair(_corpus(spark, d), frames.items(spark, d)))
 
 
+_SPACE = r"[\s\x{85}\p{Z}]"
+
+
+@query(
+    "markdown_tables",
+    rf"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x LIKE '|%|%') AS ls FROM documents WHERE contains(text, '|')),
+r AS (SELECT doc_id, source, list_filter(list_transform(ls, lambda x: list_transform(string_split(regexp_replace(x, '^\|+|\|+$', '', 'g'), '|'), lambda c: regexp_replace(c, '^{_SPACE}+|{_SPACE}+$', '', 'g'))), lambda c: len(list_filter(c, lambda v: NOT regexp_matches(v, '^:?-{{3,}}:?$'))) > 0) AS rs FROM l)
+SELECT doc_id, coalesce(array_to_string(rs[1], ' / '), '') AS header, CAST(least(20, greatest(0, len(rs) - 1)) AS INTEGER) AS n_rows, array_to_string(list_concat(CASE WHEN source <> '' THEN [source] ELSE [] END, list_filter(flatten(rs[2:21]), lambda c: c <> '')), ' ') AS all_cells FROM r""",
+)
+def markdown_tables(spark, d):
+    """Pipe tables in documents, with the text that indexes them but for repeated cells."""
+    t = frames.table(spark, d, "documents").where(F.col("text").contains("|"))
+    none = F.lit(None)
+    n = t.select("doc_id", "source", chunking.normalized_table(none.cast("array<string>"), none.cast("array<array<string>>"), F.col("text")).alias("t"))
+    cells = F.filter(F.flatten("t.rows"), lambda c: c != "")
+    return n.select("doc_id", F.array_join("t.columns", " / ").alias("header"), F.size("t.rows").alias("n_rows"), F.array_join(F.concat(F.filter(F.array("source"), lambda x: x != ""), cells), " ").alias("all_cells"))
+
+
+@query("chunk_previews", sql.cte(sql.DOCS) + rf"SELECT source || '__' || chunk_id AS chunk_id, chunk_id AS original_chunk_id, source AS paper_id, substring(regexp_replace(regexp_replace(text, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g'), 1, 280) AS preview FROM chunks")
+def chunk_previews(spark, d):
+    """Documents stamped with their source as paper, and the first characters of each."""
+    rows = frames.doc_chunks(spark, d).withColumns({"original_chunk_id": F.lit(None).cast("string"), "paper_id": F.col("source"), "paper_title": F.lit(None).cast("string")})
+    return chunking.stamp(rows, F.lit("x"), F.lit("T")).select("chunk_id", "original_chunk_id", "paper_id", chunking.preview(F.col("text")).alias("preview"))
+
+
 @query(
     "merge_short_chunks",
     "WITH RECURSIVE " + sql.LINES + f""",
