@@ -58,7 +58,8 @@ def variant_lists(c: Corpus, q: DataFrame, k: int = fusion.CANDIDATES) -> DataFr
     Questions have ``variants``; without it they are routed first. A variant's vector is its question's unless it has one.
     """
     have = q if "variants" in q.columns else q.withColumn("variants", rewrite.of_plan(F.col("text"), router.route(F.col("text"))))
-    each = have.select("qid", "qvec", F.posexplode("variants").alias("variant", "text")).withColumn("vid", F.concat("qid", F.lit("#"), F.col("variant").cast("string")))
+    # routing is costly to compile and the questions are few against the chunks, so it is done once
+    each = have.select("qid", "qvec", F.posexplode("variants").alias("variant", "text")).withColumn("vid", F.concat("qid", F.lit("#"), F.col("variant").cast("string"))).persist()
     lists = by_rrf(c, each.select(F.col("vid").alias("qid"), "text", "qvec"), k, k)
     return lists.withColumnRenamed("qid", "vid").join(each.select("vid", "qid", "variant"), "vid").select("qid", "variant", "chunk_id", "ordinal", "rank")
 

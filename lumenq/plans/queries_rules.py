@@ -9,6 +9,7 @@ from lumenq.functions import rules as R
 from lumenq.functions import text as X
 from lumenq.operators import agent, bm25, evaluate, judge, numeric, postprocess, prompt, retrieve, rewrite, router, verify
 from lumenq.plans import frames, sql
+from lumenq.plans import queries_text as texts
 from lumenq.plans.registry import query
 from lumenq.sources import markup
 from lumenq.streaming import feedback
@@ -477,3 +478,24 @@ def retrieval_quality(spark, d):
     docs = frames.doc_chunks(spark, d)
     ranked = bm25.retrieve(docs, frames.items(spark, d), 3).join(docs.select("chunk_id", "source"), "chunk_id")
     return verify.quality(ranked, "source").withColumn("top_score", F.round("top_score", 6))
+
+
+_VIEWS = [
+    "asked AS (SELECT NULL AS label, qid, text AS question FROM queries)", _RULES, _PLAN, _ENTITIES,
+    f"views AS (SELECT qid, CASE WHEN kind = 'numerical' THEN {_tail('numerical')} WHEN kind = 'comparison' THEN list_concat([question], {_COMPARED}) WHEN kind = 'why_how' OR {_WIDE} THEN {_tail('why_how')} WHEN kind = 'methodology' THEN {_tail('methodology')} ELSE [question] END AS parts FROM ent)",
+    f"kept AS (SELECT qid, list_filter(parts, {_NORM}) AS ps FROM views)", "vs AS (SELECT qid || '#' || CAST(i - 1 AS VARCHAR) AS qid, qid AS q, i - 1 AS v, ps[i] AS text FROM kept, unnest(range(1, len(ps) + 1)) AS u(i))",
+]
+
+
+@query(
+    "all_strategies",
+    sql.cte(
+        *texts._both(100), texts._rrf_sql("rf", 1, 1, 100), "bp AS (SELECT * FROM bl WHERE rank <= 50)", "rp AS (SELECT * FROM rf WHERE rank <= 50)", texts._pairs_sql("ce", "bp"), texts._pairs_sql("rce", "rp"),
+        *_VIEWS, sql.bm25("vb", "chunks", "vs"), sql.completed("vf", "vb", "chunks", "vs", 100), sql.top("vbl", "vf", 100), "vd AS (SELECT vs.qid, ds.chunk_id, ds.ordinal, ds.score FROM vs JOIN ds ON ds.qid = vs.q)", sql.top("vdl", "vd", 100), texts._rrf_sql("vr", 1, 1, 100, "vbl", "vdl"),
+        "m AS (SELECT vs.q AS qid, chunk_id, min(ordinal) AS ordinal, sum((CASE WHEN v = 0 THEN 1.0 ELSE 0.7 END)::DOUBLE / (60 + rank)) AS score, min({'v': v, 'r': rank}) AS first FROM vr JOIN vs ON vs.qid = vr.qid GROUP BY vs.q, chunk_id)",
+        "mp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, ordinal) AS rank FROM m) WHERE rank <= 50)", texts._pairs_sql("fce", "mp"),
+    )
+    + texts._lists_sql(**{"BM25": "bl", "Dense": "dl", "RRF": "rf", "CE": "ce", "RRF+CE": "rce", "Fusion+CE": "fce"}),
+)
+def all_strategies(spark, d):
+    return texts._ranked(retrieve.run_strategies(texts._corpus(spark, d), frames.items_with_vectors(spark, d)), "strategy")

@@ -79,10 +79,10 @@ def _both(k):
     return [sql.DOCS, "queries AS (SELECT CAST(item_id AS VARCHAR) AS qid, b.text FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)", sql.bm25("s", "chunks", "queries"), sql.completed("f", "s", "chunks", "queries", k), sql.top("bl", "f", k), sql.dense("ds"), sql.top("dl", "ds", k)]
 
 
-def _rrf_sql(name, wb, wd, k):
+def _rrf_sql(name, wb, wd, k, first="bl", second="dl"):
     return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, br NULLS LAST, dr NULLS LAST, ordinal) AS rank FROM (
   SELECT qid, chunk_id, min(ordinal) AS ordinal, sum(w / (60 + rank)) AS score, min(CASE WHEN l = 0 THEN rank END) AS br, min(CASE WHEN l = 1 THEN rank END) AS dr
-  FROM (SELECT qid, chunk_id, ordinal, rank, 0 AS l, CAST({wb} AS DOUBLE) AS w FROM bl UNION ALL SELECT qid, chunk_id, ordinal, rank, 1, CAST({wd} AS DOUBLE) FROM dl) GROUP BY qid, chunk_id)) WHERE rank <= {k})"""
+  FROM (SELECT qid, chunk_id, ordinal, rank, 0 AS l, CAST({wb} AS DOUBLE) AS w FROM {first} UNION ALL SELECT qid, chunk_id, ordinal, rank, 1, CAST({wd} AS DOUBLE) FROM {second}) GROUP BY qid, chunk_id)) WHERE rank <= {k})"""
 
 
 def _corpus(spark, d):
@@ -305,11 +305,6 @@ def ann_top5(spark, d):
     return _ranked(dense.retrieve_hashed(frames.vectors(spark, d), frames.items_with_vectors(spark, d), 5))
 
 
-@query("all_strategies")
-def all_strategies(spark, d):
-    return _ranked(retrieve.run_strategies(_corpus(spark, d), frames.items_with_vectors(spark, d)), "strategy")
-
-
 _PAIR = f"CASE WHEN len(list_distinct({sql.toks('q.text')})) + len(list_distinct({sql.toks('c.text')})) > 0 THEN 4.0::DOUBLE * len(list_intersect(list_distinct({sql.toks('q.text')}), list_distinct({sql.toks('c.text')}))) / (len(list_distinct({sql.toks('q.text')})) + len(list_distinct({sql.toks('c.text')}))) - 1 ELSE -1 END"
 
 
