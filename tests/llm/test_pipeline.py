@@ -58,6 +58,17 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert [n for n, _ in P.STAGES] == ["langid", "near_duplicates", "pii", "packing"]
 
 
+def test_stages_leave_clashing_columns_as_they_are(spark, tmp_path):
+    names = [*langid.MADE, "n_pii", "th", "keeper", "root", "g", "n", "bin_id"]
+    spark.createDataFrame(corpus(), DOCS).selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     t, u = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(50))
     rows = [(5, t, "en", "s", 1), (5, t, "en", "s", 1), (6, t + " more", "en", "s", 1), (None, t, "en", "s", 1), (7, None, "en", "s", 1), (8, None, "en", "s", 1)]

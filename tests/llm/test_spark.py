@@ -329,6 +329,15 @@ def test_imatch(spark, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_imatch_of_a_long_text(spark):
+    """Of texts longer than a slice of work, only the terms count: the same ones in another order, many times over, have equal hashes."""
+    common = [f"c{k}" for k in range(40)]
+    long = " ".join(common * 12_000)
+    rows = [(0, long), (1, " ".join(reversed(common)))] + [(k, f"other{k} words{k} " + common[k % 40]) for k in range(2, 60)]
+    got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(long) > textvec.SLICE_BYTES and got[0].sig_all == got[1].sig_all and got[0].n_terms == got[1].n_terms
+
+
 def test_imatch_near_copies(spark, none):
     r = random.Random(5)
     vocabulary = [f"w{k}" for k in range(3000)]
