@@ -14,11 +14,18 @@ from lumenq.llm import jaccard, langid, packing, pii
 from lumenq.llm.shared import among, drop, table, without, written
 
 
+def _apart(docs: DataFrame, made: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns that are named like an operator's under other names, and these: they come back as they were."""
+    names = {c: f"__own_{c}" for c in docs.columns if c in made}
+    return docs.withColumnsRenamed(names), names
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided; ``lang`` is the decision. Rejected ones (ambiguous, or no letters) go."""
-    judged = langid.identify(docs, langid.fit(table(spark, sf_dir, "documents")))
+    moved, names = _apart(docs, langid.MADE)
+    judged = langid.identify(moved, langid.fit(table(spark, sf_dir, "documents")))
     kept = judged.where("accepted")
-    return kept.select(*[F.col("pred_lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col("pred_lang").alias("lang") if c == "lang" else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data under pseudonyms."""
-    return pii.pseudonymize(docs, pii.session_key()).select(*docs.columns)
+    moved, names = _apart(docs, ["n_pii"])
+    return pii.pseudonymize(moved, pii.session_key()).select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
