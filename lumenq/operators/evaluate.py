@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -223,3 +224,32 @@ def agent_summary(each: DataFrame, name: str = "agent") -> DataFrame:
     """One row: the means of the metrics and of the latency, zeros where there is no run."""
     means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in (*METRICS, "latency_ms")]
     return each.agg(F.count("*").alias("n"), *means).withColumn("name", F.lit(name))
+
+
+def timed(ranked: DataFrame, n_queries: int) -> tuple[DataFrame, float]:
+    """The list, kept, and the milliseconds that it took a question: questions are answered together, so it is their mean."""
+    began = time.perf_counter()
+    kept = ranked.persist()
+    kept.count()
+    return kept, 1000 * (time.perf_counter() - began) / max(1, n_queries)
+
+
+def random_lift(each: DataFrame, pools: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the mean NDCG of questions (qid, gold_count, ndcg5), that of a random order of each one's pool (qid, n_chunks), and how many times that it is."""
+    both = each.join(pools.select("qid", "n_chunks"), "qid").withColumn("random", random_ndcg(F.col("n_chunks"), F.col("gold_count"), k))
+    means = both.agg(F.count("*").alias("n"), F.avg("ndcg5").alias("m"), F.avg("random").alias("r"))
+    return means.select("n", F.round("m", 6).alias("ndcg5"), F.round("r", 6).alias("random_ndcg5"), F.when(F.col("r") > 0, F.round(F.col("m") / F.col("r"), 4)).alias("lift"))
+
+
+def tiers(each: DataFrame, *fields: str) -> DataFrame:
+    """For each strategy the means over all its questions, by evidence group and by each of ``fields``, as (strategy, dimension, value, n and the metrics)."""
+    rows = each.withColumn("evidence", evidence_group(F.col("gold_count")))
+    by = ["evidence", *fields]
+    for c in by:
+        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown")))
+    sets = [[F.col("strategy"), F.col(c)] for c in by] + [[F.col("strategy")]]
+    out = rows.groupingSets(sets, F.col("strategy"), *[F.col(c) for c in by]).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS], *[F.grouping(c).alias(f"_g_{c}") for c in by])
+    dimension, value = F.lit("all"), F.lit("all")
+    for c in by:
+        dimension, value = F.when(F.col(f"_g_{c}") == 0, c).otherwise(dimension), F.when(F.col(f"_g_{c}") == 0, F.col(c)).otherwise(value)
+    return out.select("strategy", dimension.alias("dimension"), value.alias("value"), "n", *METRICS)

@@ -291,6 +291,19 @@ def metrics_breakdown(spark, d):
     return evaluate.breakdown(each, "evidence", "third")
 
 
+@query("random_lift", sql.cte(*_TOP5, _EACH, "p AS (SELECT ndcg5, least(gold_count, 5) AS g, gold_count, (SELECT count(*) FROM documents) AS n FROM each)", "q AS (SELECT ndcg5, gold_count::DOUBLE / n * list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) / list_sum(list_transform(range(1, g + 1), lambda i: 1 / log2(i + 1))) AS r FROM p)") + "SELECT count(*) AS n, round(avg(ndcg5), 6) AS ndcg5, round(avg(r), 6) AS random_ndcg5, round(avg(ndcg5) / avg(r), 4) AS lift FROM q")
+def random_lift(spark, d):
+    docs = frames.doc_chunks(spark, d)
+    return evaluate.random_lift(_each(spark, d), frames.items(spark, d).select("qid").crossJoin(docs.agg(F.count("*").alias("n_chunks"))))
+
+
+@query("strategy_tiers", sql.cte(*_TOP5, _EACH, "l AS (SELECT each.*, CASE WHEN gold_count = 1 THEN 'single' ELSE 'multi' END AS evidence, CASE CAST(qid AS BIGINT) % 3 WHEN 0 THEN 'numerical' WHEN 1 THEN 'comparison' ELSE 'factual' END AS query_type FROM each)", f"u AS (SELECT 'all' AS dimension, 'all' AS value, count(*) AS n, {_MEANS} FROM l UNION ALL SELECT 'evidence', evidence, count(*), {_MEANS} FROM l GROUP BY evidence UNION ALL SELECT 'query_type', query_type, count(*), {_MEANS} FROM l GROUP BY query_type)") + "SELECT s.strategy, u.* FROM u, (VALUES ('first'), ('second')) AS s(strategy)")
+def strategy_tiers(spark, d):
+    """One list under two names."""
+    each = _each(spark, d).join(_kinds(spark, d).select("qid", "query_type"), "qid").withColumn("strategy", F.explode(F.array(F.lit("first"), F.lit("second"))))
+    return evaluate.tiers(each, "query_type")
+
+
 @query("gold_rank_median", sql.cte(*_TOP5, _EACH) + "SELECT CASE WHEN gold_count = 1 THEN 'single' ELSE 'multi' END AS evidence, count(*) AS n, round(median(first_gold_rank), 6) AS median_gold_rank, round(avg(first_gold_rank), 6) AS mean_gold_rank FROM each GROUP BY 1")
 def gold_rank_median(spark, d):
     each = _each(spark, d).withColumn("evidence", evaluate.evidence_group(F.col("gold_count")))

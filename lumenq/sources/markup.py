@@ -162,5 +162,35 @@ def parse_pdf(files: DataFrame, to_tei: Callable[[bytes], str]) -> DataFrame:
     return parse(files, "content", "path", read)
 
 
+LIBRARY = f"paper_id string, path string, title string, abstract string, n_chunks int, error string, {CHUNKS}"
+
+
+def parse_library(files: DataFrame, to_tei: Callable[[bytes], str], min_chars: int = 80) -> DataFrame:
+    """PDF files (path, content) as rows of three kinds: a paper's title and abstract, its chunks of ``min_chars`` or more, or why it was rejected.
+
+    A paper's id is its file's name without the ending, and stands before its chunks' ids. Whatever the service raises rejects one file and no more.
+    """
+    names = [f.split()[0] for f in CHUNKS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, raw in zip(b["path"], b["content"], strict=True):
+                own = {"paper_id": path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], "path": path}
+                try:
+                    meta, chunks = tei_document(to_tei(raw))
+                except Exception as e:  # noqa: BLE001 - the service is the caller's
+                    rows.append({**own, "kind": "reject", "error": f"{type(e).__name__}: {e}"})
+                    continue
+                kept = [c for c in chunks if len(c.get("text") or "") >= min_chars]
+                rows.append({**own, "kind": "paper", "title": meta.get("title") or "", "abstract": meta.get("abstract") or "", "n_chunks": len(kept)})
+                rows += [{**own, "kind": "chunk", **c, "chunk_id": f"{own['paper_id']}_{c['chunk_id']}"} for c in kept]
+            out = pd.DataFrame(rows, columns=["paper_id", "path", "title", "abstract", "n_chunks", "error", *names, "kind"])
+            out = out.astype({"ordinal": "Int32", "n_chunks": "Int32"})
+            yield out.astype(object).where(out.notna(), None)
+
+    return files.select("path", "content").mapInPandas(run, f"{LIBRARY}, kind string")
+
+
 def with_paper_ids(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("__"), "chunk_id"))

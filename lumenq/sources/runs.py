@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -20,9 +21,17 @@ def new_run(root: str, now: datetime.datetime | None = None, name: str | None =
     return path
 
 
+def commit_of(folder: str = ".") -> str | None:
+    """The commit that a folder is at, or None outside a repository."""
+    try:
+        return subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
+    except (OSError, subprocess.CalledProcessError):
+        return None
+
+
 def write_manifest(run: Path, settings: dict, counts: dict) -> Path:
-    """The run's manifest, and its copy as the root's latest."""
-    text = json.dumps({"run": run.name, "settings": settings, "counts": counts}, sort_keys=True, indent=1)
+    """The run's manifest, with the commit, and its copy as the root's latest."""
+    text = json.dumps({"run": run.name, "commit": commit_of(), "settings": settings, "counts": counts}, sort_keys=True, indent=1)
     (run / "manifest.json").write_text(text)
     (run.parent / "latest.json").write_text(text)
     return run / "manifest.json"
@@ -67,6 +76,20 @@ def metrics_markdown(summary: DataFrame, breakdown: DataFrame | None = None) ->
     return "\n".join(out) + "\n"
 
 
+def tiers_markdown(tiers: DataFrame) -> str:
+    """A table for each dimension of ``evaluate.tiers``: a row for each value, hits at 5 of each strategy beside each other, then the other means."""
+    rows = tiers.orderBy("dimension", "value", "strategy").collect()
+    names, out = sorted({r.strategy for r in rows}), []
+    for d in dict.fromkeys(r.dimension for r in rows):
+        out += [f"## By {d}", "", "| value | n | " + " | ".join(f"{x} hit5" for x in names) + " | " + " | ".join(f"{x} mrr" for x in names) + " |", "|---" * (2 + 2 * len(names)) + "|"]
+        for v in dict.fromkeys(r.value for r in rows if r.dimension == d):
+            own = {r.strategy: r for r in rows if (r.dimension, r.value) == (d, v)}
+            cells = [percent(own[x][m] if x in own else None) for m in ("hit5", "mrr") for x in names]
+            out.append(f"| {v} | {max(r.n for r in own.values())} | " + " | ".join(cells) + " |")
+        out.append("")
+    return "\n".join(out)
+
+
 def write_report(run: Path, summary: DataFrame, breakdown: DataFrame | None = None) -> Path:
     (run / "results.json").write_text(json.dumps([r.asDict() for r in summary.orderBy("strategy").collect()], indent=1))
     (run / "report.md").write_text(metrics_markdown(summary, breakdown))

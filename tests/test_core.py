@@ -495,6 +495,38 @@ def test_tei_and_html(spark):
     assert [(c["section"], c["text"]) for c in markup.html_document(html)] == [("Head", "one"), ("Head", "two & three"), ("Head", "four")]
 
 
+def test_library_of_files(spark, tmp_path):
+    """One bad file is one reject; short chunks go; a second build of the same vectors reads the first."""
+    tei = TEI.format(long="word " * 60)
+    files = spark.createDataFrame([("/in/a.pdf", bytearray(tei.encode())), ("/in/b.c.pdf", bytearray(b"boom")), ("/in/d.pdf", bytearray(b"<broken"))], "path string, content binary")
+
+    def service(raw):
+        if raw == b"boom":
+            raise TimeoutError("too slow")
+        return raw.decode()
+
+    log = papers.build_library(files, service, str(tmp_path / "lib"), min_chars=100)
+    chunks, listed_ = papers.read_library(spark, str(tmp_path / "lib"))
+    assert (log["n_papers"], log["n_failed"]) == (1, 2) and log["n_chunks"] == chunks.count() > 0 and all(r.chunk_id.startswith("a_") and len(r.text) >= 100 and r.paper_title for r in chunks.collect())
+    assert listed_.first().n_chunks == log["n_chunks"]
+    rejects = {r.path: r.error for r in spark.read.parquet(str(tmp_path / "lib" / "_rejects")).collect()}
+    assert set(rejects) == {"/in/b.c.pdf", "/in/d.pdf"} and rejects["/in/b.c.pdf"] == "TimeoutError: too slow"
+    got = [papers.vectors_for(c, str(tmp_path / "vec"), dense.encode) for c in (chunks, chunks, chunks.withColumn("text", F.concat("text", F.lit("x"))))]
+    assert [there for _, there in got] == [False, True, False] and got[0][0].count() == chunks.count()
+
+
+def test_timing_and_tiers(spark):
+    rows = [("x", "a", 1, "k1"), ("x", "b", 2, None), ("y", "a", 1, "k1")]
+    each = spark.createDataFrame([(s, q, g, k, *[float(i) for i in range(7)]) for s, q, g, k in rows], "strategy string, qid string, gold_count long, query_type string, " + ", ".join(f"{m} double" for m in evaluate.METRICS))
+    kept, ms = evaluate.timed(each, 3)
+    assert kept.count() == 3 and ms > 0
+    got = {(r.strategy, r.dimension, r.value): r.n for r in evaluate.tiers(each, "query_type").collect()}
+    assert got == {("x", "all", "all"): 2, ("y", "all", "all"): 1, ("x", "evidence", "single"): 1, ("x", "evidence", "multi"): 1, ("y", "evidence", "single"): 1, ("x", "query_type", "k1"): 1, ("x", "query_type", "unknown"): 1, ("y", "query_type", "k1"): 1}
+    md = runs.tiers_markdown(evaluate.tiers(each, "query_type"))
+    assert "## By evidence" in md and "| multi | 1 | 200.0% | - |" in md
+    assert retrieve.paper_list(spark.createDataFrame([("b", 2), ("a", 1)], "paper_id string, ordinal long")).first().paper_id == "a"
+
+
 def test_run_folders(spark, tmp_path):
     run = runs.new_run(str(tmp_path), name="r1")
     with pytest.raises(FileExistsError):
