@@ -44,7 +44,7 @@ HELD_OUT, HELD_OUT_FLAGGED = 5, 0.003
 #: Letters at which the next class of lengths begins.
 LENGTHS = (15, 60, 240)
 #: Bytes of a window, and the least share of letters in windows of another language that makes a text mixed.
-WINDOW, LEAST_FOREIGN = 600, 0.05
+WINDOW, LEAST_FOREIGN = 600, 0.1
 MADE = ["pred_lang", "margin", "ambiguous", "accepted"]
 
 
