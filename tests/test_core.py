@@ -552,6 +552,62 @@ def test_strategies(spark, corpus):
     assert all(docs[int(r.chunk_id[1:])] == max(docs, key=len) or len(docs[int(r.chunk_id[1:])]) == max(map(len, docs)) for r in got)
 
 
+def f1(a, b):
+    x, y = (set(re.findall("[a-z0-9]+", t.lower())) for t in (a, b))
+    return 4.0 * len(x & y) / (len(x) + len(y)) - 1 if x or y else -1.0
+
+
+def test_searches_equal_brute_force(spark):
+    """Search in a paper, with several wordings, and in a library in two stages, against the same steps over lists."""
+    r = random.Random(21)
+    vocabulary = "alpha beta gamma delta epsilon zeta eta theta common word".split()
+    docs = [(f"p{i % 6}__c{i}", i, f"p{i % 6}", f"s{i}", " ".join(r.choices(vocabulary, k=r.randint(3, 14)))) for i in range(48)]
+    chunks = spark.createDataFrame([(c, o, p, s, "paragraph", None, t) for c, o, p, s, t in docs], "chunk_id string, ordinal long, paper_id string, section string, chunk_type string, caption string, text string")
+    texts = [d[4] for d in docs]
+    asked = {"x": ["alpha gamma theta", "delta word"], "y": ["zeta zeta common", "beta"]}
+    q = dense.encode(spark.createDataFrame([(k, v[0], v) for k, v in asked.items()], "qid string, text string, variants array<string>"), "text").withColumnRenamed("vec", "qvec")
+    plans = spark.createDataFrame([(k, "factual", False, False) for k in asked], "qid string, query_type string, cross_table boolean, is_yes_no boolean")
+    c = retrieve.Corpus(chunks, dense.encode(chunks, "text").select("chunk_id", "ordinal", "vec"))
+
+    def order(scores):
+        return sorted(range(len(docs)), key=lambda i: (-round(scores[i], 9), i))
+
+    def reranked(question, pool, k):
+        return [docs[i][0] for i in sorted(pool, key=lambda i: (-round(f1(question, texts[i]), 9), pool.index(i)))[:k]]
+
+    def got(df):
+        rows = sorted(df.collect(), key=lambda x: x.rank)
+        return {k: [x.chunk_id for x in rows if x.qid == k] for k in asked}
+
+    pools = {k: order(okapi(texts, v[0])) for k, v in asked.items()}
+    assert got(retrieve.paper_search(c, q, plans, 5, pool=10)) == {k: reranked(v[0], pools[k][:10], 5) for k, v in asked.items()}
+    united = {k: list(dict.fromkeys(i for t in v for i in order(okapi(texts, t))[:40])) for k, v in asked.items()}
+    assert got(retrieve.multi_query_search(c, q, plans, 5)) == {k: reranked(v[0], united[k], 5) for k, v in asked.items()}
+    papers_ = spark.createDataFrame([(f"p{i}", i, "alpha title" if i == 2 else "a title", " ".join(texts[i::6])[:40]) for i in range(6)], "paper_id string, ordinal long, title string, abstract string")
+    chosen = {}
+    for x in retrieve.paper_scores(bm25.scores(chunks, q, keep=("paper_id",)), papers_, q, 2).collect():
+        chosen.setdefault(x.qid, set()).add(x.paper_id)
+    two = got(retrieve.library_search(c, papers_, q, plans, 3, threshold=1))
+    for k, v in asked.items():
+        inside = [i for i in pools[k] if docs[i][2] in chosen[k]]
+        assert reranked(v[0], inside, 1)[0] in two[k] and len(two[k]) == 3
+
+
+def test_prototype_scores_equal_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    protos = [(lab, r.normal(size=6)) for lab in "aabbbc"]
+    asked = [(str(i), r.normal(size=6)) for i in range(20)]
+    p = spark.createDataFrame([(lab, v.tolist()) for lab, v in protos], "label string, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in asked], "qid string, qvec array<double>")
+    got = {x.qid: x for x in dense.class_scores(q, p).collect()}
+    for i, v in asked:
+        sims = {lab: [float(v @ w) for x, w in protos if x == lab] for lab in "abc"}
+        score = sorted(((0.75 * max(s) + 0.25 * sum(s) / len(s), lab) for lab, s in sims.items()), reverse=True)
+        assert got[i].label == score[0][1] and abs(got[i].score - score[0][0]) < 1e-4 and abs(got[i].margin - (score[0][0] - score[1][0])) < 2e-4
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"2024-01-01 0{h}:{m:02d}:00", "s", "q", m % 2 == 0, None if m % 7 == 0 else "wrong") for h in range(4) for m in range(0, 60, 7)]
     df = spark.createDataFrame(rows, "ts string, session_id string, question string, helpful boolean, failure_type string").withColumn("ts", F.to_timestamp("ts"))
