@@ -26,9 +26,10 @@ def index_text(chunks: DataFrame) -> Column:
 
 def tokenized(chunks: DataFrame, text: Column | None = None, distinct: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """chunk_id, ordinal, toks, dl and what is kept; ``distinct`` makes every term's frequency 1."""
-    toks = tokens(index_text(chunks) if text is None else text)
+    toks = tokens(F.col("__text"))
     toks = F.array_distinct(toks) if distinct else toks
-    return chunks.select("chunk_id", "ordinal", *keep, toks.alias("toks")).withColumn("dl", F.size("toks"))
+    lean = matrix.spread(chunks.select("chunk_id", "ordinal", *keep, (index_text(chunks) if text is None else text).alias("__text")))
+    return lean.select("chunk_id", "ordinal", *keep, toks.alias("toks")).withColumn("dl", F.size("toks"))
 
 
 def term_stats(toks: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:

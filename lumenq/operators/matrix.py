@@ -20,6 +20,17 @@ SLICE, BLOCK = 256, 4_000_000
 MAX_K = 1000
 
 
+#: Bytes of a corpus, as planned, up to which it is spread over all cores first: one file of a few row groups would be one task.
+SMALL = 1 << 30
+
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """A small corpus in as many partitions as there are cores; a large one as it is."""
+    spark = corpus.sparkSession
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return corpus.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL else corpus
+
+
 def best_rows(score: np.ndarray, ordinals: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best of each column (score as rounded to 9 places, then ordinal); NaN comes last."""
     n, m = score.shape

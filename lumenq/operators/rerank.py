@@ -37,7 +37,11 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int
     """Candidates (qid, chunk_id, ordinal, rank) in the order of their pair scores; equal ones keep theirs."""
     texts = chunks.select("chunk_id", F.col("text").alias("_text"))
     asked = queries.select("qid", F.col("text").alias("_question"))
-    scored = candidates.select("qid", "chunk_id", "ordinal", F.col("rank").alias("_was")).join(texts, "chunk_id").join(asked, "qid").withColumn("score", scorer(F.col("_question"), F.col("_text")))
+    pairs = candidates.select("qid", "chunk_id", "ordinal", F.col("rank").alias("_was")).join(texts, "chunk_id").join(asked, "qid")
+    # scoring is work on few bytes, so their number mustn't say how many tasks there are; ranks are taken in the same partitions
+    spark = pairs.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scored = pairs.repartition(n, "qid").withColumn("score", scorer(F.col("_question"), F.col("_text")))
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "_was")
     out = scored.withColumn("rank", F.row_number().over(w).cast("long"))
     out = out if k is None else out.where(F.col("rank") <= k)
