@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Where a session on one machine writes when it sets no folder.
 LOCAL_DIR = "file:///tmp/lumenq-checkpoint"
-_left: dict[str, SparkSession] = {}
+#: Folders that are still there, and what deletes them after the session has ended.
+_left: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,28 +38,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
-    _left[path] = spark
+    _left[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     return back
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(path: str) -> None:
+    jvm, conf = _left.pop(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def drop(*frames: DataFrame) -> None:
     """Deletes the folders of frames from ``written`` that nothing reads any more."""
     for df in frames:
-        _delete(_left.pop(df.written_to), df.written_to)
+        _delete(df.written_to)
 
 
 @atexit.register
 def _sweep() -> None:
-    for path, spark in _left.items():
+    for path in list(_left):
         try:
-            _delete(spark, path)
-        except (Py4JError, OSError, AttributeError):  # the session or its JVM has ended before
-            continue
+            _delete(path)
+        except (Py4JError, OSError):  # the JVM has ended before
+            return
 
 
 #: Keys up to which a set of keys is broadcast to filter by (16 bytes each).

@@ -22,7 +22,7 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _WORD[_lo:_hi] = True
 
 #: Bytes of text that one numpy pass handles, so that temporaries stay near 100 bytes per byte of this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -141,14 +141,17 @@ def grams(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def row_grams(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each row, its distinct n-gram hashes in ascending order."""
-    offs, data = utf8(lower(texts))
+    """For each row, its distinct n-gram hashes in ascending order. Only a slice of the column is lowered and cut up at a time."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    offs, _ = utf8(texts)
     for i, j in pieces(offs):
-        a, b = offs[i], offs[j]
-        o, d = offs[i : j + 1] - a, data[a:b]
+        o, d = utf8(lower(texts.slice(i, j - i)))
         starts, ends, counts = term_spans(o, d)
         g, gc = grams(span_hashes(d, starts, ends), counts, n)
         at = 0
         for c in gc.tolist():
             yield np.unique(g[at : at + c])
             at += c
+    # what the column's slices took goes back to the system, not to the pool
+    pa.default_memory_pool().release_unused()
