@@ -23,6 +23,10 @@
    similarity is computed from the whole sets.
 
 Every document is a query; no number of partners or candidates is cut off.
+The query has a row for each document: its class (what links connect, in one step
+or several) and the number of its links, copies included. A group of similar texts
+has links as the square of its size, so these are counted where its group is opened and
+never are rows; ``join`` writes them out as pairs for those who want each.
 Reported similarities are exact up to collisions of 64-bit hashes. Pairs in which one
 set has 2 * SAMPLE n-grams at most are never missed. Of larger ones a pair can be, where fewer of the common n-grams
 fall in the sample than MARGIN allows for: with at most 5 % probability for a pair exactly at
@@ -33,21 +37,22 @@ Terms are as in ``textvec``. Edges: null or empty texts and texts without terms
 resemble nothing, not even each other; a text of fewer terms than N has one gram
 of all; rows with a null doc_id are left out; repeated rows count once; a doc_id
 with several texts is similar to what any of them is, by the greatest
-similarity; an empty table has no pairs; other columns are ignored.
+similarity, and connects what these are similar to; an empty table has no pairs; other
+columns are ignored. A document without links is a class of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenq.llm import textvec
@@ -63,6 +68,8 @@ BROADCAST_COPIES = 2_000_000
 #: Copies of one set that a task pairs with all the others.
 COPIES = 2000
 PAIRS = "a long, b long, doc_a long, doc_b long, jaccard double"
+#: Without b, the links that a has in one opened group; with b, a pair that connects or, where ``odd``, one that is counted by itself.
+LINKS = "a long, b long, links long, odd boolean"
 SURVEY = "sid binary, fat boolean, doc_id long, th long, n int, hi binary, lo binary, cuts binary, block int, counts binary"
 SETS = "sno long, lead boolean, doc_id long, th long, n int, hi binary, lo binary, cuts binary, block int, counts binary"
 #: Sets whose sample a task has given already, and gives no more.
@@ -318,10 +325,10 @@ def _asking(met: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
     return shared.join(sizes, "grp").where((F.col("most") >= F.col("n") * threshold - _EPS) & (F.col("least") * threshold <= F.col("n") + _EPS)).select("grp", "sno", "n")
 
 
-def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allowed, threshold: float) -> list[tuple[int, int, float]]:
-    """(query, member, similarity) of all allowed pairs of positions that reach the threshold."""
+def _hits(sets: list[np.ndarray], queries: list[int], members: list[int], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query that has any: it, which of the members reach the threshold, and their similarities."""
     if not members or not queries:
-        return []
+        return
     flat = np.concatenate([sets[m] for m in members])
     owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
     by = np.argsort(flat, kind="stable")
@@ -329,7 +336,6 @@ def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allo
     uniq, first = np.unique(flat, return_index=True)
     first = np.append(first, len(flat))
     sizes = np.array([len(sets[m]) for m in members])
-    out = []
     for q in queries:
         own = sets[q]
         if not len(own) or not len(uniq):
@@ -343,10 +349,17 @@ def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allo
         where = np.repeat(first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(total)
         common = np.bincount(owner[where], minlength=len(members))
         j = common / (sizes + len(own) - common)
-        for k in np.flatnonzero(j >= threshold).tolist():
+        at = np.flatnonzero(j >= threshold)
+        if len(at):
+            yield q, at, j[at]
+
+
+def similar(sets: list[np.ndarray], queries: list[int], members: list[int], allowed, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(query, member, similarity) of all allowed pairs of positions that reach the threshold."""
+    for q, at, j in _hits(sets, queries, members, threshold):
+        for k, x in zip(at.tolist(), j.tolist(), strict=True):
             if allowed(q, members[k]):
-                out.append((q, members[k], float(j[k])))
-    return out
+                yield q, members[k], x
 
 
 def _screen(threshold: float):
@@ -377,7 +390,7 @@ def _screen(threshold: float):
     return run
 
 
-def _forest(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+def _forest(found: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """As many of the pairs as keep what is connected connected."""
     root: dict[int, int] = {}
 
@@ -396,24 +409,66 @@ def _forest(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]
     return out
 
 
+def count_links(sets: list[np.ndarray], queries: list[int], members: list[int], numbers: np.ndarray, inside: np.ndarray, weights: np.ndarray, odd: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each position's links, as the weights of what it is similar to; as many pairs as keep what is connected connected; all pairs with an odd side. Memory follows the sets, not their pairs."""
+    own, links, tree = np.array(members, np.int64), np.zeros(len(sets), np.int64), np.arange(len(sets))
+    edges, apart = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for q, at, _ in _hits(sets, queries, members, threshold):
+        near = own[at]
+        near = near[numbers[near] < numbers[q] if inside[q] else numbers[near] != numbers[q]]
+        links[q] += weights[near].sum()
+        links[near] += weights[q]
+        trees, first = np.unique(tree[near], return_index=True)
+        new = trees != tree[q]
+        if new.any():
+            edges.append(np.stack([np.full(new.sum(), q), near[first[new]]], axis=1))
+            tree[np.isin(tree, trees[new])] = tree[q]
+        far = near if odd[q] else near[odd[near]]
+        apart.append(np.stack([np.full(len(far), q), far], axis=1))
+    return links, np.concatenate(edges), np.concatenate(apart)
+
+
+def _open_links(n: int, threshold: float):
+    """As ``_open``, with counts in place of pairs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        numbers, inside, weights, odd = (group.column(c).to_numpy() for c in ("sno", "member", "weight", "odd"))
+        sets = list(textvec.row_grams(group.column("text").combine_chunks(), n))
+        rows = list({s: i for i, s in enumerate(numbers.tolist())}.values())
+        asks = group.column("asks").to_pylist()
+        links, edges, apart = count_links(sets, [i for i in rows if asks[i]], [i for i in rows if inside[i]], numbers, inside, weights, odd, threshold)
+        some = np.flatnonzero(links)
+        pairs, k = numbers[np.concatenate([edges, apart])], len(edges) + len(apart)
+        cols = [pa.array(np.concatenate([numbers[some], pairs[:, 0]])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 1]))])]
+        cols += [pa.concat_arrays([pa.array(links[some]), pa.nulls(k, pa.int64())]), pa.array(np.repeat([False, True], [len(some) + len(edges), len(apart)]))]
+        return pa.table(dict(zip(("a", "b", "links", "odd"), cols, strict=True)))
+
+    return run
+
+
 def _open(n: int, threshold: float, forest: bool):
     def run(group: pa.Table) -> pa.Table:
         snos, docs, member, asks = (group.column(c).to_pylist() for c in ("sno", "doc_id", "member", "asks"))
         sets = list(textvec.row_grams(group.column("text").combine_chunks(), n))
         rows = list({s: i for i, s in enumerate(snos)}.values())  # repeated rows are here once for each
         found = similar(sets, [i for i in rows if asks[i]], [i for i in rows if member[i]], lambda q, m: snos[m] != snos[q] and (not member[q] or snos[m] < snos[q]), threshold)
-        if forest:
-            found = _forest(found)
+        found = _forest(found) if forest else list(found)
         cols = [[of[x[side]] for x in found] for of in (snos, docs) for side in (0, 1)]
         return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "doc_a", "doc_b"), cols, strict=True)} | {"jaccard": pa.array([j for *_, j in found], pa.float64())})
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False) -> tuple[DataFrame, DataFrame]:
+def _weights(members: DataFrame) -> DataFrame:
+    """(sno, weight, odd) of sets that stand for other than one document: how many are in no other set, and whether some are."""
+    return members.groupBy("sno").agg(F.count(F.when(~F.col("odd"), 1)).alias("weight"), F.max("odd").alias("odd")).where("weight <> 1 or odd")
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, links: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets (a, b, doc_a, doc_b: a document of each; jaccard), and the documents of all sets (sno, doc_id, th, lead: whether it stands for its set).
 
     th is a hash of the text. With ``forest``, only as many pairs as connect what is similar, in one step or several.
+    With ``links``, rows of LINKS in place of pairs, and of the documents (sno, doc_id, odd: whether it is in several sets), each once.
     """
     spark = docs.sparkSession
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -448,10 +503,16 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fore
     left = roles.join(among(sets.select("sno", "n", "lo", "cuts"), roles, "sno"), "sno").groupBy("grp", "part").applyInArrow(_screen(threshold), "grp long, part int, sno long, member boolean, asks boolean")
     # each set's roles go to its text at once, so that the text is moved once by its key and once to its groups
     known = left.groupBy("sno").agg(F.collect_list(F.struct("grp", "part", "member", "asks")).alias("roles")).join(sets.select("sno", "doc_id", "th"), "sno")
+    more = []
+    if links:
+        each = written(each.select("sno", "doc_id").repartition(F.col("doc_id")).dropDuplicates().withColumn("odd", F.count("*").over(Window.partitionBy("doc_id")) > 1), "members")
+        known = known.join(_weights(each), "sno", "left").withColumns({"weight": F.coalesce("weight", F.lit(1)), "odd": F.coalesce("odd", F.lit(False))})
+        more = ["weight", "odd"]
     wanted = written(known.withColumn("rk", F.xxhash64("doc_id", "th")), "wanted")
     keyed = base.withColumn("rk", F.xxhash64("doc_id", "th"))
-    opened = among(keyed, wanted, "rk").join(wanted, ["rk", "doc_id", "th"]).withColumn("r", F.explode("roles")).select("r.grp", "r.part", "sno", "doc_id", "r.member", "r.asks", "text")
-    pairs = written(opened.groupBy("grp", "part").applyInArrow(_open(n, threshold, forest), PAIRS), "pairs")
+    opened = among(keyed, wanted, "rk").join(wanted, ["rk", "doc_id", "th"]).withColumn("r", F.explode("roles")).select("r.grp", "r.part", "sno", "doc_id", "r.member", "r.asks", *more, "text")
+    run, given = (_open_links(n, threshold), LINKS) if links else (_open(n, threshold, forest), PAIRS)
+    pairs = written(opened.groupBy("grp", "part").applyInArrow(run, given), "pairs")
     drop(met, first, placed, asking, roles, wanted)
     return pairs, each
 
@@ -518,6 +579,35 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
     return found.join(first, "root").select("doc_id", "th", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("keeper_th"))
 
 
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each doc_id: its class_id, which is the least doc_id of what links connect it with, and links, the number of other documents that reach the threshold with it."""
+    found, members = similar_sets(docs, n, threshold, links=True)
+    odd = members.where("odd").select("sno", "doc_id")
+    some_odd = not odd.isEmpty()
+    edges = found.where("b is not null and not odd").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if some_odd:
+        edges = edges.unionByName(odd.groupBy("doc_id").agg(F.min("sno").alias("u")).join(odd.withColumnRenamed("sno", "v"), "doc_id").select("u", "v"))
+    roots = components(edges)
+    weights = _weights(members).select("sno", "weight")
+    sums = found.where("b is null").groupBy(F.col("a").alias("sno")).agg(F.sum("links").alias("sum"))
+    own = members.join(sums, "sno", "left").join(weights, "sno", "left").join(roots.withColumnRenamed("node", "sno"), "sno", "left")
+    own = own.select("sno", "doc_id", (F.coalesce("sum", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("links"), F.coalesce("root", "sno").alias("root"))
+    if some_odd:
+        # sets that are similar, or the same, of which one has a document of several sets: such documents count once, whatever the sets in which they are met
+        pairs = found.where("odd").select(F.col("a").alias("sno"), F.col("b").alias("to"))
+        pairs = written(pairs.unionByName(pairs.select(F.col("to").alias("sno"), F.col("sno").alias("to"))).unionByName(odd.select("sno", F.col("sno").alias("to"))).dropDuplicates(), "odd")
+        others = odd.select(F.col("sno").alias("to"), F.col("doc_id").alias("other"))
+        beside = pairs.join(others, "to").groupBy("sno").agg(F.countDistinct("other").alias("beside"))
+        met = odd.join(pairs, "sno").select("doc_id", "to").dropDuplicates()
+        single = met.join(weights.withColumnRenamed("sno", "to"), "to", "left").groupBy("doc_id").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("single"))
+        of_odd = met.join(others, "to").groupBy("doc_id").agg((F.countDistinct("other") - 1).alias("beside")).join(single, "doc_id").select("doc_id", (F.col("single") + F.col("beside")).alias("all"))
+        own = own.join(beside, "sno", "left").join(of_odd, "doc_id", "left").select("doc_id", F.coalesce("all", F.col("links") + F.coalesce("beside", F.lit(0))).alias("links"), "root").dropDuplicates()
+    first = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    placed = own.join(first, "root").select("doc_id", "class_id", "links")
+    # documents without terms have no set
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of similar documents."""
-    return join(table(spark, sf_dir, "documents"))
+    """The class of each document, and its number of links."""
+    return linked(table(spark, sf_dir, "documents"))

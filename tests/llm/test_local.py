@@ -226,6 +226,31 @@ def test_similar_equals_brute_force():
             assert (j >= 0.3) == ((a, b) in got) and (j < 0.3 or abs(got[a, b] - j) < 1e-12)
 
 
+def test_counted_links_equal_brute_force():
+    r = random.Random(3)
+    sets = [np.array(sorted(r.sample(range(60), r.randint(0, 30))), np.uint64) for _ in range(40)]
+    numbers, inside = np.array(r.sample(range(1000), 40)), np.array([k % 3 > 0 for k in range(40)])
+    weights, odd = np.array([r.randrange(5) for _ in range(40)]), np.array([k % 7 == 0 for k in range(40)])
+    members = [k for k in range(40) if inside[k]]
+    links, edges, apart = jaccard.count_links(sets, list(range(40)), members, numbers, inside, weights, odd, 0.25)
+    found = [(q, m) for q, m, _ in jaccard.similar(sets, list(range(40)), members, lambda q, m: numbers[m] < numbers[q] if inside[q] else True, 0.25)]
+    want = np.zeros(40, np.int64)
+    for q, m in found:
+        want[q] += weights[m]
+        want[m] += weights[q]
+    assert len(found) > 40 and (links == want).all()
+    assert sorted(map(tuple, apart.tolist())) == sorted((q, m) for q, m in found if odd[q] or odd[m])
+
+    def parts(pairs):
+        root = list(range(40))
+        for _ in root:
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert {tuple(x) for x in edges.tolist()} <= set(found) and parts(edges.tolist()) == parts(found) and len(edges) == 40 - len(set(parts(found)))
+
+
 def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(5)
     order = r.integers(0, 256, 1 << jaccard.SKETCH_BITS).astype(np.uint8)

@@ -163,6 +163,75 @@ def test_jaccard_opens_split_groups(spark, monkeypatch):
     assert len(kept) == len(rows) - len({b for _, b in want})
 
 
+def brute_links(rows, n=jaccard.N, t=jaccard.THRESHOLD):
+    """{doc_id: (class, links)}; a doc_id may have several texts."""
+    sets, near = {}, {r[0]: set() for r in rows if r[0] is not None}
+    for doc, text in {(r[0], r[1]) for r in rows if r[0] is not None}:
+        w = re.findall(textvec.TERM_PATTERN, (text or "").lower())
+        if w:
+            sets[doc, text] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
+    for ((a, _), x), ((b, _), y) in itertools.combinations(sets.items(), 2):
+        if a != b and len(x & y) >= t * len(x | y):
+            near[a].add(b)
+            near[b].add(a)
+    root = {x: x for x in near}
+    for _ in root:
+        for a, b in ((a, b) for a in near for b in near[a]):
+            root[a] = root[b] = min(root[a], root[b])
+    return {x: (root[x], len(near[x])) for x in near}
+
+
+def links_of(out):
+    assert out.columns == ["doc_id", "class_id", "links"]
+    rows = out.collect()
+    got = {r.doc_id: (r.class_id, r.links) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def near_copies(seed, copies):
+    """Different texts of one cluster, some of them several times, and texts of their own."""
+    base, rows = words(seed, 300).split(), []
+    for k in range(30):
+        r, w = random.Random(k), list(base)
+        for _ in range(k % 12):
+            w[r.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(w), "en", "s", 1))
+    return rows + [(100 + k, rows[5][1], "en", "s", 1) for k in range(copies)] + [(900 + k, words(200 + k, 50), "en", "s", 1) for k in range(5)]
+
+
+def test_jaccard_query_has_a_row_for_each_document(spark, tmp_path):
+    """Clusters of copies and near copies, one five times the other: rows are those of the input, and no link is lost from the counts."""
+    for copies in (10, 200):
+        rows = near_copies(7, copies)
+        spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / f"{copies}/documents.parquet"))
+        got = links_of(registry.QUERIES["op3_ngram_jaccard"](spark, str(tmp_path / str(copies))))
+        assert got == brute_links(rows) and len(got) == len(rows)
+        assert sum(k for _, k in got.values()) == 2 * len(brute_pairs(rows)) > 100 * copies
+
+
+def test_jaccard_links_equal_brute_force(spark, docs, none, rows):
+    want = brute_links(rows)
+    assert want[13] == (13, 0) and want[14] == (14, 0) and want[2] == (2, 2) and want[16] == (15, 1)
+    clash = docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("th", "sid", "sno", "links", "weight", "class_id", "odd", "root")])
+    for df in (docs, clash):
+        assert links_of(jaccard.linked(df)) == want
+    assert jaccard.linked(none).count() == 0
+    assert links_of(jaccard.linked(docs.where("doc_id in (13, 14)"))) == {13: (13, 0), 14: (14, 0)}
+
+
+def test_jaccard_links_of_split_groups_and_doc_ids_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_GRAMS", 2000)
+    monkeypatch.setattr(jaccard, "QUERY_GRAMS", 900)
+    rows = near_copies(7, 20)
+    assert links_of(jaccard.linked(spark.createDataFrame(rows, DOCS))) == brute_links(rows)
+    a, b, near = words(1, 60), words(2, 60), words(1, 60) + " tail"
+    few = [(1, a), (1, b), (2, b), (3, near), (3, a), (4, b), (1, a), (5, words(5, 9)), (6, None), (6, a)]
+    many = [(r[0], r[1]) for r in rows] + [(3, rows[9][1]), (3, rows[0][1]), (904, rows[2][1]), (100, rows[-1][1]), (7, ""), (101, a), (300, a), (300, b), (301, b), (301, rows[4][1])]
+    for both in (few, many):
+        assert links_of(jaccard.linked(spark.createDataFrame(both, "doc_id long, text string"))) == brute_links(both)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(20, 60)] + [(r.randrange(15), r.randrange(15)) for _ in range(9)] + [(100, 100)]
