@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import difflib
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenq.functions import blocks
 from lumenq.functions.text import tokens
+from lumenq.operators import matrix
 
-ALIGN, PREFIX, MIN_QA, PER_TYPE, PARTIAL_POOL = 0.4, 500, 2, 10, 20
+ALIGN, MIN_QA, PER_TYPE, PARTIAL_POOL = 0.4, 2, 10, 20
 METRICS = ["hit1", "hit3", "hit5", "ndcg5", "evidence_recall5", "all_evidence_recall5", "mrr"]
 
 
@@ -68,18 +71,97 @@ def annotated_questions(papers: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of the first 500 characters."""
-    return pd.Series([difflib.SequenceMatcher(None, (x or "")[:PREFIX], (y or "")[:PREFIX]).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp similarity of the whole texts; nulls are empty."""
+    (x, xs), (y, ys) = blocks.codes(a.fillna("").tolist()), blocks.codes(b.fillna("").tolist())
+    return pd.Series(blocks.ratios(x, xs[:-1], np.diff(xs), y, ys[:-1], np.diff(ys)), dtype="float64")
+
+
+#: Evidence texts, and characters of them, that are broadcast at most; more are joined. Bytes of chunks that are compared at once.
+MAX_EVIDENCE, MAX_EVIDENCE_CHARS, LOT = 100_000, 1 << 25, 1 << 23
 
 
 def fuzzy_qrels(evidence: DataFrame, chunks: DataFrame, key: str = "paper_id", least: float = ALIGN) -> DataFrame:
-    """(qid, chunk_id): for each evidence text (qid, key, evidence) the most similar chunk of its paper, if similar enough; the first of equals."""
-    pairs = evidence.withColumn("no", F.xxhash64("evidence")).join(chunks.select(key, "chunk_id", "ordinal", "text"), key)
-    # the ratio is at most twice the shorter length over both, so pairs that can't reach the threshold skip the UDF
-    a, b = F.least(F.length("evidence"), F.lit(PREFIX)), F.least(F.length("text"), F.lit(PREFIX))
-    scored = pairs.where(2 * F.least(a, b) >= least * (a + b)).withColumn("s", similarity("evidence", "text"))
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "no").orderBy(F.col("s").desc(), "ordinal"))).where(F.col("_n") == 1)
-    return best.where(F.col("s") >= least).select("qid", "chunk_id").distinct()
+    """(qid, chunk_id): for each evidence text (qid, key, evidence) the most similar chunk of its paper, if similar enough; the first of equals.
+
+    Whole texts are compared, and all of their characters count. The evidence is collected up to a size and broadcast, so
+    that chunks are compared where they lie; each task hands on the best chunk of each evidence text alone.
+    """
+    given = evidence.where(F.col("evidence").isNotNull() & F.col(key).isNotNull()).select("qid", F.col(key).cast("string").alias("_key"), "evidence").distinct()
+    asked = given.limit(MAX_EVIDENCE + 1).collect()
+    rows = chunks.where(F.col("text").isNotNull()).select(F.col(key).cast("string").alias("_key"), "chunk_id", "ordinal", "text")
+    if len(asked) > MAX_EVIDENCE or sum(len(r.evidence) for r in asked) > MAX_EVIDENCE_CHARS:
+        # the ratio is at most twice the shorter length over both, so pairs that can't reach the threshold skip the UDF
+        a, b = F.length("evidence"), F.length("text")
+        found = given.join(rows, "_key").where(2 * F.least(a, b) >= least * (a + b)).select("qid", "evidence", "chunk_id", "ordinal", similarity("evidence", "text").alias("s"))
+    else:
+        numbers = {pair: i for i, pair in enumerate(sorted({(r["_key"], r.evidence) for r in asked}))}
+        own = given.sparkSession.createDataFrame([(numbers[r["_key"], r.evidence], r.qid, r.evidence) for r in asked], T.StructType([T.StructField("no", T.LongType()), given.schema["qid"], T.StructField("evidence", T.StringType())]))
+        found = _most_similar(matrix.spread(rows), list(numbers), least).join(own, "no")
+    best = found.where(F.col("s") >= least).withColumn("_n", F.row_number().over(Window.partitionBy("qid", "evidence").orderBy(F.col("s").desc(), "ordinal"))).where(F.col("_n") == 1)
+    return best.select("qid", "chunk_id").distinct()
+
+
+def _most_similar(chunks: DataFrame, asked: list[tuple[str, str]], least: float) -> DataFrame:
+    """(no, chunk_id, ordinal, s): the best chunks of each (key, text) of ``asked``, by its number, in each lot of chunks (_key, chunk_id, ordinal, text)."""
+    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+    schema = T.StructType([T.StructField("no", T.LongType()), chunks.schema["chunk_id"], chunks.schema["ordinal"], T.StructField("s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, starts = blocks.codes([t for _, t in shared.value])
+        na, top = np.diff(starts), np.full(len(shared.value), float(least))
+        of_key: dict[str, list[int]] = {}
+        for no, (k, _) in enumerate(shared.value):
+            of_key.setdefault(k, []).append(no)
+
+        def compared(lot: pa.Table) -> pa.RecordBatch:
+            b, at = blocks.codes(lot["text"].to_pylist())
+            nb, keys, ordinals = np.diff(at), lot["_key"].combine_chunks().dictionary_encode(), lot["ordinal"].to_numpy()
+            code = pc.fill_null(keys.indices, -1).to_numpy(zero_copy_only=False)
+            out, held = [], []
+
+            def flush() -> None:
+                i, j = np.concatenate([np.full(len(x), no) for no, x in held]), np.concatenate([x for _, x in held])
+                held.clear()
+                s = blocks.ratios(a, starts[i], na[i], b, at[j], nb[j], top[i])
+                some = np.flatnonzero(s >= 0)
+                some = some[np.lexsort((ordinals[j[some]], -s[some], i[some]))]
+                some = some[np.unique(i[some], return_index=True)[1]]
+                top[i[some]] = s[some]
+                out.append((i[some], j[some], s[some]))
+
+            for c, k in enumerate(keys.dictionary.to_pylist()):
+                mine = np.flatnonzero(code == c) if k in of_key else []
+                for no in of_key[k] if len(mine) else []:
+                    # the ratio is at most twice the shorter length over both
+                    held.append((no, mine[2 * np.minimum(na[no], nb[mine]) >= top[no] * (na[no] + nb[mine])]))
+                    if sum(len(x) for _, x in held) >= blocks.PAIRS:
+                        flush()
+            if held:
+                flush()
+            i, j, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            took = lot.select(["chunk_id", "ordinal"]).take(pa.array(j))
+            return pa.Table.from_arrays([pa.array(i), took["chunk_id"], took["ordinal"], pa.array(s)], names=schema.names)
+
+        for lot in _lots(batches, LOT):
+            yield from compared(lot).to_batches()
+
+    return chunks.mapInArrow(run, schema)
+
+
+def _lots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together or cut into tables of about ``size`` bytes."""
+    held, held_bytes = [], 0
+    for b in batches:
+        step = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            held.append(part)
+            held_bytes += part.nbytes
+            if held_bytes >= size:
+                yield pa.Table.from_batches(held)
+                held, held_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 #: Questions, and characters of them, that are sought in one automaton; more are matched by keys.
