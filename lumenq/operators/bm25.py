@@ -8,11 +8,15 @@ with its own N, df and mean length, and questions are asked within theirs.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.functions.text import tokens
-from lumenq.operators import matrix
+from lumenq.operators import matrix, postings
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Weighted (question, term) rows that are broadcast at most: about 60 MB.
@@ -81,23 +85,89 @@ def completed(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int)
     return scored.select("qid", "chunk_id", "ordinal", "score").unionByName(zero.withColumn("score", F.lit(0.0)).select("qid", "chunk_id", "ordinal", "score"))
 
 
+class Index:
+    """A corpus with its counts, which are made in one pass when they are first asked for and then kept.
+
+    ``scope`` makes each of its values a collection of its own; ``within`` only says, by a column that questions have too,
+    which rows a question is asked in, and counts stay those of all rows. Counts and searches are passes over ``chunks``.
+    """
+
+    def __init__(self, chunks: DataFrame, scope: str | None = None, text: Column | None = None, distinct: bool = False, within: str | None = None, counts: Index | None = None):
+        self.chunks, self.scope, self.within, self.distinct, self._counts = chunks, scope, within, distinct, counts
+        self.text = index_text(chunks) if text is None else text
+
+    def rows(self, *keep: str) -> DataFrame:
+        by = self.scope or self.within
+        return matrix.spread(self.chunks.select("chunk_id", "ordinal", *keep, self.text.alias("__text"), *([F.col(by).cast("string").alias("scope")] if by else [])))
+
+    def counts(self) -> DataFrame:
+        if self._counts is None:
+            self._counts = postings.counted(self.rows(), self.scope, self.distinct).persist()
+        return self._counts.counts() if isinstance(self._counts, Index) else self._counts
+
+    def best(self, queries: DataFrame, k: int, keep: tuple[str, ...] = (), sharing: bool = False) -> DataFrame | None:
+        """(qid, chunk_id, ordinal, kept columns, score): what the k best chunks of each question (qid, text, scope) are among; with ``sharing`` only chunks that share a term with it.
+
+        The weighted terms of the questions are collected and broadcast; None if they are too many.
+        """
+        sides = self._sides(queries) if k <= matrix.MAX_K else None
+        return None if sides is None else postings.search(self.rows(*keep), list(keep), k, sides, self.scope or self.within, K1, B, self.distinct, sharing)
+
+    def _sides(self, queries: DataFrame) -> dict[str, list] | None:
+        by = self.scope or self.within
+        q = queries.select(F.col("qid").cast("string").alias("qid"), *([F.col(by).cast("string").alias("scope")] if by else [F.lit("").alias("scope")]), tokens(F.col("text")).alias("terms")).where("scope is not null")
+        asked = q.limit(MAX_WEIGHTS + 1).toArrow().to_pylist() if MAX_WEIGHTS else []
+        if not MAX_WEIGHTS or sum(max(1, len(r["terms"])) for r in asked) > MAX_WEIGHTS:
+            return None
+        known = sorted({t for r in asked for t in r["terms"]})
+        spark = queries.sparkSession
+        terms = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": pd.Series(known, dtype="str"), "__asked": True}), "term string, __asked boolean"))
+        found = self.counts().join(terms, "term", "left").select("scope", F.when(F.col("__asked"), F.col("term")).alias("term"), F.col("term").isNull().alias("whole"), "n", "dl")
+        few = found.groupBy("scope", "term", "whole", "n").agg(F.count("*").alias("times"), F.sum("dl").alias("dl")).limit(2 * MAX_WEIGHTS + 1).toPandas()
+        if len(few) > 2 * MAX_WEIGHTS:
+            return None
+        weights, avgdl = {}, {}
+        for scope, part in few.groupby("scope"):
+            size = part[part["whole"]].iloc[0]
+            each = part[~part["whole"]]
+            raw = np.log(size["n"] - each["n"] + 0.5) - np.log(each["n"] + 0.5)
+            floor = EPSILON * float((raw * each["times"]).sum() / max(1, each["times"].sum()))
+            idf = raw.where(raw >= 0, floor)
+            weights[scope], avgdl[scope] = dict(zip(each["term"], idf, strict=True)), float(size["dl"]) / float(size["n"]) or 1.0
+        by_scope: dict[str, dict[str, Counter]] = {}
+        for r in asked:
+            by_scope.setdefault(r["scope"], {}).setdefault(r["qid"], Counter()).update(r["terms"])
+        out = {}
+        for scope, qs in by_scope.items():
+            of = scope if self.scope else ""
+            own = weights.get(of, {})
+            out[scope] = postings.sliced([(qid, [(t, n * own[t]) for t, n in c.items() if t in own]) for qid, c in qs.items()], avgdl.get(of, 1.0))
+        return out
+
+
 def best(chunks: DataFrame, queries: DataFrame, k: int, text: Column | None = None, distinct: bool = False) -> DataFrame:
     """(qid, chunk_id, ordinal, score): what the k best chunks of each question are among, chunks of score 0 included.
 
     The weighted terms of the questions are collected here and broadcast; chunks are scored where they lie. More than
     ``MAX_WEIGHTS`` of these, or more than ``matrix.MAX_K`` ranks, are scored by joins.
     """
-    toks = tokenized(chunks, text, distinct)
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    qids = [r.qid for r in queries.select(F.col("qid").cast("string").alias("qid")).distinct().limit(MAX_WEIGHTS + 1).collect()] if k <= matrix.MAX_K else []
-    if k <= matrix.MAX_K and len(qids) <= MAX_WEIGHTS and asked.limit(MAX_WEIGHTS + 1).count() <= MAX_WEIGHTS:
-        rows = asked.join(term_stats(toks), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl").toArrow()
-        avgdl = float(rows["avgdl"][0].as_py()) if rows.num_rows else 1.0
-        return matrix.search(toks, ["toks"], k, matrix.term_slices(sorted(qids), rows), matrix.term_scores(K1, B, avgdl))
-    return completed(scores(chunks, queries, text=text, distinct=distinct), chunks, queries, k)
+    found = Index(chunks, text=text, distinct=distinct).best(queries, k)
+    return completed(scores(chunks, queries, text=text, distinct=distinct), chunks, queries, k) if found is None else found
+
+
+def best_sharing(chunks: DataFrame, queries: DataFrame, k: int, scope: tuple[str, ...] = (), distinct: bool = False) -> DataFrame:
+    """``best`` of the chunks that share a term with the question, each value of ``scope`` a collection of its own; with the columns of ``scope``."""
+    found = Index(chunks, scope[0] if scope else None, distinct=distinct).best(queries, k, scope, True) if len(scope) < 2 else None
+    return scores(chunks, queries, scope, distinct=distinct) if found is None else found
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: tuple[str, ...] = ()) -> DataFrame:
+def retrieve(chunks: DataFrame | Index, queries: DataFrame, k: int = 5, scope: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks of each question, as (qid, chunk_id, ordinal, rank, score, score_kind); without scope there are min(k, chunks) of them."""
-    found = scores(chunks, queries, scope) if scope else best(chunks, queries, k)
-    return top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("bm25").alias("score_kind"))
+    if isinstance(chunks, Index):
+        found = chunks.best(queries, k)
+        found = best(chunks.chunks, queries, k) if found is None else found
+    else:
+        found = best_sharing(chunks, queries, k, scope) if scope else best(chunks, queries, k)
+    out = top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("bm25").alias("score_kind"))
+    # the list is small and read again by most of what follows, which would search again each time
+    return out.persist() if k <= matrix.MAX_K else out

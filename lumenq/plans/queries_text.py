@@ -56,7 +56,7 @@ def bm25_top5(spark, d):
 
 @query("bm25_paper_level", sql.cte(sql.DOCS, sql.ITEMS, sql.bm25("s", "chunks", "queries", distinct=True), sql.top("t", "s", 5)) + _OUT + " FROM t")
 def bm25_paper_level(spark, d):
-    return _ranked(bm25.top(bm25.scores(frames.doc_chunks(spark, d), frames.items(spark, d), distinct=True), 5))
+    return _ranked(bm25.top(bm25.best_sharing(frames.doc_chunks(spark, d), frames.items(spark, d), 5, distinct=True), 5))
 
 
 @query(
