@@ -67,7 +67,7 @@ def bm25_paper_level(spark, d):
 def bm25_per_source(spark, d):
     docs, q = frames.doc_chunks(spark, d), frames.items(spark, d)
     each = q.crossJoin(docs.select("source").distinct()).select(F.concat("qid", F.lit("@"), "source").alias("qid"), "text", "source")
-    return _ranked(bm25.top(bm25.scores(docs, each, ("source",)), 3), "source")
+    return _ranked(bm25.top(bm25.best_sharing(docs, each, 3, ("source",)), 3), "source")
 
 
 @query("dense_top5", sql.cte(sql.dense("s"), sql.top("t", "s", 5)) + _OUT + " FROM t")
