@@ -96,9 +96,9 @@ class Index:
         self.chunks, self.scope, self.within, self.distinct, self._counts = chunks, scope, within, distinct, counts
         self.text = index_text(chunks) if text is None else text
 
-    def rows(self, *keep: str) -> DataFrame:
+    def rows(self, *keep: str, together: str | None = None) -> DataFrame:
         by = self.scope or self.within
-        return matrix.spread(self.chunks.select("chunk_id", "ordinal", *keep, self.text.alias("__text"), *([F.col(by).cast("string").alias("scope")] if by else [])))
+        return matrix.spread(self.chunks.select("chunk_id", "ordinal", *keep, self.text.alias("__text"), *([F.col(by).cast("string").alias("scope")] if by else [])), *([together] if together else []))
 
     def counts(self) -> DataFrame:
         if self._counts is None:
@@ -110,10 +110,15 @@ class Index:
 
         The weighted terms of the questions are collected and broadcast; None if they are too many.
         """
-        sides = self._sides(queries) if k <= matrix.MAX_K else None
+        sides = self.sides(queries) if k <= matrix.MAX_K else None
         return None if sides is None else postings.search(self.rows(*keep), list(keep), k, sides, self.scope or self.within, K1, B, self.distinct, sharing)
 
-    def _sides(self, queries: DataFrame) -> dict[str, list] | None:
+    def all(self, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame | None:
+        """``best`` without a bound: every chunk with every question that is asked there, of score 0 too."""
+        sides = self.sides(queries)
+        return None if sides is None else postings.search(self.rows(*keep), list(keep), None, sides, self.scope or self.within, K1, B, self.distinct, False)
+
+    def sides(self, queries: DataFrame) -> dict[str, list] | None:
         by = self.scope or self.within
         q = queries.select(F.col("qid").cast("string").alias("qid"), *([F.col(by).cast("string").alias("scope")] if by else [F.lit("").alias("scope")]), tokens(F.col("text")).alias("terms")).where("scope is not null")
         asked = q.limit(MAX_WEIGHTS + 1).toArrow().to_pylist() if MAX_WEIGHTS else []

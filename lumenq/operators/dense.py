@@ -61,7 +61,8 @@ def retrieve(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found = matrix.search(vectors, ["vec"], k, slices, matrix.dot_scores)
     else:
         found = scores(vectors, queries)
-    return top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("dense").alias("score_kind"))
+    out = top(found, k).select("qid", "chunk_id", "ordinal", "rank", "score", F.lit("dense").alias("score_kind"))
+    return out.persist() if k <= matrix.MAX_K else out
 
 
 def retrieve_hashed(vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 24, bits: int = 6, seed: int = 11, flips: int = 2) -> DataFrame:

@@ -24,11 +24,11 @@ MAX_K = 1000
 SMALL = 1 << 30
 
 
-def spread(corpus: DataFrame) -> DataFrame:
-    """A small corpus in as many partitions as there are cores; a large one as it is."""
+def spread(corpus: DataFrame, *by: str) -> DataFrame:
+    """A small corpus in as many partitions as there are cores, with rows of equal ``by`` together; a large one as it is."""
     spark = corpus.sparkSession
     size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return corpus.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL else corpus
+    return corpus.repartition(spark.sparkContext.defaultParallelism, *by) if size <= SMALL else corpus
 
 
 def best_rows(score: np.ndarray, ordinals: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

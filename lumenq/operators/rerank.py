@@ -33,9 +33,19 @@ def from_model(predict: Callable[[list[tuple[str, str]]], list[float]]) -> PairS
     return lambda q, t: score(q, t)
 
 
+#: Ids up to which chunks are filtered by a broadcast of a list's, so that no other chunk is moved to be joined with it.
+LISTED = 1_000_000
+
+
+def listed(chunks: DataFrame, ranked: DataFrame, column: str = "chunk_id") -> DataFrame:
+    """The chunks whose id (or other column) a list has, or all if it has too many."""
+    own = ranked.select(column).distinct()
+    return chunks.join(F.broadcast(own), column, "left_semi") if own.limit(LISTED + 1).count() <= LISTED else chunks
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int | None = None, scorer: PairScorer = overlap_f1) -> DataFrame:
     """Candidates (qid, chunk_id, ordinal, rank) in the order of their pair scores; equal ones keep theirs."""
-    texts = chunks.select("chunk_id", F.col("text").alias("_text"))
+    texts = listed(chunks, candidates).select("chunk_id", F.col("text").alias("_text"))
     asked = queries.select("qid", F.col("text").alias("_question"))
     pairs = candidates.select("qid", "chunk_id", "ordinal", F.col("rank").alias("_was")).join(texts, "chunk_id").join(asked, "qid")
     # scoring is work on few bytes, so their number mustn't say how many tasks there are; ranks are taken in the same partitions

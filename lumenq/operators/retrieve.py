@@ -7,15 +7,16 @@ Each strategy takes a ``Corpus`` and questions (qid, text, qvec) and returns
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.functions.text import tokens
-from lumenq.operators import bm25, dense, fusion, rewrite, router
+from lumenq.operators import bm25, dense, fusion, postings, rewrite, router
 from lumenq.operators.postprocess import LIST, effective_k, is_table, postprocess
-from lumenq.operators.rerank import PairScorer, overlap_f1, rerank
+from lumenq.operators.rerank import PairScorer, listed, overlap_f1, rerank
 
 POOL, TOP_K = 50, 5
 TWO_STAGE_PAPERS, TOP_PAPERS, BM25_WEIGHT, DENSE_WEIGHT = 500, 8, 1.0, 0.6
@@ -24,28 +25,39 @@ ANCHOR_STOP = sorted("about and are does for from how its method model paper pap
 
 @dataclass
 class Corpus:
-    """Chunks, their vectors (chunk_id, ordinal, vec), and how pairs are scored."""
+    """Chunks, their vectors (chunk_id, ordinal, vec), how pairs are scored, and lists of questions that several searches begin with."""
 
     chunks: DataFrame
     vectors: DataFrame
     scorer: PairScorer = overlap_f1
+    index: bm25.Index | None = None
+    lists: tuple[DataFrame, int, DataFrame, DataFrame] | None = None
+
+    def shared(self, q: DataFrame, k: int) -> Corpus:
+        """With an index whose counts are made once, and both lists of the k best of each question, whose beginnings are those of fewer."""
+        index = self.index or bm25.Index(self.chunks)
+        return replace(self, index=index, lists=(q, k, bm25.retrieve(index, q, k), dense.retrieve(self.vectors, q, k)))
 
 
 def by_bm25(c: Corpus, q: DataFrame, k: int = TOP_K) -> DataFrame:
-    return bm25.retrieve(c.chunks, q, k)
+    if c.lists and c.lists[0] is q and k <= c.lists[1]:
+        return c.lists[2].where(F.col("rank") <= k)
+    return bm25.retrieve(c.index or c.chunks, q, k)
 
 
 def by_dense(c: Corpus, q: DataFrame, k: int = TOP_K) -> DataFrame:
+    if c.lists and c.lists[0] is q and k <= c.lists[1]:
+        return c.lists[3].where(F.col("rank") <= k)
     return dense.retrieve(c.vectors, q, k)
 
 
 def by_rrf(c: Corpus, q: DataFrame, k: int = TOP_K, candidates: int = fusion.CANDIDATES) -> DataFrame:
-    return fusion.rrf([(bm25.retrieve(c.chunks, q, candidates), 1.0), (dense.retrieve(c.vectors, q, candidates), 1.0)], k)
+    return fusion.rrf([(by_bm25(c, q, candidates), 1.0), (by_dense(c, q, candidates), 1.0)], k)
 
 
 def by_pair(c: Corpus, q: DataFrame, k: int = TOP_K, pool: int = POOL) -> DataFrame:
     """BM25's pool, reranked; the vectors play no part."""
-    return rerank(bm25.retrieve(c.chunks, q, pool), q, c.chunks, k, c.scorer)
+    return rerank(by_bm25(c, q, pool), q, c.chunks, k, c.scorer)
 
 
 def by_rrf_pair(c: Corpus, q: DataFrame, k: int = TOP_K, pool: int = POOL) -> DataFrame:
@@ -82,7 +94,7 @@ def run_strategies(c: Corpus, q: DataFrame, names: list[str] | None = None, k: i
     wrong = [n for n in names if n not in STRATEGIES]
     if wrong:
         raise ValueError(f"unknown strategies: {', '.join(wrong)}")
-    out = None
+    c, out = c.shared(q, max(k, fusion.CANDIDATES)) if len(names) > 1 else c, None
     for n in names:
         rows = STRATEGIES[n](c, q, k).withColumn("strategy", F.lit(n))
         out = rows if out is None else out.unionByName(rows)
@@ -107,7 +119,7 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """A list with the columns that postprocessing reads; those that chunks lack are null."""
     have = {f: F.col(f) if f in chunks.columns else F.lit(None).cast("string").alias(f) for f in ("section", "chunk_type", "text", "caption")}
     extra = [x for x in ("paper_id", "doc_id") if x in chunks.columns]
-    return ranked.join(chunks.select("chunk_id", *have.values(), *extra), "chunk_id").select(*LIST, *extra)
+    return ranked.join(listed(chunks, ranked).select("chunk_id", *have.values(), *extra), "chunk_id").select(*LIST, *extra)
 
 
 def tables_by_bm25(chunks: DataFrame, q: DataFrame, k: int = 2) -> DataFrame:
@@ -159,6 +171,32 @@ def paper_scores(chunk_scores: DataFrame, papers: DataFrame, q: DataFrame, top:
     return bm25.top(scored, top).select("qid", "paper_id", "ordinal", "rank", "score")
 
 
+#: Questions whose best chunk scores are kept for each paper in an array.
+MAX_ASKED = 4096
+
+
+def _weighed(b, p, in_title, there, anchored):
+    """The score of papers x questions, as ``paper_scores`` has it."""
+    return np.where(anchored, (0.25 * b + 2.0 * p + np.where(in_title, p, 0.0)) * np.where(there, 1.0, 0.1), b + p)
+
+
+def best_papers(index: bm25.Index, papers: DataFrame, q: DataFrame, top: int = TOP_PAPERS) -> DataFrame:
+    """``paper_scores`` over an index of chunks (with paper_id), without a row for each question and chunk: a paper has its best chunk's scores for all questions in an array, and each task hands on its best papers."""
+    text = F.concat_ws(" ", "title", "abstract")
+    have = papers.where(F.col("paper_id").isNotNull()).select(F.col("paper_id").alias("chunk_id"), "ordinal", text.alias("text"), "title")
+    of_chunks, of_papers = index.sides(q), bm25.Index(have, distinct=True).sides(q)
+    if of_chunks is None or of_papers is None or sum(len(s.qids) for s in of_papers.get("", [])) > MAX_ASKED:
+        return paper_scores(bm25.scores(index.chunks, q, keep=("paper_id",)), papers, q, top)
+    anchors = {r.qid: r.anchors for r in q.select(F.col("qid").cast("string").alias("qid"), anchor_terms(F.col("text")).alias("anchors")).collect()}
+    best = postings.best_of_groups(index.rows("paper_id", together="paper_id"), "paper_id", of_chunks.get("", []), bm25.K1, bm25.B) if of_chunks else None
+    if best is None:
+        return paper_scores(bm25.scores(index.chunks, q, keep=("paper_id",)), papers, q, top)
+    lists = best.groupBy(F.col("paper_id").alias("chunk_id")).agg(F.collect_list("best").alias("__best"))
+    joined = have.select("chunk_id", "ordinal", F.col("text").alias("__text"), F.col("title").alias("__title")).join(lists, "chunk_id", "left")
+    found = postings.best_papers(joined, top, of_papers[""], anchors, bm25.K1, bm25.B, _weighed)
+    return bm25.top(found, top).select("qid", F.col("chunk_id").alias("paper_id"), "ordinal", "rank", "score").persist()
+
+
 def library_single(c: Corpus, q: DataFrame, plans: DataFrame, k: int = TOP_K) -> DataFrame:
     """BM25 and dense lists fused with weights 1.0 and 0.6, a pool of 50 reranked, and postprocessed."""
     fused = fusion.rrf([(bm25.retrieve(c.chunks, q, POOL), BM25_WEIGHT), (dense.retrieve(c.vectors, q, POOL), DENSE_WEIGHT)], POOL)
@@ -168,13 +206,18 @@ def library_single(c: Corpus, q: DataFrame, plans: DataFrame, k: int = TOP_K) ->
 
 def library_two_stage(c: Corpus, papers: DataFrame, q: DataFrame, plans: DataFrame, k: int = TOP_K) -> DataFrame:
     """The best papers first, then all their chunks reranked, the best of each paper together, and postprocessed."""
-    found = bm25.scores(c.chunks, q, keep=("paper_id",))
-    chosen = paper_scores(found, papers, q)
-    inside = c.chunks.select("chunk_id", "ordinal", "paper_id").join(chosen.select("qid", "paper_id"), "paper_id")
-    scored = inside.join(found.select("qid", "chunk_id", "score"), ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    ranked = rerank(bm25.top(scored, 1 << 30), q, c.chunks, None, c.scorer)
+    index = bm25.Index(c.chunks)
+    chosen = best_papers(index, papers, q)
+    inside = c.chunks.join(F.broadcast(chosen.select("paper_id").distinct()), "paper_id", "left_semi").persist()
+    asked = q.join(chosen.select("qid", "paper_id"), "qid")
+    scored = bm25.Index(inside, within="paper_id", counts=index).all(asked)
+    if scored is None:
+        found = bm25.scores(c.chunks, q, keep=("paper_id",)).select("qid", "chunk_id", "score")
+        own = inside.select("chunk_id", "ordinal", "paper_id").join(asked.select("qid", "paper_id"), "paper_id")
+        scored = own.join(found, ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ranked = rerank(bm25.top(scored, 1 << 30).persist(), q, inside, None, c.scorer).persist()
     sized = plans.select("qid", effective_k(F.col("query_type"), F.col("is_yes_no"), k).alias("_k"))
-    per = with_chunks(ranked, c.chunks).join(sized, "qid").withColumn("_n", F.row_number().over(Window.partitionBy("qid", "paper_id").orderBy("rank"))).where("_n <= _k").drop("_n", "_k")
+    per = with_chunks(ranked, inside).join(sized, "qid").withColumn("_n", F.row_number().over(Window.partitionBy("qid", "paper_id").orderBy("rank"))).where("_n <= _k").drop("_n", "_k")
     return postprocess(per, tables_by_bm25(c.chunks, q), plans, k, by_paper=True)
 
 

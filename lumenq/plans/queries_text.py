@@ -152,7 +152,8 @@ def section_cap(spark, d):
 )
 def doc_cap(spark, d):
     lines = frames.lines(spark, d)
-    top = bm25.retrieve(lines, frames.items(spark, d), 10).join(lines.select("chunk_id", "doc_id"), "chunk_id")
+    top = bm25.retrieve(lines, frames.items(spark, d), 10)
+    top = top.join(rerank.listed(lines, top).select("chunk_id", "doc_id"), "chunk_id")
     return fusion.capped(top, "doc_id", 1).select("qid", "chunk_id", "doc_id", "rank")
 
 
@@ -223,7 +224,7 @@ def paper_score_two_stage(spark, d):
     lines = frames.lines(spark, d).withColumn("paper_id", F.col("doc_id").cast("string"))
     papers = frames.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("doc_id").alias("ordinal"), F.split("text", "\n")[0].alias("title"), F.substring("text", 1, 500).alias("abstract"))
     q = frames.items(spark, d)
-    out = retrieve.paper_scores(bm25.scores(lines, q, keep=("paper_id",)), papers, q)
+    out = retrieve.best_papers(bm25.Index(lines), papers, q)
     return out.select("qid", "paper_id", "rank", F.round("score", 6).alias("score"))
 
 
