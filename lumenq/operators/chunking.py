@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.functions.text import blank, squeeze, strip
+from lumenq.operators.postings import lots
 
 MIN_CHARS, MERGE_CHARS, MAX_CHARS = 80, 200, 1600
 LINES_PER_SECTION = 5
@@ -54,20 +55,31 @@ def stamp(chunks: DataFrame, paper_id: Column, title: Column) -> DataFrame:
     return chunks.withColumns({"paper_id": pid, "paper_title": F.coalesce(F.col("paper_title"), title), "original_chunk_id": own, "chunk_id": F.when(F.col("chunk_id").startswith(prefix), F.col("chunk_id")).otherwise(F.concat(prefix, "chunk_id"))})
 
 
+class _Merger:
+    """Takes the paragraphs of a document in order and gives back those that are done."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, None
+
+    def add(self, c: dict) -> list[dict]:
+        done = []
+        if c.get("chunk_type", "paragraph") == "paragraph" and self.held is not None and self.held["section"] == c["section"]:
+            self.held = self.held | {"text": self.held["text"] + " " + c["text"]}
+        else:
+            done, self.held = self.rest(), c
+        if self.held.get("chunk_type", "paragraph") != "paragraph" or len(self.held["text"]) >= self.limit:
+            done += self.rest()
+        return done
+
+    def rest(self) -> list[dict]:
+        done, self.held = [] if self.held is None else [self.held], None
+        return done
+
+
 def merge_rows(chunks: list[dict], limit: int = MERGE_CHARS) -> list[dict]:
     """Short paragraphs of one section joined until ``limit`` characters; tables stay alone and end a run."""
-    done, held = [], None
-    for c in chunks:
-        if c.get("chunk_type", "paragraph") == "paragraph" and held is not None and held["section"] == c["section"]:
-            held = held | {"text": held["text"] + " " + c["text"]}
-        else:
-            if held is not None:
-                done.append(held)
-            held = c
-        if held.get("chunk_type", "paragraph") != "paragraph" or len(held["text"]) >= limit:
-            done.append(held)
-            held = None
-    return done if held is None else [*done, held]
+    m = _Merger(limit)
+    return [x for c in chunks for x in m.add(c)] + m.rest()
 
 
 def split_text(text: str, limit: int = MAX_CHARS) -> list[str]:
@@ -88,28 +100,41 @@ def split_text(text: str, limit: int = MAX_CHARS) -> list[str]:
 
 
 def merge_short(chunks: DataFrame, key: str = "doc_id", limit: int = MERGE_CHARS) -> DataFrame:
-    """``merge_rows`` within each document, in the order of ``ordinal``; a merged chunk has the first one's other columns."""
+    """``merge_rows`` within each document, in the order of ``ordinal``; a merged chunk has the first one's other columns.
+
+    Documents come one after the other in sorted partitions, and only the paragraph that may grow is held.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal", kind="stable")
-        return pd.DataFrame(merge_rows(rows.to_dict("records"), limit), columns=rows.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, at, schema = _Merger(limit), None, None
+        for b in lots(batches):
+            done, schema = [], b.schema
+            for c in b.to_pylist():
+                if c[key] != at:
+                    done += m.rest()
+                    at = c[key]
+                done += m.add(c)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist(m.rest(), schema)
 
-    return chunks.groupBy(key).applyInPandas(run, chunks.schema)
+    return chunks.repartition(key).sortWithinPartitions(key, "ordinal").mapInArrow(run, chunks.schema)
 
 
 def split_long(chunks: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     """``split_text`` of each chunk; ``piece`` numbers the parts. Short chunks never leave the JVM."""
     wide = chunks.where(F.length("text") > limit)
     rest = chunks.where(F.coalesce(F.length("text") <= limit, F.lit(True))).withColumn("piece", F.lit(0))
+    names = rest.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.assign(text=[split_text(t, limit) for t in b["text"]])
-            b["piece"] = [list(range(len(t))) for t in b["text"]]
-            b = b.explode(["text", "piece"], ignore_index=True)
-            yield b.assign(piece=b["piece"].astype("int32"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lots(batches):
+            parts = [split_text(t, limit) for t in b.column("text").to_pylist()]
+            at = pa.array([i for i, ps in enumerate(parts) for _ in ps], pa.int64())
+            made = {"text": pa.array([p for ps in parts for p in ps], b.schema.field("text").type), "piece": pa.array([n for ps in parts for n in range(len(ps))], pa.int32())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c).take(at) for c in names], names=names)
 
-    return rest.unionByName(wide.mapInPandas(run, rest.schema))
+    return rest.unionByName(wide.mapInArrow(run, rest.schema))
 
 
 def merged_table(ranked: DataFrame) -> DataFrame:
