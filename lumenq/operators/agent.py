@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lumenq.functions.rules import BOUNDARY_WORDS
 from lumenq.functions.text import NUMBER, PLAIN_NUMBER, STOP_WORDS
 from lumenq.operators import bm25
+from lumenq.operators.rerank import listed
 from lumenq.operators.rewrite import NUMERIC_TAIL
 
 CAP, MAX_STEPS, NEIGHBOUR_BUDGET, FAILURES = 16, 7, 2, 2
@@ -407,15 +408,15 @@ def _passes(policy, top_k: int, max_steps: int):
     return run_all
 
 
-def _searched(chunks: DataFrame, needs: DataFrame, retrieve) -> DataFrame:
+def _searched(chunks: DataFrame, index, needs: DataFrame, retrieve) -> DataFrame:
     """Look-ups by one retrieval for all questions' queries."""
     each = needs.where("kind = 'search'").withColumn("id", F.concat_ws("#", "qid", F.md5("key"), "k"))
     most = each.agg(F.max("k")).first()[0]
     row = F.struct("rank", *[c for c in ("chunk_id", "ordinal", "section", "chunk_type", "text", "score")])
     if most is None:
         return each.select("qid", "kind", "key", "k", F.lit("[]").alias("rows"))
-    got = retrieve(chunks, each.select(F.col("id").alias("qid"), F.col("key").alias("text")), most).select(F.col("qid").alias("id"), "chunk_id", "rank", "score")
-    near = got.join(each.select("id", "k"), "id").where("rank <= k").join(chunks.select("chunk_id", "ordinal", "section", "chunk_type", "text"), "chunk_id")
+    got = retrieve(index, each.select(F.col("id").alias("qid"), F.col("key").alias("text")), most).select(F.col("qid").alias("id"), "chunk_id", "rank", "score")
+    near = got.join(each.select("id", "k"), "id").where("rank <= k").join(listed(chunks, got).select("chunk_id", "ordinal", "section", "chunk_type", "text"), "chunk_id")
     lists = near.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))
     return each.join(lists, "id", "left").select("qid", "kind", "key", "k", F.coalesce("rows", F.lit("[]")).alias("rows"))
 
@@ -423,7 +424,11 @@ def _searched(chunks: DataFrame, needs: DataFrame, retrieve) -> DataFrame:
 def _beside(chunks: DataFrame, needs: DataFrame, paper: str) -> DataFrame:
     """Neighbours of chunks by their places in their documents."""
     each = needs.where("kind = 'near'")
-    placed = chunks.select("chunk_id", "ordinal", "section", "chunk_type", "text", paper).withColumn("place", F.row_number().over(Window.partitionBy(paper).orderBy("ordinal")))
+    if each.isEmpty():
+        return each.select("qid", "kind", "key", "k", F.lit("[]").alias("rows"))
+    # places are counted in the documents that are asked for, not in all
+    anchors = listed(chunks, each.select(F.col("key").alias("chunk_id"))).select(paper)
+    placed = listed(chunks, anchors, paper).select("chunk_id", "ordinal", "section", "chunk_type", "text", paper).withColumn("place", F.row_number().over(Window.partitionBy(paper).orderBy("ordinal")))
     steps = each.join(placed.select(F.col("chunk_id").alias("key"), paper, F.col("place").alias("at")), "key").withColumn("d", F.explode(F.expr("sequence(-k, k)"))).where("d <> 0").withColumn("place", F.col("at") + F.col("d"))
     row = F.struct("d", "chunk_id", "ordinal", "section", "chunk_type", "text", (-0.01 * F.abs("d")).alias("score"))
     lists = steps.join(placed, [paper, "place"]).groupBy("qid", "key", "k").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))
@@ -441,6 +446,7 @@ def run_indexed(chunks: DataFrame, questions: DataFrame, top_k: int = 5, policy=
     spark = chunks.sparkSession
     rest = questions.select("qid", "question", "query_type", F.to_json("profile").alias("profile"), "rewrites")
     known, done = spark.createDataFrame([], LOOKUPS), []
+    index = bm25.Index(chunks) if retrieve is bm25.retrieve else chunks  # its counts are made once for all passes
     for _ in range(2 * max_steps + 1):
         held = known.groupBy("qid").agg(F.collect_list(F.struct("kind", "key", "k", "rows")).alias("known"))
         out = rest.join(held, "qid", "left").mapInPandas(_passes(policy, top_k, max_steps), _PASS).persist()
@@ -449,7 +455,7 @@ def run_indexed(chunks: DataFrame, questions: DataFrame, top_k: int = 5, policy=
         if needs.isEmpty():
             break
         rest = rest.join(needs.select("qid").distinct(), "qid", "left_semi")
-        known = known.unionByName(_searched(chunks, needs, retrieve)).unionByName(_beside(chunks, needs, paper)).persist()
+        known = known.unionByName(_searched(chunks, index, needs, retrieve)).unionByName(_beside(chunks, needs, paper)).persist()
     result = done[0]
     for x in done[1:]:
         result = result.unionByName(x)
