@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenq import schema
 from lumenq.functions import rules as R
 from lumenq.functions import text as X
-from lumenq.operators import agent, bm25, evaluate, judge, numeric, postprocess, prompt, retrieve, rewrite, router, verify
+from lumenq.operators import agent, bm25, evaluate, judge, numeric, postprocess, prompt, rerank, retrieve, rewrite, router, verify
 from lumenq.plans import frames, sql
 from lumenq.plans import queries_text as texts
 from lumenq.plans.registry import query
@@ -207,11 +207,16 @@ _SUPPORT = [
 ]
 
 
+def _joined(ranked, docs, *columns):
+    """A list with columns of its chunks."""
+    return ranked.join(rerank.listed(docs, ranked).select(*columns), "chunk_id")
+
+
 @query("claim_support", sql.cte(*_SUPPORT) + "SELECT qid, claim_no, best_chunk_id, token_support, supported FROM sup")
 def claim_support(spark, d):
     q = frames.items(spark, d)
     docs = frames.doc_chunks(spark, d)
-    proof = bm25.retrieve(docs, q, 3).join(docs.select("chunk_id", "text"), "chunk_id")
+    proof = _joined(bm25.retrieve(docs, q, 3), docs, "chunk_id", "text")
     out = verify.claim_support(verify.claim_table(q.select("qid", F.col("text").alias("answer"))), proof)
     return out.select("qid", F.col("claim_no").cast("long").alias("claim_no"), "best_chunk_id", F.col("token_support").cast("double").alias("token_support"), "supported")
 
@@ -224,7 +229,7 @@ def claim_support(spark, d):
 def answer_support(spark, d):
     q = frames.items(spark, d)
     docs = frames.doc_chunks(spark, d)
-    proof = bm25.retrieve(docs, q, 3).join(docs.select("chunk_id", "text"), "chunk_id")
+    proof = _joined(bm25.retrieve(docs, q, 3), docs, "chunk_id", "text")
     return verify.answer_support(verify.claim_support(verify.claim_table(q.select("qid", F.col("text").alias("answer"))), proof))
 
 
@@ -247,7 +252,7 @@ def _kinds(spark, d):
 )
 def context_inspection(spark, d):
     q, docs = _kinds(spark, d), frames.doc_chunks(spark, d)
-    proof = bm25.retrieve(docs, q, 3).join(docs.select("chunk_id", "text", "section", "chunk_type"), "chunk_id")
+    proof = _joined(bm25.retrieve(docs, q, 3), docs, "chunk_id", "text", "section", "chunk_type")
     return verify.inspect(proof, q)
 
 
@@ -272,7 +277,7 @@ def _each(spark, d, chunks=None, **kw):
     q = frames.items(spark, d)
     ranked = bm25.retrieve(docs, q, 10)
     if kw:
-        ranked = ranked.join(docs.select("chunk_id", "section"), "chunk_id")
+        ranked = _joined(ranked, docs, "chunk_id", "section")
     return evaluate.per_query(ranked, evaluate.exact_qrels(q, frames.doc_chunks(spark, d)), **kw)
 
 
@@ -357,7 +362,7 @@ def judge_coercion(spark, d):
 )
 def judged_results(spark, d):
     q, docs = frames.items(spark, d), frames.doc_chunks(spark, d)
-    ranked = bm25.retrieve(docs, q, 5).join(docs.select("chunk_id", "text"), "chunk_id")
+    ranked = _joined(bm25.retrieve(docs, q, 5), docs, "chunk_id", "text")
     from lumenq.operators.chunking import context_block
 
     results = q.select("qid", F.col("text").alias("question"), F.col("text").alias("reference_answer")).join(context_block(ranked), "qid", "left")
@@ -473,7 +478,7 @@ _PROMPT_SQL = (
 def answer_prompt(spark, d):
     """Prompts over the three best documents, whose language stands in for the paper."""
     docs = frames.doc_chunks(spark, d)
-    ranked = bm25.retrieve(docs, frames.items(spark, d), 3).join(docs.select("chunk_id", "section", "chunk_type", "text", "caption", F.col("lang").alias("paper_id")), "chunk_id")
+    ranked = _joined(bm25.retrieve(docs, frames.items(spark, d), 3), docs, "chunk_id", "section", "chunk_type", "text", "caption", F.col("lang").alias("paper_id"))
     m, none = F.col("item_id") % 3, F.array().cast("array<string>")
     style = F.when(m == 0, _STYLES[0]).when(m == 1, _STYLES[1]).otherwise(_STYLES[2])
     plan = F.struct(style.alias("answer_style"), F.array(F.lit("must_find_numeric_value")).alias("confidence_checks"), F.when(m == 1, F.array(F.lit("left"), F.lit("right"))).otherwise(none).alias("comparison_entities"), F.lit("single_chunk").alias("evidence_need"), F.array(F.lit("table"), F.lit("paragraph")).alias("source_preference"))
@@ -489,7 +494,7 @@ def library_stats(spark, d):
 @query("retrieval_quality", sql.cte(*_EVIDENCE) + "SELECT t.qid, round(max(CASE WHEN rank = 1 THEN score END), 6) AS top_score, bool_and(score < 0) AS all_negative, count(DISTINCT source) AS n_papers FROM t JOIN chunks USING (chunk_id) GROUP BY t.qid")
 def retrieval_quality(spark, d):
     docs = frames.doc_chunks(spark, d)
-    ranked = bm25.retrieve(docs, frames.items(spark, d), 3).join(docs.select("chunk_id", "source"), "chunk_id")
+    ranked = _joined(bm25.retrieve(docs, frames.items(spark, d), 3), docs, "chunk_id", "source")
     return verify.quality(ranked, "source").withColumn("top_score", F.round("top_score", 6))
 
 
