@@ -103,9 +103,11 @@ def run_strategies(c: Corpus, q: DataFrame, names: list[str] | None = None, k: i
 
 def within_paper(c: Corpus, q: DataFrame, k: int = TOP_K, paper: str = "paper_id") -> dict[str, DataFrame]:
     """BM25, Dense, RRF over all of a paper, and that reranked, each within the question's paper, whose chunks are a collection of their own."""
-    found = bm25.scores(c.chunks, q, (paper,))
     own = c.chunks.select(paper, "chunk_id", "ordinal").join(q.select("qid", paper), paper)
-    full = own.join(found.select("qid", "chunk_id", "score"), ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    full = bm25.Index(c.chunks, scope=paper).all(q)
+    if full is None:
+        found = bm25.scores(c.chunks, q, (paper,))
+        full = own.join(found.select("qid", "chunk_id", "score"), ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     lex = bm25.top(full, 1 << 30)
     vec = own.join(c.vectors.select("chunk_id", "vec"), "chunk_id").join(q.select("qid", "qvec"), "qid")
     sem = bm25.top(vec.select("qid", "chunk_id", "ordinal", dense.dot(F.col("vec"), F.col("qvec")).alias("score")), 1 << 30)
